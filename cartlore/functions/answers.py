@@ -10,12 +10,20 @@ ASPECT_NAME_KEYS = ("aspect", "name")
 CLASSIFY_VALUE_KEYS = ("sentiment", "value")
 CARD_VALUE_KEYS = ("value", "sentiment")
 DEFAULT_ASPECT = "mixed"
+END = "end of answer"
 
 
 def json_object(text: Column) -> Column:
-    """From the first opening to the last closing brace, as a variant; NULL if unreadable."""
-    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.try_parse_json(F.nullif(body, F.lit("")))
+    """From the first opening to the last closing brace, as a variant; NULL if unreadable.
+
+    The parser stops after the first value, so the text is read as the first
+    of two list entries: with anything behind the object, the second entry is
+    not the marker and the answer counts as unreadable.
+    """
+    body = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f', "{END}"]')))
+    complete = F.try_variant_get(listed, "$[1]", "string") == END
+    return F.when(complete, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def field_text(parsed: Column, name: str) -> Column:

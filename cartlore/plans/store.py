@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,8 +77,11 @@ class FeatureStore:
 
     # --- writing -------------------------------------------------------------------
 
-    def write_offline(self, view: FeatureView, df: DataFrame, mode: str = "append") -> None:
-        df.write.mode(mode).parquet(self.offline_path(view.name))
+    def write_offline(self, view: FeatureView, df: DataFrame, batch: str) -> DataFrame:
+        """One folder per batch, replaced when the batch runs again, so a repeated run adds no rows twice."""
+        path = f"{self.offline_path(view.name)}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(view.output_schema()).parquet(path)
 
     def online(self, view: str) -> DataFrame | None:
         versions = self._versions(view)
@@ -97,28 +100,20 @@ class FeatureStore:
         for old in versions[: -(KEPT_VERSIONS - 1) or None]:
             files.delete_tree(self.spark, self._snapshot_path(view.name, old))
 
-    def _sink(self, view: FeatureView, features: DataFrame, mode: str) -> None:
-        """To each wanted sink. The offline files, once written, feed the online snapshot,
-        so the view is computed once even when it goes to both."""
-        if view.offline and view.online:
-            batch_path = f"{self.root}/batches/{view.name}"
-            features.write.mode("overwrite").parquet(batch_path)
-            batch = self.spark.read.schema(view.output_schema()).parquet(batch_path)
-            self.write_offline(view, batch, mode)
-            self.upsert_online(view, batch)
-        elif view.offline:
-            self.write_offline(view, features, mode)
-        elif view.online:
+    def _sink(self, view: FeatureView, features: DataFrame, batch: str) -> None:
+        """To each wanted sink. The written offline batch feeds the online snapshot,
+        so a view that goes to both is computed once."""
+        if view.offline:
+            features = self.write_offline(view, features, batch)
+        if view.online:
             self.upsert_online(view, features)
 
-    def materialize(
-        self, start: str | None, end: str | None, views: list[str] | None = None, mode: str = "append"
-    ) -> None:
+    def materialize(self, start: str | None, end: str | None, views: list[str] | None = None) -> None:
         """Compute views over source rows with ``start <= event_timestamp < end`` and write them."""
         for name in views or self.registry.names():
             view = self.registry.get(name)
             source = window_filter(view.source(self.spark), start, end)
-            self._sink(view, view.compute(source), mode)
+            self._sink(view, view.compute(source), batch_name(start, end))
 
     # --- incremental ----------------------------------------------------------------
 
@@ -143,7 +138,7 @@ class FeatureStore:
             start = self.last_end(name)
             source = window_filter(view.source(self.spark), None, end)
             fresh = window_filter(source, start, end)
-            self._sink(view, recompute_touched(view, source, fresh), "append")
+            self._sink(view, recompute_touched(view, source, fresh), batch_name(start, end))
             mark = self.spark.createDataFrame([(name, end)], "view string, end_at string")
             mark = mark.withColumn("end_at", F.col("end_at").cast("timestamp"))
             mark.write.mode("append").parquet(self._marks_path())
@@ -151,7 +146,8 @@ class FeatureStore:
     # --- reading -------------------------------------------------------------------------
 
     def _offline(self, view: FeatureView) -> DataFrame:
-        return self.spark.read.schema(view.output_schema()).parquet(self.offline_path(view.name))
+        rows = self.spark.read.schema(view.output_schema()).parquet(self.offline_path(view.name))
+        return rows.select(view.output_schema().names)
 
     def get_historical_features(
         self, spine: DataFrame, refs: list[str], with_ttl: bool = True, **options
@@ -211,5 +207,6 @@ def recompute_touched(view: FeatureView, source: DataFrame, fresh: DataFrame) ->
     return view.compute(source.join(touched, columns, "left_semi"))
 
 
-def now_utc() -> str:
-    return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+def batch_name(start: str | None, end: str | None) -> str:
+    """Folder name of a time window."""
+    return re.sub(r"[^0-9A-Za-z]+", "-", f"{start or 'begin'}_{end or 'open'}")

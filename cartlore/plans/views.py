@@ -65,3 +65,9 @@ def window_filter(df: DataFrame, start: str | None, end: str | None, ts: str = "
     if end is not None:
         df = df.filter(F.col(ts) < F.lit(end).cast("timestamp"))
     return df
+
+
+def newer_than(df: DataFrame, mark: str | None, end: str | None, ts: str = "event_timestamp") -> DataFrame:
+    """Rows after a high-water mark and before ``end``."""
+    df = window_filter(df, None, end, ts)
+    return df if mark is None else df.filter(F.col(ts) > F.lit(mark).cast("timestamp"))
