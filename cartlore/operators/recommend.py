@@ -128,39 +128,49 @@ def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return holds.unionByName(held).distinct()
 
 
+ANY_NAME = "*any*"
+
+
 def related_items(items: DataFrame, scored: DataFrame, k: int) -> DataFrame:
     """For every item the best scored other items of its category, else the best of all.
 
-    ``items``: item_id, category. ``scored``: a recommendation list (item_id,
-    title, category, score, rank), one row per item. Categories match when one name contains the
-    other; a missing category matches every item. Items without title are left
-    out. Lists are cut to the ``k + 1`` best per category name before they meet
-    the items (one more, because an item is never related to itself), so an
-    item is joined with few rows however large its category is.
+    ``items``: item_id, category. ``scored``: item_id, title, category, score,
+    rank, one row per item. Categories match when one name contains the other; a
+    missing category matches every item. Items without title are left out.
+
+    All items of a category name share one candidate list. It needs ``k + 1``
+    entries (one more, because an item is never related to itself), so lists are
+    built per name and each item takes its ``k`` from its name's list: nothing
+    is joined or sorted per pair of items, however large a category is.
     """
     name = F.lower(F.coalesce(F.col("category"), F.lit("")))
     left = items.select("item_id", name.alias("a"))
     right = scored.filter(F.length("title") > 0).select(
-        F.col("item_id").alias("related_id"), name.alias("b"), "score", F.col("rank").alias("score_rank")
+        F.col("item_id").alias("related_id"), name.alias("b"), "score", F.col("rank").alias("at")
     )
-    order = ["score_rank", "related_id"]
-    pairs = containing_pairs(left.select("a").distinct(), right.select("b").distinct())
-    per_b = top_n(right, ["b"], order, k + 1)
-    by_name = top_n(pairs.join(per_b, "b"), ["a"], order, k + 1)
-    overall = scored_head(right, order, k + 1)
-    matched = left.join(by_name.drop("b"), "a").filter(F.col("related_id") != F.col("item_id"))
-    same = matched.withColumn("same_category", F.lit(True))
-    without = left.join(same.select("item_id").distinct(), "item_id", "left_anti")
-    fallback = _beside_each(without, overall.drop("b"), "item_id", k + 1).filter(
-        F.col("related_id") != F.col("item_id")
+    order = ["at", "related_id"]
+    names = left.select("a").distinct()
+    per_name = top_n(right, ["b"], order, k + 1)
+    overall = right.orderBy(*order).limit(k + 1).withColumn("b", F.lit(ANY_NAME))
+    pairs = containing_pairs(names, right.select("b").distinct()).unionByName(names.withColumn("b", F.lit(ANY_NAME)))
+    offered = pairs.join(per_name.unionByName(overall), "b").withColumn("same", F.col("b") != ANY_NAME)
+    best = top_n(offered, ["a", "same"], order, k + 1)
+    entry = F.struct("at", "related_id", "score")  # at most k + 1 per list
+    lists = best.groupBy("a").agg(
+        F.array_sort(F.collect_list(F.when(F.col("same"), entry))).alias("same_list"),
+        F.array_sort(F.collect_list(F.when(~F.col("same"), entry))).alias("any_list"),
     )
-    both = same.unionByName(fallback.withColumn("same_category", F.lit(False)))
-    best = top_n(both, ["item_id"], order, k, "rank")
-    return best.select("item_id", "related_id", "score", "same_category", "rank")
 
+    def others(listed: str) -> Column:
+        return F.filter(listed, lambda e: e["related_id"] != F.col("item_id"))
 
-def scored_head(scored: DataFrame, order: list, n: int) -> DataFrame:
-    return scored.orderBy(*order).limit(n)
+    chosen = left.join(lists, "a").select("item_id", others("same_list").alias("same"), others("any_list").alias("any"))
+    has_same = F.size("same") > 0
+    taken = F.slice(F.when(has_same, F.col("same")).otherwise(F.col("any")), 1, k)
+    rows = chosen.select("item_id", has_same.alias("same_category"), F.posexplode(taken).alias("pos", "e"))
+    return rows.select(
+        "item_id", "e.related_id", "e.score", "same_category", (F.col("pos") + 1).cast("int").alias("rank")
+    )
 
 
 # --- towers and factors ----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import categories, cleaning
+from ..session import ensure_checkpoint_dir
 from . import indexing
 from .features import top_category
 from .lookups import attach_item_category, map_lookup
@@ -86,12 +87,17 @@ def reject_known(pairs: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def training_samples(interactions: DataFrame, metadata: DataFrame, ratio: int = NEGATIVES_PER_ROW, seed: int = 42):
-    """Observed rows and random negatives with all indices, plus the vocabularies used."""
-    prepared = super_category_prep(interactions, metadata)
+    """Observed rows and random negatives with all indices, plus the vocabularies used.
+
+    The prepared and the encoded rows are each needed several times (vocabularies,
+    category maps, draws), so they are written to the checkpoint folder once.
+    """
+    ensure_checkpoint_dir(interactions.sparkSession)
+    prepared = super_category_prep(interactions, metadata).checkpoint()
     users = indexing.ordinal(prepared, "user_id")
     items = indexing.ordinal(prepared, "item_id")
     cats = category_vocab(prepared)
-    observed = encode_samples(prepared, users, items, cats)
+    observed = encode_samples(prepared, users, items, cats).checkpoint()
     drawn = negatives(observed, users.count(), items.count(), ratio, seed)
     return observed.unionByName(drawn), {"user": users, "item": items, "category": cats}
 
