@@ -198,8 +198,14 @@ def join_nonempty(spark, sf):
     return load(spark, sf, "catalog").select("parent_asin", "copy_no", line)
 
 
-@checks.add("sigmoid", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 20)), 4) AS score FROM events")
+@checks.add("sigmoid", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 20)), 9) AS score FROM events")
 def sigmoid(spark, sf):
+    score = signals.sigmoid((F.col("value") - 50) / 20)
+    return load(spark, sf, "events").select("event_id", F.round(score, 9).alias("score"))
+
+
+@checks.add("round4", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 20)), 4) AS score FROM events")
+def round4(spark, sf):
     score = signals.round4(signals.sigmoid((F.col("value") - 50) / 20))
     return load(spark, sf, "events").select("event_id", score.alias("score"))
 
@@ -218,16 +224,12 @@ def l2_normalize(spark, sf):
     return unit.select("vec_id", F.round(total, 6).alias("unit_sum"), F.round(vectors.norm(F.col("u")), 6).alias("unit_norm"))
 
 
-@checks.add(
-    "cosine",
-    """WITH c AS (SELECT label, list(s ORDER BY pos) AS v FROM (
-          SELECT label, pos, sum(CAST(embedding[pos] AS DOUBLE)) AS s FROM embeddings, (SELECT unnest(range(1, 65)) AS pos) GROUP BY label, pos) GROUP BY label)
-       SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), v), 6) AS dot,
-              round(list_inner_product(CAST(embedding AS DOUBLE[]), v) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS cosine
-       FROM embeddings JOIN c USING (label)""",
-)
-def cosine(spark, sf):
-    """Every vector against the sum vector of its label."""
+LABEL_SUMS = """WITH c AS (SELECT label, list(s ORDER BY pos) AS v FROM (
+    SELECT label, pos, sum(CAST(embedding[pos] AS DOUBLE)) AS s FROM embeddings, (SELECT unnest(range(1, 65)) AS pos) GROUP BY label, pos) GROUP BY label)"""
+
+
+def _with_label_sum(spark, sf):
+    """Every vector beside the sum vector of its label."""
     rows = load(spark, sf, "embeddings")
     cells = rows.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(
         F.sum(F.col("x").cast("double")).alias("s")
@@ -235,15 +237,30 @@ def cosine(spark, sf):
     sums = cells.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda c: c["s"]).alias("v")
     )
-    joined = rows.join(sums, "label")
-    a, b = F.col("embedding"), F.col("v")
-    return joined.select("vec_id", F.round(vectors.dot(a, b), 6).alias("dot"), F.round(vectors.cosine(a, b), 6).alias("cosine"))
+    return rows.join(sums, "label")
+
+
+@checks.add("dot_product", LABEL_SUMS + "SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), v), 6) AS dot FROM embeddings JOIN c USING (label)")
+def dot_product(spark, sf):
+    dot = vectors.dot(F.col("embedding"), F.col("v"))
+    return _with_label_sum(spark, sf).select("vec_id", F.round(dot, 6).alias("dot"))
+
+
+@checks.add("cosine", LABEL_SUMS + "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS cosine FROM embeddings JOIN c USING (label)")
+def cosine(spark, sf):
+    value = vectors.cosine(F.col("embedding"), F.col("v"))
+    return _with_label_sum(spark, sf).select("vec_id", F.round(value, 6).alias("cosine"))
+
+
+@checks.add("array_slice", "SELECT doc_id, CAST(len(string_split(text, ' ')[1:8]) AS INTEGER) AS n, string_split(text, ' ')[1:8][-1] AS last_word FROM documents")
+def array_slice(spark, sf):
+    words = F.slice(F.split("text", " "), 1, 8)
+    return load(spark, sf, "documents").select("doc_id", F.size(words).alias("n"), F.element_at(words, -1).alias("last_word"))
 
 
-@checks.add("array_slice_join", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:4], ' · ') AS first_words FROM documents")
-def array_slice_join(spark, sf):
-    words = F.slice(F.split("text", " "), 1, 4)
-    return load(spark, sf, "documents").select("doc_id", F.array_join(words, " · ").alias("first_words"))
+@checks.add("array_join", "SELECT doc_id, array_to_string(string_split(text, ' '), ' · ') AS words FROM documents")
+def array_join(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", F.array_join(F.split("text", " "), " · ").alias("words"))
 
 
 @checks.add("word_count", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s]+')) AS INTEGER) AS n_words FROM documents")

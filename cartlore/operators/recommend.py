@@ -7,6 +7,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,31 +75,51 @@ def persona_boost(recs: DataFrame, user: str, preference: Column, list_size: int
 # --- every persona with every item ---------------------------------------------------
 
 PERSONA_LIMIT = 1_000
-PERSONA_BLOCKS = 64
 
 
-def _beside_each(rows: DataFrame, few: DataFrame, key: str, limit: int) -> DataFrame:
-    """Every row of a table beside each row of a short, size-checked list, as an equi-join.
+def persona_affinity(personas: Side, items: Side) -> DataFrame:
+    """Score of every item for each persona, ranked within the item; 0 where a vector is missing.
 
-    The list is repeated for each block of rows, so the work spreads over the
-    blocks and no product without a key is planned.
+    The personas are a short list (its size is checked) that travels to the
+    items. Each item's scores are made and ordered where the item lies: the
+    catalogue is neither joined nor shuffled.
     """
-    if few.limit(limit + 1).count() > limit:
-        raise ValueError(f"the list has more than {limit} rows")
-    blocks = F.sequence(F.lit(0), F.lit(PERSONA_BLOCKS - 1))
-    repeated = few.withColumn("_block", F.explode(blocks))
-    placed = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(PERSONA_BLOCKS)).cast("int"))
-    return placed.join(repeated, "_block").drop("_block")
-
-
-def persona_affinity(personas: Side, items: Side) -> DataFrame:
-    """Score of every item for each persona; 0 where a vector is missing. Order by ``rank`` within an item."""
-    left = personas.df.select(F.col(personas.id), F.col(personas.vec).alias("_p"))
-    right = items.df.select(F.col(items.id), F.col(items.vec).alias("_i"))
-    pairs = _beside_each(right, left, items.id, PERSONA_LIMIT)
-    cosine = F.round(vectors.cosine(F.col("_p"), F.col("_i")), SCORE_DIGITS)
-    scored = pairs.select(items.id, personas.id, F.coalesce(shown_score(cosine), F.lit(0.0)).alias("score"))
-    return top_n(scored, [items.id], [F.col("score").desc(), personas.id], PERSONA_LIMIT, "rank")
+    listed = personas.df.select(F.col(personas.id).cast("string").alias("id"), F.col(personas.vec).cast("array<double>").alias("v"))
+    small = listed.limit(PERSONA_LIMIT + 1).toArrow()
+    if small.num_rows > PERSONA_LIMIT:
+        raise ValueError(f"the persona list has more than {PERSONA_LIMIT} rows")
+    small = small.sort_by("id")
+    names = small["id"].to_pylist()
+    shared = items.df.sparkSession.sparkContext.broadcast(_matrix(small["v"]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        for batch in batches:
+            known = pa.compute.greater(pa.compute.fill_null(pa.compute.list_value_length(batch["v"]), 0), 0)
+            with_vector, without = batch.filter(known), batch.filter(pa.compute.invert(known))
+            cosines = np.round(_matrix(with_vector["v"]) @ matrix.T, SCORE_DIGITS) if with_vector.num_rows else None
+            for part, values in ((with_vector, cosines), (without, None)):
+                if part.num_rows:
+                    rows = values.tolist() if values is not None else [[None] * len(matrix)] * part.num_rows
+                    lists = pa.array(rows, pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([part["item"], lists], names=["item", "cosines"])
+
+    rows = items.df.select(F.col(items.id).cast("string").alias("item"), F.col(items.vec).cast("array<double>").alias("v"))
+    scored = rows.mapInArrow(score, "item string, cosines array<double>")
+    persona = F.array(*[F.lit(n) for n in names])
+
+    def entry(cosine: Column, position: Column) -> Column:
+        value = F.coalesce(shown_score(cosine), F.lit(0.0))
+        return F.struct((-value).alias("minus"), F.get(persona, position).alias("persona"))
+
+    ordered = F.array_sort(F.transform("cosines", entry))  # one entry per persona
+    long = scored.select("item", F.posexplode(ordered).alias("pos", "e"))
+    return long.select(
+        F.col("item").alias(items.id),
+        F.col("e.persona").alias(personas.id),
+        (-F.col("e.minus")).alias("score"),
+        (F.col("pos") + 1).cast("int").alias("rank"),
+    )
 
 
 # --- related items -----------------------------------------------------------------

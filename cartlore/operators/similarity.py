@@ -104,7 +104,8 @@ def _block_hits(queries: DataFrame, corpus: DataFrame, k: int, group: list[str],
     large group becomes many tasks. Pairs are never rows: a task multiplies two
     block matrices and keeps k results per query.
     """
-    sizes = _block_counts(queries, group, "_qn", block_rows).join(_block_counts(corpus, group, "_cn", block_rows), group)
+    counts = _block_counts(queries, group, "_qn", block_rows).join(_block_counts(corpus, group, "_cn", block_rows), group)
+    sizes = F.broadcast(counts)  # one row, or one per index cell
     sized_q = queries.join(sizes, group)
     sized_c = corpus.join(sizes, group)
 

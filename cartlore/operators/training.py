@@ -43,13 +43,16 @@ def entity_category(samples: DataFrame, entity_idx: str, category_idx: str, orde
 
 
 def encode_samples(prepared: DataFrame, users: DataFrame, items: DataFrame, cats: DataFrame) -> DataFrame:
-    """Index columns and label of the observed rows. Equi-joins with one row per id; adaptive
-    execution broadcasts the small vocabularies and splits hot ids."""
+    """Index columns and label of the observed rows.
+
+    Ids are looked up by equi-joins, whose hot keys adaptive execution splits.
+    The category vocabulary is broadcast: it holds the fixed super-categories only.
+    """
     coded = indexing.encode_ids(prepared, "user_id", users, "user_idx")
     coded = indexing.encode_ids(coded, "item_id", items, "item_idx")
     for column, idx in (("user_primary_category", "user_cat_idx"), ("item_category", "item_cat_idx")):
         lookup = cats.select(F.col("category").alias(column), F.col("idx").alias(idx))
-        coded = coded.join(lookup, column, "left")
+        coded = coded.join(F.broadcast(lookup), column, "left")
     label = cleaning.binary_label(F.col("rating")).cast("float").alias("label")
     return coded.select("row_key", "user_idx", "item_idx", "user_cat_idx", "item_cat_idx", label)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import timedelta
 from typing import Callable
 
@@ -19,6 +19,9 @@ class FeatureView:
     """A named table of features: where its input comes from and how it is computed.
 
     ``schema`` lists the feature columns; keys and ``event_timestamp`` come on top.
+    A ``row_wise`` view makes one row per source row; any other view aggregates
+    its keys' whole history. ``source_keys`` names keys that the source calls
+    differently.
     """
 
     name: str
@@ -30,6 +33,8 @@ class FeatureView:
     online: bool = True
     offline: bool = True
     key_types: dict[str, T.DataType] = field(default_factory=dict)
+    row_wise: bool = False
+    source_keys: dict[str, str] = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
@@ -50,8 +55,16 @@ class FeatureView:
     def compute(self, source: DataFrame) -> DataFrame:
         return self.conform(self.transform(source))
 
-    def with_source(self, source: Source) -> "FeatureView":
-        return replace(self, source=source)
+    def touched_by(self, source: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The view's rows that fresh source rows change.
+
+        Means, spreads and distinct counts cannot be merged from earlier output,
+        so an aggregate is computed again from all rows of the keys concerned.
+        """
+        if self.row_wise:
+            return self.compute(fresh)
+        columns = [self.source_keys.get(k, k) for k in self.keys]
+        return self.compute(source.join(fresh.select(*columns).distinct(), columns, "left_semi"))
 
 
 def feature_view(
@@ -62,11 +75,12 @@ def feature_view(
     source: Source,
     online: bool = True,
     offline: bool = True,
+    **options,
 ) -> Callable[[Transform], FeatureView]:
     """Turn a DataFrame function into a view definition."""
 
     def wrap(transform: Transform) -> FeatureView:
-        return FeatureView(name, tuple(keys), ttl, schema, source, transform, online, offline)
+        return FeatureView(name, tuple(keys), ttl, schema, source, transform, online, offline, **options)
 
     return wrap
 

@@ -128,17 +128,13 @@ class FeatureStore:
         return newest or EPOCH
 
     def materialize_incremental(self, end: str, views: list[str] | None = None) -> None:
-        """Write what came in since the last run, per view.
-
-        Aggregates are not mergeable from their outputs (means, spreads, distinct
-        counts), so keys with new rows are recomputed from their whole history.
-        """
+        """Write what came in since the last run, per view."""
         for name in views or self.registry.names():
             view = self.registry.get(name)
             start = self.last_end(name)
             source = window_filter(view.source(self.spark), None, end)
             fresh = window_filter(source, start, end)
-            self._sink(view, recompute_touched(view, source, fresh), batch_name(start, end))
+            self._sink(view, view.touched_by(source, fresh), batch_name(start, end))
             mark = self.spark.createDataFrame([(name, end)], "view string, end_at string")
             mark = mark.withColumn("end_at", F.col("end_at").cast("timestamp"))
             mark.write.mode("append").parquet(self._marks_path())
@@ -189,24 +185,6 @@ class FeatureStore:
         return similarity.with_payload(hits, corpus, key, list(payload))
 
 
-SOURCE_KEYS = {"item_id": "parent_asin"}
-
-
-def recompute_touched(view: FeatureView, source: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The view over all rows of those keys that have fresh rows.
-
-    Row-wise views (keys not in the source, or one row per source row) only
-    need the fresh rows.
-    """
-    in_source = {k: SOURCE_KEYS.get(k, k) if k not in source.columns else k for k in view.keys}
-    row_wise = len(view.keys) > 1 or any(c not in source.columns for c in in_source.values())
-    if row_wise:
-        return view.compute(fresh)
-    columns = list(in_source.values())
-    touched = fresh.select(*columns).distinct()
-    return view.compute(source.join(touched, columns, "left_semi"))
-
-
 def batch_name(start: str | None, end: str | None) -> str:
     """Folder name of a time window."""
     return re.sub(r"[^0-9A-Za-z]+", "-", f"{start or 'begin'}_{end or 'open'}")

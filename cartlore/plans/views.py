@@ -35,8 +35,24 @@ def standard_views(
 
     return [
         FeatureView("user_features", ("user_id",), LONG_TTL, schemas.USER_FEATURES, reviews, stamped(ops.user_features)),
-        FeatureView("item_features", ("item_id",), LONG_TTL, schemas.ITEM_FEATURES, reviews, stamped(ops.item_features)),
-        FeatureView("item_metadata", ("item_id",), LONG_TTL, schemas.ITEM_METADATA, catalog, stamped(ops.item_metadata)),
+        FeatureView(
+            "item_features",
+            ("item_id",),
+            LONG_TTL,
+            schemas.ITEM_FEATURES,
+            reviews,
+            stamped(ops.item_features),
+            source_keys={"item_id": "parent_asin"},
+        ),
+        FeatureView(
+            "item_metadata",
+            ("item_id",),
+            LONG_TTL,
+            schemas.ITEM_METADATA,
+            catalog,
+            stamped(ops.item_metadata),
+            source_keys={"item_id": "parent_asin"},
+        ),
         FeatureView(
             "interactions",
             ("user_id", "item_id"),
@@ -45,6 +61,7 @@ def standard_views(
             reviews,
             ops.interactions,
             online=False,
+            row_wise=True,
         ),
         FeatureView(
             "review_embeddings",
@@ -54,6 +71,7 @@ def standard_views(
             reviews,
             stamped(lambda df: review_embeddings(df, encoder)),
             offline=False,
+            row_wise=True,
         ),
     ]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import top_n
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -60,8 +62,7 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*.parquet") -
 
 def inventory_summary(inventory: DataFrame, first: int = 15) -> DataFrame:
     """Per prefix: number of files, total size and the first few names."""
-    return inventory.groupBy("prefix").agg(
-        F.count("*").alias("n_files"),
-        F.sum("size_bytes").alias("total_bytes"),
-        F.slice(F.array_sort(F.collect_list("file_name")), 1, first).alias("first_files"),
-    )
+    totals = inventory.groupBy("prefix").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("total_bytes"))
+    names = top_n(inventory.select("prefix", "file_name"), ["prefix"], ["file_name"], first)
+    listed = names.groupBy("prefix").agg(F.array_sort(F.collect_list("file_name")).alias("first_files"))
+    return totals.join(listed, "prefix")

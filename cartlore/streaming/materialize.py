@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import telemetry
 from ..plans.registry import FeatureView
-from ..plans.store import FeatureStore, recompute_touched
+from ..plans.store import FeatureStore
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def stream_materialize(
     """
 
     def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        store.upsert_online(view, recompute_touched(view, history(), batch))
+        store.upsert_online(view, view.touched_by(history(), batch))
 
     return (
         stream.writeStream.foreachBatch(write_batch)
@@ -75,3 +75,19 @@ def append_to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         .trigger(availableNow=True)
         .start()
     )
+
+
+def replace_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All ranges so far, written anew after each batch. For dashboards over a bounded time span;
+    the state keeps one row per range and series."""
+
+    def write_batch(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return (
+        df.writeStream.foreachBatch(write_batch)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
