@@ -75,14 +75,14 @@ def ivf_index(spark, sf):
     "catalog_vectors",
     sql(
         "item_vectors",
-        """SELECT item_id, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS unit_sum
+        """SELECT item_id, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 3) AS unit_sum
            FROM item_vectors""",
     ),
 )
 def catalog_vectors(spark, sf):
     unit = recommend.catalog_vectors(load(spark, sf, "item_vectors"), "item_id", "embedding")
     total = F.aggregate("unit", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return unit.select("item_id", F.round(total, 4).alias("unit_sum"))
+    return unit.select("item_id", F.round(total, 3).alias("unit_sum"))
 
 
 @checks.add("review_embeddings")

@@ -89,7 +89,8 @@ def file_inventory(spark, sf):
     src.write_training(load(spark, sf, "events"), f"{path}/events", 16)
     summary = files.inventory_summary(files.file_inventory(spark, path))
     name = F.regexp_extract("prefix", "([^/]+)$", 1)
-    rows = spark.read.parquet(f"{path}/events").agg(F.lit("events").alias("table_name"), F.count("*").alias("n_rows"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+    rows = spark.read.parquet(f"{path}/events").groupBy(folder.alias("table_name")).agg(F.count("*").alias("n_rows"))
     counts = summary.select(name.alias("table_name"), F.col("n_files").cast("int").alias("n_files"))
     return counts.join(rows, "table_name")
 
@@ -133,13 +134,13 @@ def _tower_weights(width: int, hidden: int):
 @checks.add(
     "tower_forward",
     """WITH h AS (SELECT vec_id, list_transform(range(1, 9), lambda j: greatest(0.5::DOUBLE * embedding[j] + 0.5::DOUBLE * embedding[j + 1] - 0.01::DOUBLE, 0)) AS y FROM embeddings)
-       SELECT vec_id, round(list_sum(y) / greatest(sqrt(list_inner_product(y, y)), CAST(1e-12 AS DOUBLE)), 4) AS unit_sum FROM h""",
+       SELECT vec_id, round(list_sum(y) / greatest(sqrt(list_inner_product(y, y)), CAST(1e-12 AS DOUBLE)), 6) AS unit_sum FROM h""",
 )
 def tower_forward(spark, sf):
     rows = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     out = recommend.tower(rows, _tower_weights(64, 8), "e", None)
-    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return out.select("vec_id", F.round(total, 4).alias("unit_sum"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return out.select("vec_id", F.round(total, 6).alias("unit_sum"))
 
 
 # --- the store ---------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 
-TS, KIND, ROW, BUCKET, SALT = "_ts", "_kind", "_row", "_bucket", "_salt"
+TS, KIND, ROW, BUCKET, SALT, KEY = "_ts", "_kind", "_row", "_bucket", "_salt", "_key"
 FEATURE, SPINE = 0, 1  # a feature row sorts before a spine row of the same time
 HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 10_000
@@ -80,21 +80,31 @@ def _join_same_key(spine: DataFrame, ts: str, views: list[AsOfView], keys: list[
     return joined.select(f"{ROW}.*", *values)
 
 
-def _hot_keys(spine: DataFrame, views: list[AsOfView], keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more rows than one task should sort; at most ``MAX_HOT_KEYS``.
+def _key_hash(keys: list[str]) -> Column:
+    """One number per key; rows without a key have none. Equal numbers of different keys do no harm."""
+    missing = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    return F.when(~missing, F.xxhash64(*keys))
+
+
+def _hot_keys(spine: DataFrame, groups: list[list[AsOfView]], hot_rows: int) -> list[list[int]]:
+    """Per group of views, the hashes of keys with more rows than one task should sort.
 
-    Every key below the largest ``MAX_HOT_KEYS`` holds less than that fraction
-    of all rows. The counts read key columns only and combine map-side.
+    One map-side combined count over the key columns of the spine and all views.
+    At most ``MAX_HOT_KEYS`` are returned, the largest; each further key holds
+    less than that fraction of all rows.
     """
-    rows = spine.select(*keys)
-    for view in views:
-        rows = rows.unionAll(view.df.select(*view.keys))
-    counts = rows.dropna(subset=keys).groupBy(*keys).count().filter(F.col("count") > hot_rows)
+
+    def tagged(df: DataFrame, numbers: list[int]) -> DataFrame:
+        pairs = [F.struct(F.lit(g).alias("g"), _key_hash(list(groups[g][0].keys)).alias(KEY)) for g in numbers]
+        return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.g", f"p.{KEY}")
+
+    rows = tagged(spine, list(range(len(groups))))
+    for number, group in enumerate(groups):
+        for view in group:
+            rows = rows.unionByName(tagged(view.df, [number]))
+    counts = rows.dropna().groupBy("g", KEY).count().filter(F.col("count") > hot_rows)
     found = counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()
-    if not found:
-        return None
-    schema = spine.select(*keys).schema
-    return spine.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema)
+    return [[r[KEY] for r in found if r.g == number] for number in range(len(groups))]
 
 
 def _time_buckets(events: DataFrame, buckets: int) -> DataFrame:
@@ -151,29 +161,33 @@ def asof_join(
     equal key and time the one with the largest values is taken.
     """
     buckets = time_buckets or shuffle_partitions(spine.sparkSession)
-    keyed_rows = spine  # key counts are taken here, not on the rows joined so far
     by_keys: dict[tuple[str, ...], list[AsOfView]] = {}
     for view in views:
         by_keys.setdefault(view.keys, []).append(view)
-    for key_tuple, group in by_keys.items():
-        keys = list(key_tuple)
-        hot = _hot_keys(keyed_rows, group, keys, hot_rows)
-        if hot is None:
-            spine = _join_same_key(spine, ts, group, keys)
-            continue
-
-        def part(df: DataFrame, how: str) -> DataFrame:
-            return df.join(F.broadcast(hot), keys, how).select(df.columns)  # at most MAX_HOT_KEYS rows
-
-        def views_of(how: str) -> list[AsOfView]:
-            return [AsOfView(v.name, part(v.df, how), v.keys, v.ts, v.columns, v.ttl_seconds) for v in group]
-
-        cold = _join_same_key(part(spine, "left_anti"), ts, views_of("left_anti"), keys)
-        heavy = _join_hot(part(spine, "left_semi"), ts, views_of("left_semi"), keys, buckets)
-        spine = cold.unionByName(heavy)
+    groups = list(by_keys.values())
+    for group, hot in zip(groups, _hot_keys(spine, groups, hot_rows)):
+        spine = _join_group(spine, ts, group, hot, buckets)
     return spine
 
 
+def _join_group(spine: DataFrame, ts: str, views: list[AsOfView], hot: list[int], buckets: int) -> DataFrame:
+    """Join the views of one entity: hot keys by time ranges, all others in one pass."""
+    keys = list(views[0].keys)
+    if not hot:
+        return _join_same_key(spine, ts, views, keys)
+    hashes = F.broadcast(spine.sparkSession.createDataFrame([(h,) for h in hot], f"{KEY} long"))  # at most MAX_HOT_KEYS
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df.withColumn(KEY, _key_hash(keys)).join(hashes, KEY, how).drop(KEY)
+
+    def views_of(how: str) -> list[AsOfView]:
+        return [replace(v, df=part(v.df, how)) for v in views]
+
+    cold = _join_same_key(part(spine, "left_anti"), ts, views_of("left_anti"), keys)
+    heavy = _join_hot(part(spine, "left_semi"), ts, views_of("left_semi"), keys, buckets)
+    return cold.unionByName(heavy)
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,

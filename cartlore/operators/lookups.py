@@ -78,13 +78,14 @@ def attach_item_category(df: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def covered_keys(keys: DataFrame, view: DataFrame, on: list[str]) -> DataFrame:
-    """Keys that have a row in a view."""
-    return keys.join(view.select(*on), on, "left_semi")
+    """Keys that have a row in a view. The view's keys are made distinct first, map-side, so that a
+    key filling much of the view arrives at the join once."""
+    return keys.join(view.select(*on).distinct(), on, "left_semi")
 
 
 def difference(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """Rows of the first table whose key is not in the second."""
-    return expected.join(found.select(*on), on, "left_anti")
+    return expected.join(found.select(*on).distinct(), on, "left_anti")
 
 
 def union_distinct(*frames: DataFrame) -> DataFrame:

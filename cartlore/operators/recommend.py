@@ -225,11 +225,11 @@ def tower(df: DataFrame, weights: TowerWeights, embed: str, category_embed: str
                 x = np.concatenate([x, raw(batch[category_embed])], axis=1)
             y = np.maximum(x @ w.hidden.T + w.hidden_bias, 0) @ w.out.T + w.out_bias
             y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), vectors.EPS)
-            values = pa.array(y.astype(np.float32).ravel(), pa.float32())
+            values = pa.array(y.ravel(), pa.float64())
             offsets = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
             yield batch.append_column(out, pa.ListArray.from_arrays(offsets, values))
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
     return df.mapInArrow(run, schema)
 
 

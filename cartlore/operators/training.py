@@ -86,7 +86,7 @@ def negatives(
 
 def reject_known(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Optional: drop drawn pairs that were observed."""
-    return pairs.join(samples.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti")
+    return pairs.join(samples.select("user_idx", "item_idx").distinct(), ["user_idx", "item_idx"], "left_anti")
 
 
 def training_samples(interactions: DataFrame, metadata: DataFrame, ratio: int = NEGATIVES_PER_ROW, seed: int = 42):

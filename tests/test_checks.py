@@ -12,14 +12,25 @@ SF = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"limit_rows", "cf_train", "ivf_search", "ivf_index", "review_embeddings"}
 
 
+def assert_scalable(df) -> None:
+    """No product joins and no row-at-a-time Python in the plan."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in plan
+
+
 @pytest.mark.parametrize("name", sorted(checks.SQL))
 def test_same_as_sql(spark, name):
-    assert_same(entry_points.queries()[name](spark, SF), SF, entry_points.oracle_sql()[name])
+    df = entry_points.queries()[name](spark, SF)
+    assert_scalable(df)
+    assert_same(df, SF, entry_points.oracle_sql()[name])
 
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_rows_only(spark, name):
-    assert entry_points.queries()[name](spark, SF).count() > 0
+    df = entry_points.queries()[name](spark, SF)
+    assert_scalable(df)
+    assert df.count() > 0
 
 
 def test_only_inexact_queries_lack_sql():
@@ -28,13 +39,3 @@ def test_only_inexact_queries_lack_sql():
 
 def test_flagship(spark):
     assert entry_points.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", sorted(checks.QUERIES))
-def test_no_product_joins(spark, name):
-    plan = entry_points.queries()[name](spark, SF)._sc._jvm.PythonSQLUtils.explainString(
-        entry_points.queries()[name](spark, SF)._jdf.queryExecution(), "simple"
-    )
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan  # row-at-a-time Python
