@@ -42,8 +42,8 @@ def daily_views(spark, sf, ttl=None):
 
 
 PIT = """
-    SELECT s.user_id, s.item_id, s.order_id, epoch_ms(s.event_timestamp) AS event_ms, {u1} AS day_reviews, {u2} AS day_avg_qty,
-           {i1} AS day_sales, {i2} AS day_qty
+    SELECT s.user_id, s.item_id, s.order_id, epoch_ms(s.event_timestamp) AS event_ms, CAST({u1} AS DOUBLE) AS day_reviews,
+           {u2} AS day_avg_qty, CAST({i1} AS DOUBLE) AS day_sales, CAST({i2} AS DOUBLE) AS day_qty
     FROM spine s
     ASOF LEFT JOIN user_daily u ON s.user_id = u.user_id AND s.event_timestamp >= u.event_timestamp
     ASOF LEFT JOIN item_daily i ON s.item_id = i.item_id AND s.event_timestamp >= i.event_timestamp"""
@@ -51,7 +51,8 @@ PIT = """
 
 def _pit(spark, sf, ttl=None):
     joined = asof.asof_join(load(spark, sf, "spine"), daily_views(spark, sf, ttl))
-    return joined.withColumn("event_ms", fr.epoch_ms("event_timestamp")).drop("event_timestamp")
+    counts = {c: F.col(c).cast("double") for c in ("day_reviews", "day_sales", "day_qty")}
+    return joined.withColumns(counts).withColumn("event_ms", fr.epoch_ms("event_timestamp")).drop("event_timestamp")
 
 
 @checks.add(

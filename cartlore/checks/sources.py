@@ -153,11 +153,11 @@ def price_cast(spark, sf):
 
 @checks.add(
     "helpful_cast",
-    sql("reviews", "SELECT row_key, CAST(helpful_vote AS INTEGER) AS votes, CAST(NULL AS INTEGER) AS unreadable FROM reviews"),
+    sql("reviews", "SELECT row_key, CAST(helpful_vote AS INTEGER) AS votes, true AS unreadable FROM reviews"),
 )
 def helpful_cast(spark, sf):
     votes = F.col("helpful_vote").cast("string")
-    unreadable = cleaning.safe_int(F.concat(votes, F.lit(" votes"))).alias("unreadable")
+    unreadable = cleaning.safe_int(F.concat(votes, F.lit(" votes"))).isNull().alias("unreadable")
     return fr.reviews(spark, sf).select("row_key", cleaning.safe_int(votes).alias("votes"), unreadable)
 
 

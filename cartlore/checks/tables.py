@@ -168,7 +168,7 @@ def offline_sink(spark, sf):
     return rows.select("user_id", fr.epoch_ms("event_timestamp", "event_ms"), "day_reviews", "day_avg_qty")
 
 
-HISTORICAL = """SELECT s.order_id, s.item_id, u.day_reviews, u.day_avg_qty FROM spine s
+HISTORICAL = """SELECT s.order_id, s.item_id, CAST(u.day_reviews AS DOUBLE) AS day_reviews, u.day_avg_qty FROM spine s
     ASOF LEFT JOIN user_daily u ON s.user_id = u.user_id AND s.event_timestamp >= u.event_timestamp"""
 
 
@@ -178,7 +178,7 @@ def get_historical_features(spark, sf):
     store.materialize(None, BATCHES[-1])
     refs = ["user_daily:day_reviews", "user_daily:day_avg_qty"]
     found = store.get_historical_features(load(spark, sf, "spine"), refs, with_ttl=False)
-    return found.select("order_id", "item_id", "day_reviews", "day_avg_qty")
+    return found.select("order_id", "item_id", F.col("day_reviews").cast("double"), "day_avg_qty")
 
 
 @checks.add(
@@ -186,7 +186,7 @@ def get_historical_features(spark, sf):
     sql(
         "user_daily",
         """, latest AS (SELECT * FROM user_daily QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_timestamp DESC) = 1)
-           SELECT event_id, e.user_id, day_reviews FROM (SELECT event_id, concat('U', CAST(event_id AS VARCHAR)) AS user_id FROM events) e
+           SELECT event_id, e.user_id, CAST(day_reviews AS DOUBLE) AS day_reviews FROM (SELECT event_id, concat('U', CAST(event_id AS VARCHAR)) AS user_id FROM events) e
            LEFT JOIN latest USING (user_id)""",
     ),
 )
@@ -195,7 +195,8 @@ def get_online_features(spark, sf):
     store = _daily_store(spark, sf)
     store.materialize(None, BATCHES[-1])
     asked = load(spark, sf, "events").select("event_id", F.concat(F.lit("U"), F.col("event_id").cast("string")).alias("user_id"))
-    return store.get_online_features(asked, ["user_daily:day_reviews"]).select("event_id", "user_id", "day_reviews")
+    found = store.get_online_features(asked, ["user_daily:day_reviews"])
+    return found.select("event_id", "user_id", F.col("day_reviews").cast("double"))
 
 
 # --- streams ---------------------------------------------------------------------------

@@ -143,14 +143,14 @@ def _parsed(spark, sf):
     )
 
 
-@checks.add("extract_json", sql("analysis", PARSED + "SELECT doc_id, j IS NOT NULL AS readable, j->>'$.sentiment' AS sentiment, CAST(json_array_length(j, '$.pros') AS INTEGER) AS n_pros FROM p"))
+@checks.add("extract_json", sql("analysis", PARSED + "SELECT doc_id, j IS NOT NULL AS readable, j->>'$.sentiment' AS sentiment, CAST(coalesce(json_array_length(j, '$.pros'), 0) AS INTEGER) AS n_pros FROM p"))
 def extract_json(spark, sf):
     return _parsed(spark, sf).select(
         "doc_id",
         F.col("j").isNotNull().alias("readable"),
         answers.field_text(F.col("j"), "sentiment").alias("sentiment"),
-        F.size(answers.field_list(F.col("j"), "pros")).alias("n_pros"),
-    ).withColumn("n_pros", F.when(F.col("n_pros") >= 0, F.col("n_pros")))
+        F.greatest(F.size(answers.field_list(F.col("j"), "pros")), F.lit(0)).alias("n_pros"),
+    )
 
 
 @checks.add(
