@@ -107,14 +107,20 @@ def user_features(reviews: DataFrame) -> DataFrame:
 
 def item_features(reviews: DataFrame) -> DataFrame:
     """Review statistics of every item; the spread of a single review is NULL."""
-    rows = valid_ratings(normalize_reviews(reviews))
-    return rows.groupBy(F.col("parent_asin").alias("item_id")).agg(
-        F.avg("rating").alias("item_avg_rating"),
-        F.stddev_samp("rating").alias("item_rating_stddev"),
-        F.count("*").alias("item_review_count"),
-        F.sum(cleaning.safe_int(F.col("helpful_vote"))).alias("item_total_helpful_votes"),
-        F.avg(F.length("text")).alias("item_avg_review_length"),
+    rows = valid_ratings(normalize_reviews(reviews)).select(
+        F.col("parent_asin").alias("item_id"),
+        "rating",
+        cleaning.safe_int(F.col("helpful_vote")).alias("votes"),
+        F.length("text").alias("chars"),
     )
+    measures = {
+        "item_avg_rating": F.avg("rating"),
+        "item_rating_stddev": F.stddev_samp("rating"),
+        "item_review_count": F.count("*"),
+        "item_total_helpful_votes": F.sum("votes"),
+        "item_avg_review_length": F.avg("chars"),
+    }
+    return rows.groupBy("item_id").agg(*[measure.alias(name) for name, measure in measures.items()])
 
 
 def item_metadata(catalog: DataFrame, tie: list[Column | str] = ()) -> DataFrame:

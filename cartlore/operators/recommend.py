@@ -100,8 +100,10 @@ def persona_affinity(personas: Side, items: Side) -> DataFrame:
             cosines = np.round(_matrix(with_vector["v"]) @ matrix.T, SCORE_DIGITS) if with_vector.num_rows else None
             for part, values in ((with_vector, cosines), (without, None)):
                 if part.num_rows:
-                    rows = values.tolist() if values is not None else [[None] * len(matrix)] * part.num_rows
-                    lists = pa.array(rows, pa.list_(pa.float64()))
+                    size = part.num_rows * len(matrix)
+                    flat = pa.nulls(size, pa.float64()) if values is None else pa.array(values.ravel())
+                    starts = pa.array(np.arange(0, size + 1, len(matrix), dtype=np.int32))
+                    lists = pa.ListArray.from_arrays(starts, flat)
                     yield pa.RecordBatch.from_arrays([part["item"], lists], names=["item", "cosines"])
 
     rows = items.df.select(F.col(items.id).cast("string").alias("item"), F.col(items.vec).cast("array<double>").alias("v"))

@@ -18,7 +18,8 @@ from .ranking import top_n
 
 BLOCK_ROWS = 8_192  # rows of one side scored together in one task
 BROADCAST_QUERIES = 1_024  # up to here queries travel to the corpus instead of both being shuffled
-SCORE_DIGITS = 9  # scores are cut here, so that ranking does not depend on the block layout
+SCORES_AT_ONCE = 4_000_000  # entries of the score matrix a task holds
+SCORE_DIGITS = 9  # scores are rounded here, so that ranking does not depend on the block layout
 QID, CID, QVEC, CVEC = "_qid", "_cid", "_qvec", "_cvec"
 
 
@@ -33,38 +34,38 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return rows / np.maximum(lengths, vectors.EPS)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k best per row; equal scores go to the smaller id."""
-    rows, cols = [], []
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column numbers and rounded scores of the k best per row; equal scores go to the smaller id.
+
+    Only entries that can be among the k best after rounding are rounded and sorted.
+    """
     k = min(k, scores.shape[1])
+    floor = np.full(scores.shape[0], -np.inf)
     if k < scores.shape[1]:
-        floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    else:
-        floor = np.full(scores.shape[0], -np.inf)
-    for r in range(scores.shape[0]):
-        kept = np.flatnonzero(scores[r] >= floor[r])
-        kept = kept[np.lexsort((ids[kept], -scores[r, kept]))][:k]
-        rows.append(np.full(len(kept), r))
-        cols.append(kept)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _score(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    return np.round(queries @ corpus.T, SCORE_DIGITS)
-
-
-def _hits(qids: np.ndarray, cids: np.ndarray, q: np.ndarray, c: np.ndarray, k: int) -> pa.RecordBatch | None:
-    if not len(qids) or not len(cids):
-        return None
-    scores = _score(q, c)
-    row, col = _best(scores, cids, k)
-    return pa.RecordBatch.from_pydict(
-        {
-            QID: pa.array(qids[row].tolist(), pa.string()),
-            CID: pa.array(cids[col].tolist(), pa.string()),
-            "score": pa.array(scores[row, col], pa.float64()),
-        }
-    )
+        floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - 2 * 10.0**-SCORE_DIGITS
+    rows, cols, values = [], [], []
+    for r, row in enumerate(scores):
+        kept = np.flatnonzero(row >= floor[r])
+        rounded = np.round(row[kept], SCORE_DIGITS)
+        first = np.lexsort((ids[kept], -rounded))[:k]
+        rows.append(np.full(len(first), r))
+        cols.append(kept[first])
+        values.append(rounded[first])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+
+
+def _hits(qids: np.ndarray, cids: np.ndarray, q: np.ndarray, c: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of one block of corpus rows for each query, a bounded number of scores at a time."""
+    step = max(1, SCORES_AT_ONCE // max(len(cids), 1))
+    for start in range(0, len(qids) if len(cids) else 0, step):
+        row, col, score = _best(q[start : start + step] @ c.T, cids, k)
+        yield pa.RecordBatch.from_pydict(
+            {
+                QID: pa.array(qids[start + row].tolist(), pa.string()),
+                CID: pa.array(cids[col].tolist(), pa.string()),
+                "score": pa.array(score, pa.float64()),
+            }
+        )
 
 
 def _strings(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -74,6 +75,7 @@ def _strings(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 _HITS = T.StructType(
     [T.StructField(QID, T.StringType()), T.StructField(CID, T.StringType()), T.StructField("score", T.DoubleType())]
 )
+_HITS_ARROW = pa.schema([(QID, pa.string()), (CID, pa.string()), ("score", pa.float64())])
 
 
 def _broadcast_hits(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -84,9 +86,7 @@ def _broadcast_hits(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
         for batch in batches:
-            found = _hits(qids, _strings(batch[CID]), q, _matrix(batch[CVEC]), k)
-            if found is not None:
-                yield found
+            yield from _hits(qids, _strings(batch[CID]), q, _matrix(batch[CVEC]), k)
 
     return corpus.mapInArrow(score_partition, _HITS)
 
@@ -121,9 +121,7 @@ def _block_hits(queries: DataFrame, corpus: DataFrame, k: int, group: list[str],
 
     def score_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
         found = _hits(_strings(left[QID]), _strings(right[CID]), _matrix(left[QVEC]), _matrix(right[CVEC]), k)
-        if found is None:
-            return pa.table({QID: pa.array([], pa.string()), CID: pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        return pa.Table.from_batches([found])
+        return pa.Table.from_batches(found, _HITS_ARROW)
 
     left = q_blocks.select(*on, QID, QVEC).groupBy(*on)
     right = c_blocks.select(*on, CID, CVEC).groupBy(*on)

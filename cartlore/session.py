@@ -27,6 +27,8 @@ def build_session(app: str = "cartlore", master: str | None = None, **conf: obje
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot key also where the next operator then needs a shuffle of its own
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         "spark.sql.parquet.filterPushdown": "true",

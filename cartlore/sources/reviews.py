@@ -13,16 +13,19 @@ from .. import schemas
 from ..functions import categories, cleaning
 from . import files
 
+# --- fixed values -----------------------------------------------------------
 CATALOG_TIMESTAMP = "2020-01-01 00:00:00"
+FORMER_NAMES = {"asin": "parent_asin"}
+ADDED_COLUMNS = {"helpful_vote": 0}
+# -----------------------------------------------------------------------------
 
 
 def normalize_reviews(df: DataFrame) -> DataFrame:
-    """Accept the older layouts: ``asin`` instead of ``parent_asin``, no vote column."""
-    if "asin" in df.columns and "parent_asin" not in df.columns:
-        df = df.withColumnRenamed("asin", "parent_asin")
-    if "helpful_vote" not in df.columns:
-        df = df.withColumn("helpful_vote", F.lit(0))
-    return df
+    """Accept older layouts: former column names, columns that did not exist yet."""
+    present = set(df.columns)
+    renamed = {old: new for old, new in FORMER_NAMES.items() if old in present and new not in present}
+    added = {name: F.lit(value) for name, value in ADDED_COLUMNS.items() if name not in present}
+    return df.withColumnsRenamed(renamed).withColumns(added) if renamed or added else df
 
 
 def with_event_time(df: DataFrame) -> DataFrame:
@@ -39,9 +42,17 @@ def with_path_category(df: DataFrame) -> DataFrame:
 
 
 def scan_reviews(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Reviews of all category folders below a glob, with category and event time."""
+    """Reviews of all category folders below a glob, with category and event time.
+
+    With folders named ``category=<name>`` below ``path`` the category is a
+    partition column, so a filter on it skips whole folders; plain folder names
+    are read off the file path.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return with_event_time(normalize_reviews(with_path_category(reader.parquet(path))))
+    df = reader.parquet(path)
+    if "category" not in df.columns:
+        df = with_path_category(df)
+    return with_event_time(normalize_reviews(df))
 
 
 def to_review_events(df: DataFrame) -> DataFrame:

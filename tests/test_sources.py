@@ -120,3 +120,12 @@ def test_pruning_and_pushdown_reach_the_scan(spark):
     text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(ts" in text and "LessThan(ts" in text
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in text
+
+
+def test_partition_folders_are_pruned(spark, tmp_path):
+    df = spark.createDataFrame(REVIEW_ROWS, REVIEW_SCHEMA)
+    df.write.partitionBy("category").parquet(f"{tmp_path}/reviews")
+    found = src.scan_reviews(spark, f"{tmp_path}/reviews").filter("category = 'Electronics'")
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "PartitionFilters: [isnotnull(category" in plan
+    assert found.count() == 4
