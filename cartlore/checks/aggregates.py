@@ -300,9 +300,13 @@ def train_val_split_exact(spark, sf):
     return indexing.exact_split(keyed, "k", 0.9, 42).drop("k")
 
 
-@checks.add("limit_rows")
+@checks.add("limit_rows", "SELECT least(100, count(*)) AS n_rows, 0 AS n_foreign FROM orders")
 def limit_rows(spark, sf):
-    return ranking.limit_rows(load(spark, sf, "orders"), 100)
+    """Any hundred orders: their number, and how many of them are no orders."""
+    orders = load(spark, sf, "orders").select("o_orderkey")
+    head = ranking.limit_rows(orders, 100)
+    known = head.join(orders.withColumn("known", F.lit(True)), "o_orderkey", "left")
+    return known.agg(F.count("*").alias("n_rows"), F.count_if(F.col("known").isNull()).cast("int").alias("n_foreign"))
 
 
 # --- training set ----------------------------------------------------------------

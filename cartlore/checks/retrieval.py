@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as ops
 from ..operators import recommend
 from ..operators import similarity as sim
 from ..plans import views
@@ -66,6 +67,16 @@ def ivf_search(spark, sf):
     return sim.search_ivf(users(spark, sf), sim.build_ivf(items(spark, sf), NLIST), NPROBE, 10)
 
 
+@checks.add(
+    "ivf_search_all_cells",
+    sql("user_vectors item_vectors", SCORED + " SELECT user_id, item_id, round(cosine, 6) AS score, rank FROM ranked WHERE rank <= 10"),
+)
+def ivf_search_all_cells(spark, sf):
+    """Probing every cell must give the exact result."""
+    hits = sim.search_ivf(users(spark, sf), sim.build_ivf(items(spark, sf), NLIST), NLIST, 10)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @checks.add("ivf_index")
 def ivf_index(spark, sf):
     return sim.build_ivf(items(spark, sf), NLIST).rows.groupBy("cell").agg(F.count("*").alias("n_rows"))
@@ -85,6 +96,19 @@ def catalog_vectors(spark, sf):
     return unit.select("item_id", F.round(total, 3).alias("unit_sum"))
 
 
+@checks.add(
+    "review_embedding_rows",
+    sql(
+        "doc_reviews",
+        """SELECT sha256(concat_ws('_', user_id, parent_asin, CAST(ts_ms AS VARCHAR))) AS review_id, parent_asin AS item_id, user_id, rating,
+                  title AS review_title, substr(e, 1, 511) AS embed_text
+           FROM (SELECT *, coalesce(title, '') || ' ' || coalesce(text, '') AS e FROM doc_reviews) WHERE length(e) >= 20""",
+    ),
+)
+def review_embedding_rows(spark, sf):
+    return ops.embedding_rows(fr.doc_reviews(spark, sf))
+
+
 @checks.add("review_embeddings")
 def review_embeddings(spark, sf):
     return views.review_embeddings(fr.doc_reviews(spark, sf))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,11 +172,11 @@ def with_payload(hits: DataFrame, corpus: DataFrame, key: str, columns: list[str
     return hits.join(corpus.select(key, *columns), key)
 
 
-def prefer_matching(hits: DataFrame, query: str, matches) -> DataFrame:
-    """Keep a query's matching hits; a query without any keeps them all."""
+def prefer_matching(hits: DataFrame, query: str, matches: Column) -> DataFrame:
+    """Keep a query's matching hits; a query without any keeps them all. A query has at most k hits."""
     flagged = hits.withColumn("_match", F.coalesce(matches, F.lit(False)))
-    any_match = flagged.groupBy(query).agg(F.max("_match").alias("_any"))
-    kept = flagged.join(any_match, query).filter(F.col("_match") | ~F.col("_any"))
+    any_match = F.max("_match").over(Window.partitionBy(query))
+    kept = flagged.withColumn("_any", any_match).filter(F.col("_match") | ~F.col("_any"))
     return kept.drop("_match", "_any")
 
 
