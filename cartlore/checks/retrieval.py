@@ -39,9 +39,8 @@ SIGMOID = "round(1 / (1 + exp(-cosine)), 4)"
     sql("user_vectors item_vectors", SCORED + " SELECT user_id, item_id, round(cosine, 6) AS score, round(1 - cosine, 6) AS distance, rank, category FROM ranked WHERE rank <= 10"),
 )
 def vector_topk(spark, sf):
-    hits = sim.vector_topk(users(spark, sf), items(spark, sf), 10)
-    hits = hits.withColumns({"score": F.round("score", 6), "distance": F.round("distance", 6)})
-    return sim.with_payload(hits, load(spark, sf, "item_vectors"), "item_id", ["category"])
+    hits = sim.vector_topk(users(spark, sf), items(spark, sf), 10, ["category"])
+    return hits.withColumns({"score": F.round("score", 6), "distance": F.round("distance", 6)})
 
 
 @checks.add(
@@ -55,8 +54,7 @@ def vector_topk(spark, sf):
 )
 def vector_topk_filtered(spark, sf):
     """Each query asks for items of its own label and keeps everything where there are none."""
-    hits = sim.vector_topk(users(spark, sf), items(spark, sf), 3)
-    hits = sim.with_payload(hits, load(spark, sf, "item_vectors"), "item_id", ["category"])
+    hits = sim.vector_topk(users(spark, sf), items(spark, sf), 3, ["category"])
     asked = load(spark, sf, "user_vectors").select("user_id", F.col("category").alias("asked"))
     matches = F.col("category") == F.col("asked")
     return sim.prefer_matching(hits.join(asked, "user_id"), "user_id", matches).select("user_id", "item_id", "rank")

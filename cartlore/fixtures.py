@@ -53,7 +53,7 @@ FIXTURES: dict[str, str] = {
         FROM {part}
         UNION ALL
         SELECT concat('P', CAST(p_partkey AS STRING)), concat(p_name, ' (dup)'), 'Books', 'None', p_brand, 1
-        FROM {part} WHERE p_partkey % 10 = 0""",
+        FROM {part}""",
     "user_daily": """
         SELECT concat('U', CAST(o_custkey AS STRING)) AS user_id, CAST(l_shipdate AS TIMESTAMP) AS event_timestamp,
                count(*) AS day_reviews, round(avg(l_quantity), 6) AS day_avg_qty

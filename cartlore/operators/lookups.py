@@ -38,14 +38,25 @@ def resolve_refs(refs: list[str]) -> dict[str, list[str]]:
     return grouped
 
 
-def online_lookup(entities: DataFrame, snapshots: list[tuple[DataFrame, list[str], list[str]]]) -> DataFrame:
+FEW_REQUESTS = 100_000
+
+
+def online_lookup(
+    entities: DataFrame, snapshots: list[tuple[DataFrame, list[str], list[str]]], few: int = FEW_REQUESTS
+) -> DataFrame:
     """Latest features for each requested entity row; unknown keys give NULLs.
 
     ``snapshots`` lists (latest-per-key table, its keys, wanted features). Every
     table holds one row per key, so the number of request rows is unchanged.
+    Up to ``few`` requests their keys are sent to the tables first, so that a
+    large table is only filtered where it lies and never shuffled.
     """
+    narrow = entities.limit(few + 1).count() <= few
     for table, keys, features in snapshots:
-        entities = entities.join(table.select(*keys, *features), keys, "left")
+        rows = table.select(*keys, *features)
+        if narrow:
+            rows = rows.join(F.broadcast(entities.select(*keys).distinct()), keys, "left_semi")
+        entities = entities.join(rows, keys, "left")
     return entities
 
 

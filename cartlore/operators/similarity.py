@@ -20,7 +20,7 @@ BLOCK_ROWS = 8_192  # rows of one side scored together in one task
 BROADCAST_QUERIES = 1_024  # up to here queries travel to the corpus instead of both being shuffled
 SCORES_AT_ONCE = 4_000_000  # entries of the score matrix a task holds
 SCORE_DIGITS = 9  # scores are rounded here, so that ranking does not depend on the block layout
-QID, CID, QVEC, CVEC = "_qid", "_cid", "_qvec", "_cvec"
+QID, QNO, CID, QVEC, CVEC = "_qid", "_qno", "_cid", "_qvec", "_cvec"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -54,74 +54,85 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
-def _hits(qids: np.ndarray, cids: np.ndarray, q: np.ndarray, c: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of one block of corpus rows for each query, a bounded number of scores at a time."""
-    step = max(1, SCORES_AT_ONCE // max(len(cids), 1))
-    for start in range(0, len(qids) if len(cids) else 0, step):
-        row, col, score = _best(q[start : start + step] @ c.T, cids, k)
-        yield pa.RecordBatch.from_pydict(
-            {
-                QID: pa.array(qids[start + row].tolist(), pa.string()),
-                CID: pa.array(cids[col].tolist(), pa.string()),
-                "score": pa.array(score, pa.float64()),
-            }
-        )
+def _scored(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query numbers, corpus row numbers and scores of the k best of one block, a bounded number of scores at a time."""
+    step = max(1, SCORES_AT_ONCE // max(len(ids), 1))
+    for start in range(0, len(q) if len(ids) else 0, step):
+        row, col, score = _best(q[start : start + step] @ c.T, ids, k)
+        yield start + row, col, score
 
 
 def _strings(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
+def _keep_best(hits: pa.Table, k: int) -> pa.Table:
+    """The k best hits of each query number, in query order."""
+    number, score = hits[QNO].to_numpy(), hits["score"].to_numpy()
+    order = np.lexsort((_strings(hits[CID]), -score, number))
+    number = number[order]
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    place = np.arange(len(number)) - np.repeat(first, np.diff(np.r_[first, len(number)]))
+    return hits.take(pa.array(order[place < k]))
+
+
 _HITS = T.StructType(
     [T.StructField(QID, T.StringType()), T.StructField(CID, T.StringType()), T.StructField("score", T.DoubleType())]
 )
-_HITS_ARROW = pa.schema([(QID, pa.string()), (CID, pa.string()), ("score", pa.float64())])
 
 
 def _broadcast_hits(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Few queries: every task scores its own corpus rows, the corpus is not shuffled."""
+    """Few queries: every task scores its own corpus rows and returns its k best per query.
+
+    The corpus is not shuffled, and its other columns come along with the hits.
+    """
     small = queries.toArrow()  # at most BROADCAST_QUERIES rows, checked by the caller
-    shared = corpus.sparkSession.sparkContext.broadcast((_strings(small[QID]), _matrix(small[QVEC])))
+    shared = corpus.sparkSession.sparkContext.broadcast((small[QID].to_pylist(), _matrix(small[QVEC])))
+    payload = [f for f in corpus.schema.fields if f.name not in (CID, CVEC)]
+    names = [QID, CID, "score", *[f.name for f in payload]]
 
     def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
+        best = None
         for batch in batches:
-            yield from _hits(qids, _strings(batch[CID]), q, _matrix(batch[CVEC]), k)
+            rows = pa.Table.from_batches([batch]).drop_columns([CVEC])
+            for number, col, score in _scored(q, _matrix(batch[CVEC]), _strings(batch[CID]), k):
+                found = rows.take(pa.array(col)).append_column(QNO, pa.array(number)).append_column("score", pa.array(score))
+                best = _keep_best(found if best is None else pa.concat_tables([best, found]), k)
+        if best is not None:
+            asked = pa.array(qids, pa.string()).take(best[QNO].combine_chunks())
+            yield from best.append_column(QID, asked).select(names).to_batches()
 
-    return corpus.mapInArrow(score_partition, _HITS)
+    return corpus.mapInArrow(score_partition, T.StructType([*_HITS.fields, *payload]))
 
 
-def _block_counts(df: DataFrame, group: list[str], name: str, block_rows: int) -> DataFrame:
-    blocks = F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name)
-    return df.groupBy(*group).agg(blocks)
-
-
-def _block_hits(queries: DataFrame, corpus: DataFrame, k: int, group: list[str], block_rows: int) -> DataFrame:
+def _block_hits(queries: DataFrame, corpus: DataFrame, k: int, group: list[str]) -> DataFrame:
     """Many queries: blocks of both sides meet in one task each and return their best k.
 
-    Within a group (the whole table, or one cell of an index) both sides are
-    split by a hash of their id into blocks of about ``block_rows`` rows, so a
-    large group becomes many tasks. Pairs are never rows: a task multiplies two
-    block matrices and keeps k results per query.
+    Both sides carry the number of blocks, ``_qn`` and ``_cn``, of their group
+    (the whole table, or one cell of an index) and are split by a hash of their
+    id, so a large group becomes many tasks. Pairs are never rows: a task
+    multiplies two block matrices and keeps k results per query.
     """
-    counts = _block_counts(queries, group, "_qn", block_rows).join(_block_counts(corpus, group, "_cn", block_rows), group)
-    sizes = F.broadcast(counts)  # one row, or one per index cell
-    sized_q = queries.join(sizes, group)
-    sized_c = corpus.join(sizes, group)
 
-    def block(col: str, n: str):
+    def block(col: str, n: str) -> Column:
         return F.pmod(F.xxhash64(col), F.col(n)).cast("int")
 
-    def every(n: str):
+    def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    q_blocks = sized_q.withColumn("_qb", block(QID, "_qn")).withColumn("_cb", every("_cn"))
-    c_blocks = sized_c.withColumn("_cb", block(CID, "_cn")).withColumn("_qb", every("_qn"))
     on = [*group, "_qb", "_cb"]
+    q_blocks = queries.withColumn("_qb", block(QID, "_qn")).withColumn("_cb", every("_cn"))
+    c_blocks = corpus.withColumn("_cb", block(CID, "_cn")).withColumn("_qb", every("_qn"))
 
     def score_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _hits(_strings(left[QID]), _strings(right[CID]), _matrix(left[QVEC]), _matrix(right[CVEC]), k)
-        return pa.Table.from_batches(found, _HITS_ARROW)
+        qids, ids = left[QID].combine_chunks(), right[CID].combine_chunks()
+        parts = [
+            pa.table({QID: qids.take(pa.array(number)), CID: ids.take(pa.array(col)), "score": pa.array(score)})
+            for number, col, score in _scored(_matrix(left[QVEC]), _matrix(right[CVEC]), _strings(ids), k)
+        ]
+        empty = pa.table({QID: qids[:0], CID: ids[:0], "score": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *parts])
 
     left = q_blocks.select(*on, QID, QVEC).groupBy(*on)
     right = c_blocks.select(*on, CID, CVEC).groupBy(*on)
@@ -141,37 +152,45 @@ class Side:
     vec: str
 
 
-def _plain(side: Side, id_name: str, vec_name: str) -> DataFrame:
-    vec = F.col(side.vec).cast("array<double>").alias(vec_name)
-    return side.df.select(F.col(side.id).cast("string").alias(id_name), vec).filter(F.size(vec_name) > 0)
+def _plain(side: Side, id_name: str, vec_name: str, payload: list[str] = ()) -> DataFrame:
+    found = side.df.select(F.col(side.id).cast("string").alias(id_name), F.col(side.vec).alias(vec_name), *payload)
+    return found.filter(F.size(vec_name) > 0)
+
+
+def _blocks(rows: int, block_rows: int) -> Column:
+    return F.lit(max(1, -(-rows // block_rows)))
 
 
 def vector_topk(
-    queries: Side, corpus: Side, k: int, broadcast_queries: int = BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS
+    queries: Side,
+    corpus: Side,
+    k: int,
+    payload: list[str] = (),
+    broadcast_queries: int = BROADCAST_QUERIES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The k corpus rows of highest cosine for each query: ids, ``score``, ``distance``, ``rank``."""
-    q, c = _plain(queries, QID, QVEC), _plain(corpus, CID, CVEC)
-    few = q.limit(broadcast_queries + 1).count() <= broadcast_queries
-    if few:
-        hits = _broadcast_hits(q, c, k)
+    """The k corpus rows of highest cosine for each query: ids, ``score``, ``distance``, ``rank`` and payload columns."""
+    payload = list(payload)
+    q = _plain(queries, QID, QVEC)
+    if q.limit(broadcast_queries + 1).count() <= broadcast_queries:
+        best = _best_hits(_broadcast_hits(q, _plain(corpus, CID, CVEC, payload), k), k)
     else:
-        one = {"_group": F.lit(0)}
-        hits = _block_hits(q.withColumns(one), c.withColumns(one), k, ["_group"], block_rows)
-    best = _best_hits(hits, k)
+        c = _plain(corpus, CID, CVEC)
+        sizes = {"_qn": _blocks(q.count(), block_rows), "_cn": _blocks(c.count(), block_rows)}
+        best = _best_hits(_block_hits(q.withColumns(sizes), c.withColumns(sizes), k, []), k)
+        if payload:
+            named = corpus.df.select(F.col(corpus.id).cast("string").alias(CID), *payload)
+            best = best.join(named, CID)
     return best.select(
         F.col(QID).alias(queries.id),
         F.col(CID).alias(corpus.id),
         "score",
         (F.lit(1.0) - F.col("score")).alias("distance"),
         "rank",
+        *payload,
     )
 
 
-def with_payload(hits: DataFrame, corpus: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Columns of the found corpus rows; the hits are few, the corpus is read once with these columns."""
-    return hits.join(corpus.select(key, *columns), key)
-
-
 def prefer_matching(hits: DataFrame, query: str, matches: Column) -> DataFrame:
     """Keep a query's matching hits; a query without any keeps them all. A query has at most k hits."""
     flagged = hits.withColumn("_match", F.coalesce(matches, F.lit(False)))
@@ -239,10 +258,14 @@ def nearest_cells(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataF
 def search_ivf(queries: Side, index: IvfIndex, nprobe: int, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate top-k: exact cosine inside the probed cells; large cells are split into blocks."""
     q = nearest_cells(_plain(queries, QID, QVEC), index.centres, nprobe)
-    rows = index.rows.select(
-        F.col(index.id).cast("string").alias(CID), F.col(index.vec).cast("array<double>").alias(CVEC), "cell"
-    )
-    best = _best_hits(_block_hits(q, rows, k, ["cell"], block_rows), k)
+    c = _plain(Side(index.rows, index.id, index.vec), CID, CVEC, ["cell"])
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name))
+
+    counts = F.broadcast(sizes(q, "_qn").join(sizes(c, "_cn"), "cell"))  # at most one row per cell
+    hits = _block_hits(q.join(counts, "cell"), c.join(counts, "cell"), k, ["cell"])
+    best = _best_hits(hits, k)
     return best.select(F.col(QID).alias(queries.id), F.col(CID).alias(index.id), "score", "rank")
 
 

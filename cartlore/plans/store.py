@@ -181,8 +181,7 @@ class FeatureStore:
         definition = self.registry.get(view)
         corpus = self.online(view)
         key = definition.keys[0]
-        hits = similarity.vector_topk(queries, similarity.Side(corpus, key, vec), k)
-        return similarity.with_payload(hits, corpus, key, list(payload))
+        return similarity.vector_topk(queries, similarity.Side(corpus, key, vec), k, list(payload))
 
 
 def batch_name(start: str | None, end: str | None) -> str:

@@ -98,8 +98,9 @@ def test_factors_cover_all_ids(spark):
 def test_lookup_keeps_request_rows(spark):
     asked = spark.createDataFrame([(1, "a"), (2, "zz"), (3, "a")], "row int, k string")
     table = spark.createDataFrame([("a", 5), ("b", 6)], "k string, v int")
-    rows = lookups.online_lookup(asked, [(table, ["k"], ["v"])]).orderBy("row").collect()
-    assert [(r.row, r.v) for r in rows] == [(1, 5), (2, None), (3, 5)]
+    for few in (0, 100):
+        rows = lookups.online_lookup(asked, [(table, ["k"], ["v"])], few).orderBy("row").collect()
+        assert [(r.row, r.v) for r in rows] == [(1, 5), (2, None), (3, 5)]
 
 
 def test_refs():

@@ -57,6 +57,21 @@ def test_exact_search(data, way, k):
         assert [s for _, s in actual[key]] == pytest.approx([s for _, s in expected[key]], abs=1e-8)
 
 
+@pytest.mark.parametrize("way", [{}, {"broadcast_queries": 3, "block_rows": 20}])
+def test_payload_comes_with_the_hits(data, way):
+    _, _, q, c = data
+    rich = sim.Side(c.df.withColumn("note", F.concat(F.lit("n"), "cid")).withColumn("tags", F.array("cid")), "cid", "vec")
+    rows = sim.vector_topk(q, rich, 7, ["note", "tags"], **way).collect()
+    assert len(rows) == 23 * 7 and all(r.note == "n" + r.cid and r.tags == [r.cid] for r in rows)
+
+
+def test_block_search_plans_no_product(data):
+    _, _, q, c = data
+    hits = sim.vector_topk(q, c, 3, broadcast_queries=3)
+    plan = hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "simple")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_index_search(data):
     _, _, q, c = data
     index = sim.build_ivf(c, 6)
