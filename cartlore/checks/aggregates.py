@@ -89,7 +89,8 @@ def top_category_per_user(spark, sf):
     ),
 )
 def distinct_vocab(spark, sf):
-    return training.category_vocab(training.super_category_prep(fr.rated(spark, sf), fr.metadata(spark, sf)))
+    filled = training.filled_rows(fr.rated(spark, sf), fr.metadata(spark, sf))
+    return training.category_vocab(filled, training.user_top_category(filled))
 
 
 @checks.add(
@@ -342,9 +343,11 @@ def super_category_fill(spark, sf):
     ),
 )
 def entity_category_map(spark, sf):
-    prepared = _prepared(spark, sf)
-    users, items = indexing.ordinal(prepared, "user_id"), indexing.ordinal(prepared, "item_id")
-    coded = training.encode_samples(prepared, users, items, training.category_vocab(prepared))
+    filled = training.filled_rows(fr.rated(spark, sf), fr.metadata(spark, sf))
+    top = training.user_top_category(filled)
+    users, items = indexing.ordinal(filled, "user_id"), indexing.ordinal(filled, "item_id")
+    cats = training.category_vocab(filled, top)
+    coded = training.encode_samples(training.with_user_category(filled, top), users, items, cats)
     return training.entity_category(coded, "user_idx", "user_cat_idx", "row_key")
 
 

@@ -8,7 +8,6 @@ from ..functions import categories
 from ..operators import asof, indexing, lookups, recommend
 from ..operators import features as ops
 from ..operators import similarity as sim
-from ..operators.ranking import first_per_key
 from . import frames as fr
 from .base import Checks
 from .sources import DISPLAY

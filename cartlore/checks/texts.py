@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import answers, categories, signals, vectors
 from ..functions import text as t
 from ..operators import assembly
-from ..operators import features as ops
 from . import frames as fr
 from .base import Checks
 

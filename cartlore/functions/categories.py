@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,7 +97,3 @@ def contains_either_way(left: Column, right: Column) -> Column:
     """Case-insensitive containment in either direction; empty or missing text matches all."""
     a, b = (F.lower(F.coalesce(c, F.lit(""))) for c in (left, right))
     return a.contains(b) | b.contains(a)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions)

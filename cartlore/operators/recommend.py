@@ -7,7 +7,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import categories, signals, vectors
 from . import indexing
 from .ranking import top_n
-from .similarity import SCORE_DIGITS, Side, _matrix, vector_topk
+from .similarity import SCORE_DIGITS, Side, _matrix, unit_vectors, vector_topk
 
 OVER_FETCH = 10
 COLD_START_INDEX = 0
@@ -24,7 +24,8 @@ COLD_START_INDEX = 0
 
 def catalog_vectors(items: DataFrame, id_col: str, vec: str) -> DataFrame:
     """Item vectors scaled to unit length once, ready to be stored."""
-    return items.select(id_col, vectors.l2_normalize(F.col(vec)).cast("array<float>").alias("unit"))
+    units = unit_vectors(items, vec, "unit")
+    return units.select(id_col, F.col("unit").cast("array<float>").alias("unit"))
 
 
 def shown_score(cosine: Column) -> Column:
@@ -95,8 +96,8 @@ def persona_affinity(personas: Side, items: Side) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
         for batch in batches:
-            known = pa.compute.greater(pa.compute.fill_null(pa.compute.list_value_length(batch["v"]), 0), 0)
-            with_vector, without = batch.filter(known), batch.filter(pa.compute.invert(known))
+            known = pc.greater(pc.fill_null(pc.list_value_length(batch["v"]), 0), 0)
+            with_vector, without = batch.filter(known), batch.filter(pc.invert(known))
             cosines = np.round(_matrix(with_vector["v"]) @ matrix.T, SCORE_DIGITS) if with_vector.num_rows else None
             for part, values in ((with_vector, cosines), (without, None)):
                 if part.num_rows:

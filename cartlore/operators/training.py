@@ -9,7 +9,7 @@ from ..functions import categories, cleaning
 from ..session import ensure_checkpoint_dir
 from . import indexing
 from .features import top_category
-from .lookups import attach_item_category, map_lookup
+from .lookups import attach_item_category, map_lookup, union_distinct
 
 NEGATIVES_PER_ROW = 2
 
@@ -23,17 +23,29 @@ def fill_categories(interactions: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
+def filled_rows(interactions: DataFrame, metadata: DataFrame) -> DataFrame:
+    return fill_categories(interactions, metadata).drop("was_missing", "user_primary_category")
+
+
+def user_top_category(filled: DataFrame) -> DataFrame:
+    return top_category(filled, "item_category", "user_primary_category")
+
+
+def with_user_category(filled: DataFrame, top: DataFrame) -> DataFrame:
+    return map_lookup(filled, top, "user_id", "user_primary_category", categories.DEFAULT_SUPER_CATEGORY)
+
+
 def super_category_prep(interactions: DataFrame, metadata: DataFrame) -> DataFrame:
     """Rows with both sides' super-categories; the user's is their most frequent item category."""
-    filled = fill_categories(interactions, metadata).drop("was_missing", "user_primary_category")
-    top = top_category(filled, "item_category", "user_primary_category")
-    return map_lookup(filled, top, "user_id", "user_primary_category", categories.DEFAULT_SUPER_CATEGORY)
+    filled = filled_rows(interactions, metadata)
+    return with_user_category(filled, user_top_category(filled))
 
 
-def category_vocab(prepared: DataFrame) -> DataFrame:
-    """Sorted categories of both columns with their index. At most the six fixed names."""
-    names = indexing.vocab(prepared, ["item_category", "user_primary_category"], "category")
-    return indexing.global_index(names, ["category"])
+def category_vocab(filled: DataFrame, top: DataFrame) -> DataFrame:
+    """Sorted item and user categories with their index. At most the five fixed names."""
+    item_names = filled.select(F.col("item_category").alias("category")).distinct()
+    user_names = top.select(F.col("user_primary_category").alias("category")).distinct()
+    return indexing.global_index(union_distinct(item_names, user_names), ["category"])
 
 
 def entity_category(samples: DataFrame, entity_idx: str, category_idx: str, order: str) -> DataFrame:
@@ -92,15 +104,16 @@ def reject_known(pairs: DataFrame, samples: DataFrame) -> DataFrame:
 def training_samples(interactions: DataFrame, metadata: DataFrame, ratio: int = NEGATIVES_PER_ROW, seed: int = 42):
     """Observed rows and random negatives with all indices, plus the vocabularies used.
 
-    The prepared and the encoded rows are each needed several times (vocabularies,
+    The filled and the encoded rows are each needed several times (vocabularies,
     category maps, draws), so they are written to the checkpoint folder once.
     """
     ensure_checkpoint_dir(interactions.sparkSession)
-    prepared = super_category_prep(interactions, metadata).checkpoint()
-    users = indexing.ordinal(prepared, "user_id")
-    items = indexing.ordinal(prepared, "item_id")
-    cats = category_vocab(prepared)
-    observed = encode_samples(prepared, users, items, cats).checkpoint()
+    filled = filled_rows(interactions, metadata).checkpoint()
+    top = user_top_category(filled)
+    users = indexing.ordinal(filled, "user_id")
+    items = indexing.ordinal(filled, "item_id")
+    cats = category_vocab(filled, top)
+    observed = encode_samples(with_user_category(filled, top), users, items, cats).checkpoint()
     drawn = negatives(observed, users.count(), items.count(), ratio, seed)
     return observed.unionByName(drawn), {"user": users, "item": items, "category": cats}
 
