@@ -13,10 +13,15 @@ WITHOUT_SQL = {"cf_train", "ivf_search", "ivf_index", "review_embeddings"}
 
 
 def assert_scalable(df) -> None:
-    """No product joins and no row-at-a-time Python in the plan."""
+    """No product joins, no row-at-a-time Python, no window over one partition."""
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert operator not in plan
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    for at, line in enumerate(lines):
+        if line.startswith("Window "):
+            below = next(x for x in lines[at + 1 :] if not x.startswith(("Sort", "Project", "WindowGroupLimit")))
+            assert not below.startswith("Exchange SinglePartition"), line
 
 
 @pytest.mark.parametrize("name", sorted(checks.SQL))
