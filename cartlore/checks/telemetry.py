@@ -161,3 +161,20 @@ def latency_quantile_window(spark, sf):
 def counter_increase(spark, sf):
     grown = tm.counter_increase(load(spark, sf, "counter_samples"), ["series"], "ts", "value", "1 minute", 60)
     return grown.select("series", fr.epoch_ms("start", "start_ms"), "increase", "per_second")
+
+
+@checks.add(
+    "counter_rate_by",
+    """WITH samples AS (SELECT event_type, user_id, ts, CAST(event_id % 997 AS DOUBLE) AS value FROM events),
+        steps AS (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, value) AS prev FROM samples)
+       SELECT event_type, CAST(floor(epoch_us(ts) / 300000000.0) AS BIGINT) * 300000 AS start_ms,
+              round(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) / 300, 9) AS rate
+       FROM steps GROUP BY ALL""",
+)
+def counter_rate_by(spark, sf):
+    """One counter per event type and user, summed by event type."""
+    samples = load(spark, sf, "events").select(
+        "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 997).cast("double").alias("value")
+    )
+    rates = tm.counter_rate_by(samples, ["event_type", "user_id"], ["event_type"], "ts", "value", "5 minutes", 300)
+    return rates.select("event_type", fr.epoch_ms("start", "start_ms"), F.round("rate", 9).alias("rate"))

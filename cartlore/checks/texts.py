@@ -191,6 +191,39 @@ def normalize_aspects(spark, sf):
     )
 
 
+@checks.add(
+    "answer_sentiments",
+    sql(
+        "review_answers",
+        """, s AS (SELECT doc_id, unnest([raw->>'$.per_review[0].sentiment', raw->>'$.per_review[1]', '']) AS sentiment FROM review_answers),
+            c AS (SELECT doc_id, count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'neutral') AS neutral,
+                         count(*) FILTER (WHERE sentiment = 'negative') AS negative FROM s GROUP BY doc_id),
+            t AS (SELECT *, greatest(positive + neutral + negative, 1) AS total FROM c)
+           SELECT *, CAST(trunc(positive / total * 100) AS INTEGER) AS pos_pct, CAST(trunc(neutral / total * 100) AS INTEGER) AS neu_pct,
+                  CAST(trunc(negative / total * 100) AS INTEGER) AS neg_pct FROM t""",
+    ),
+)
+def answer_sentiments(spark, sf):
+    """Labels of all reviews in an answer, counted per answer."""
+    parsed = answers.json_object(F.col("raw"))
+    labels = F.explode(answers.review_sentiments(parsed)).alias("sentiment")
+    return assembly.sentiment_summary(load(spark, sf, "review_answers").select("doc_id", labels), "doc_id")
+
+
+@checks.add(
+    "answer_card",
+    sql(
+        "review_answers",
+        """SELECT doc_id, raw->>'$.verdict' AS verdict, 'a b c d e' AS pros, CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE '' END AS cons,
+                  '' AS best_for, '' AS not_for, '' AS themes FROM review_answers""",
+    ),
+)
+def answer_card(spark, sf):
+    fields = answers.card_fields(answers.json_object(F.col("raw")))
+    shown = [c.alias(n) if n == "verdict" else F.array_join(c, " ").alias(n) for n, c in fields.items()]
+    return load(spark, sf, "review_answers").select("doc_id", *shown)
+
+
 @checks.add("join_nonempty", sql("catalog", "SELECT parent_asin, copy_no, concat_ws(' · ', nullif(store, ''), nullif(main_category, '')) AS line FROM catalog"))
 def join_nonempty(spark, sf):
     line = t.join_nonempty(" · ", F.col("store"), F.col("main_category")).alias("line")

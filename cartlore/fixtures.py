@@ -103,6 +103,13 @@ FIXTURES: dict[str, str] = {
                concat('Fallback {"sentiment": "', s, '", "aspects": {"screen": "neutral"}}') AS raw_second
         FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'positive' WHEN toxic = 1 THEN 'negative' ELSE 'mixed' END AS s,
                      CASE WHEN toxic = 1 THEN 'poor' ELSE 'great value' END AS v FROM {labels}) l""",
+    # answers that label several reviews, as objects and as plain texts, and list pros and cons
+    "review_answers": """
+        SELECT doc_id, concat('{"per_review": [{"sentiment": "', CASE WHEN quality = 1 THEN 'positive' ELSE 'neutral' END, '"}, "',
+                              CASE WHEN toxic = 1 THEN 'negative' ELSE 'positive' END, '", {"other": 1}], "verdict": "',
+                              CASE WHEN toxic = 1 THEN 'skip' ELSE 'buy' END, '", "pros": ["a", "b", "c", "d", "e", "f", "g"]',
+                              CASE WHEN doc_id % 2 = 0 THEN ', "cons": ["x"], "themes": []' ELSE '' END, '}') AS raw
+        FROM {labels}""",
     "logits": """
         SELECT event_id, (value - 50.0) / 12.5 AS logit, CASE WHEN event_type IN ('click', 'purchase') THEN 1.0 ELSE 0.0 END AS label
         FROM {events}""",

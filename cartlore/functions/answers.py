@@ -11,6 +11,9 @@ CLASSIFY_VALUE_KEYS = ("sentiment", "value")
 CARD_VALUE_KEYS = ("value", "sentiment")
 DEFAULT_ASPECT = "mixed"
 END = "end of answer"
+# --- fixed values: how many entries of each list are shown ---
+CARD_LISTS = {"pros": 5, "cons": 5, "best_for": 4, "not_for": 4, "themes": 6}
+# -----------------------------------------------------------------------------
 
 
 def json_object(text: Column) -> Column:
@@ -82,3 +85,21 @@ def aspect_map(parsed: Column, value_keys: tuple[str, ...] = CLASSIFY_VALUE_KEYS
         F.when(kind.startswith("ARRAY"), listed),
         F.create_map().cast("map<string,string>"),
     )
+
+
+def review_sentiments(parsed: Column) -> Column:
+    """The label of every entry of ``per_review``, written as objects or as plain texts; '' where it is missing."""
+    entries = F.try_variant_get(parsed, "$.per_review", "array<variant>")
+
+    def label(entry: Column) -> Column:
+        plain = F.schema_of_variant(entry) == "STRING"
+        return F.when(plain, F.try_variant_get(entry, "$", "string")).otherwise(_first_text(entry, ("sentiment",), ""))
+
+    return F.coalesce(F.transform(entries, label), F.array().cast("array<string>"))
+
+
+def card_fields(parsed: Column) -> dict[str, Column]:
+    """What a product card shows of an answer: the verdict and the first entries of each list."""
+    none = F.array().cast("array<string>")
+    lists = {n: F.slice(F.coalesce(field_list(parsed, n), none), 1, size) for n, size in CARD_LISTS.items()}
+    return {"verdict": F.coalesce(field_text(parsed, "verdict"), F.lit("")), **lists}

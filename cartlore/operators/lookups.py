@@ -49,15 +49,17 @@ def online_lookup(
     ``snapshots`` lists (latest-per-key table, its keys, wanted features). Every
     table holds one row per key, so the number of request rows is unchanged.
     Up to ``few`` requests their keys are sent to the tables first, so that a
-    large table is only filtered where it lies and never shuffled.
+    large table is only filtered where it lies and never shuffled. The requests
+    are read for that check; store them first when they are costly to compute.
     """
-    narrow = entities.limit(few + 1).count() <= few
+    narrow = few > 0 and entities.limit(few + 1).count() <= few
+    found = entities
     for table, keys, features in snapshots:
         rows = table.select(*keys, *features)
         if narrow:
             rows = rows.join(F.broadcast(entities.select(*keys).distinct()), keys, "left_semi")
-        entities = entities.join(rows, keys, "left")
-    return entities
+        found = found.join(rows, keys, "left")
+    return found
 
 
 def enrich(results: DataFrame, metadata: DataFrame, features: DataFrame) -> DataFrame:

@@ -175,3 +175,11 @@ def counter_increase(df: DataFrame, series: list[str], ts: str, value: str, leng
     before = F.lag("_last").over(Window.partitionBy(*series).orderBy("start"))
     total = F.col("_inside") + growth(F.col("_first"), before)
     return per_range.select(*group, total.alias("increase"), (total / F.lit(seconds)).alias("per_second"))
+
+
+def counter_rate_by(
+    df: DataFrame, series: list[str], by: list[str], ts: str, value: str, length: str, seconds: int
+) -> DataFrame:
+    """Per-second growth of counters per range, summed over the series of each group (``by`` is part of ``series``)."""
+    grown = counter_increase(df, series, ts, value, length, seconds)
+    return grown.groupBy(*by, "start").agg(F.sum("per_second").alias("rate"))

@@ -131,3 +131,12 @@ def test_join_nonempty(spark):
     df = spark.createDataFrame([("a", "", None), (None, None, None)], "x string, y string, z string")
     line = t.join_nonempty(" · ", F.col("x"), F.col("y"), F.lit("b"))
     assert [r[0] for r in df.select(line).collect()] == ["a · b", "b"]
+
+
+def test_labels_and_lists_of_an_answer(spark):
+    given = ['{"per_review": [{"sentiment": "positive"}, "negative", {"x": 1}, 3], "themes": ["1","2","3","4","5","6","7"]}', '{"per_review": "none"}', "text"]
+    labels = column(spark, given, "string", lambda c: answers.review_sentiments(answers.json_object(c)))
+    assert labels == [["positive", "negative", "", ""], [], []]
+    df = spark.createDataFrame([(g,) for g in given], "v string")
+    rows = df.select(*[c.alias(n) for n, c in answers.card_fields(answers.json_object(F.col("v"))).items()]).collect()
+    assert [len(r.themes) for r in rows] == [6, 0, 0] and [r.verdict for r in rows] == ["", "", ""]
