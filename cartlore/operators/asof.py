@@ -126,7 +126,7 @@ def _join_hot(spine: DataFrame, ts: str, views: list[AsOfView], keys: list[str],
     of the earlier ones (one summary row per key and range). The points go back
     to the spine by an equi-join, whose skew adaptive execution can split.
     """
-    points = spine.select(*keys, F.col(ts).cast("timestamp").alias(TS)).distinct()
+    points = spine.select(*keys, F.col(ts).cast("timestamp").alias(TS)).dropna().distinct()
     events = _time_buckets(_union_events(points, views, keys), buckets)
     group = [*keys, BUCKET]
     newest = [
@@ -151,21 +151,24 @@ def asof_join(
     spine: DataFrame,
     views: list[AsOfView],
     ts: str = "event_timestamp",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     time_buckets: int | None = None,
 ) -> DataFrame:
     """Left as-of join of the spine with several feature tables.
 
     The number of spine rows never changes; rows without a match get NULLs.
     Views of the same entity share one shuffle. Of several feature rows with
-    equal key and time the one with the largest values is taken.
+    equal key and time the one with the largest values is taken. Keys with more
+    than ``hot_rows`` rows are joined by time ranges; ``None`` skips their count
+    for inputs known to have none.
     """
     buckets = time_buckets or shuffle_partitions(spine.sparkSession)
     by_keys: dict[tuple[str, ...], list[AsOfView]] = {}
     for view in views:
         by_keys.setdefault(view.keys, []).append(view)
     groups = list(by_keys.values())
-    for group, hot in zip(groups, _hot_keys(spine, groups, hot_rows)):
+    hot_keys = [[] for _ in groups] if hot_rows is None else _hot_keys(spine, groups, hot_rows)
+    for group, hot in zip(groups, hot_keys):
         spine = _join_group(spine, ts, group, hot, buckets)
     return spine
 

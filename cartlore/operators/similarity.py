@@ -172,11 +172,12 @@ def vector_topk(
     """The k corpus rows of highest cosine for each query: ids, ``score``, ``distance``, ``rank`` and payload columns."""
     payload = list(payload)
     q = _plain(queries, QID, QVEC)
-    if q.limit(broadcast_queries + 1).count() <= broadcast_queries:
+    if queries.df.limit(broadcast_queries + 1).count() <= broadcast_queries:
         best = _best_hits(_broadcast_hits(q, _plain(corpus, CID, CVEC, payload), k), k)
     else:
         c = _plain(corpus, CID, CVEC)
-        sizes = {"_qn": _blocks(q.count(), block_rows), "_cn": _blocks(c.count(), block_rows)}
+        # counted without the vectors, which for stored tables reads file footers only
+        sizes = {"_qn": _blocks(queries.df.count(), block_rows), "_cn": _blocks(corpus.df.count(), block_rows)}
         best = _best_hits(_block_hits(q.withColumns(sizes), c.withColumns(sizes), k, []), k)
         if payload:
             named = corpus.df.select(F.col(corpus.id).cast("string").alias(CID), *payload)

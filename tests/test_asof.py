@@ -53,7 +53,9 @@ def collected(df):
 @pytest.mark.parametrize("ttl", [None, 5 * 3600])
 def test_plain_path(spark, seed, ttl):
     spine, feats, s, f = make(spark, seed)
-    assert collected(asof.asof_join(s, [view(f, ttl)], ts="at")) == brute(spine, feats, ttl)
+    expected = brute(spine, feats, ttl)
+    assert collected(asof.asof_join(s, [view(f, ttl)], ts="at")) == expected
+    assert collected(asof.asof_join(s, [view(f, ttl)], ts="at", hot_rows=None)) == expected
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -76,6 +78,13 @@ def test_every_spine_row_at_one_instant(spark):
     assert collected(joined) == brute(spine, feats)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_rows_without_time_match_nothing(spark, hot_rows):
+    s = spark.createDataFrame([("a", None, 1), ("a", T0, 2)], SPINE)
+    f = spark.createDataFrame([("a", None, 5, "x"), ("a", T0 - timedelta(1), 6, "y"), ("a", T0 - timedelta(2), 7, "z")], FEATS)
+    assert [r[3] for r in collected(asof.asof_join(s, [view(f)], ts="at", hot_rows=hot_rows, time_buckets=3))] == [None, 6]
+
+
 def test_two_views_of_different_keys(spark):
     spine = [("u1", "i1", T0 + timedelta(days=2)), ("u1", "i2", T0), ("u9", "i1", T0 + timedelta(days=5))]
     s = spark.createDataFrame(spine, "user_id string, item_id string, at timestamp")
