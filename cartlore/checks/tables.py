@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import categories
+from ..functions.encoders import model_encoder
 from ..operators import recommend, training
 from ..operators import similarity as sim
 from ..operators import telemetry as tm
@@ -20,6 +21,7 @@ from ..sources import reviews as src
 from ..streaming import materialize as stream
 from . import frames as fr
 from .base import Checks
+from .retrieval import SCORED
 
 checks = Checks()
 load, sql = fr.load, fr.sql
@@ -199,6 +201,59 @@ def get_online_features(spark, sf):
     return found.select("event_id", "user_id", F.col("day_reviews").cast("double"))
 
 
+@checks.add(
+    "materialize",
+    sql(
+        "user_daily",
+        """SELECT user_id, epoch_ms(event_timestamp) AS event_ms, day_reviews FROM user_daily
+           WHERE event_timestamp >= TIMESTAMP '1995-06-01' AND event_timestamp < TIMESTAMP '1997-06-01'""",
+    ),
+)
+def materialize(spark, sf):
+    """One time window, run twice: the second run replaces the first."""
+    store = _daily_store(spark, sf)
+    for _ in range(2):
+        store.materialize("1995-06-01 00:00:00", "1997-06-01 00:00:00", ["user_daily"])
+    rows = spark.read.parquet(store.offline_path("user_daily"))
+    return rows.select("user_id", fr.epoch_ms("event_timestamp", "event_ms"), "day_reviews")
+
+
+@checks.add(
+    "retrieve",
+    sql("user_vectors item_vectors", SCORED + " SELECT user_id, item_id, round(cosine, 6) AS score, rank, category FROM ranked WHERE rank <= 5"),
+)
+def retrieve(spark, sf):
+    """Vectors materialised into the store and searched there."""
+    store = FeatureStore(spark, scratch_path(spark, "vector-store"))
+
+    def rows(session):
+        return load(session, sf, "item_vectors").withColumn("event_timestamp", F.lit("2024-01-01").cast("timestamp"))
+
+    schema = schemas.struct(embedding=schemas.VECTOR, category=T.StringType())
+    store.apply([FeatureView("item_vectors", ("item_id",), TTL, schema, rows, lambda df: df, offline=False, row_wise=True)])
+    store.materialize(None, None)
+    asked = sim.Side(load(spark, sf, "user_vectors"), "user_id", "embedding")
+    hits = store.retrieve(asked, "item_vectors", "embedding", 5, ["category"])
+    return hits.select("user_id", "item_id", F.round("score", 6).alias("score"), "rank", "category")
+
+
+@checks.add(
+    "vectorised_encoder",
+    """WITH c AS (SELECT doc_id, [CAST(length(text) AS DOUBLE), CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE)] AS v FROM documents)
+       SELECT doc_id, round(v[2] / greatest(sqrt(v[1] * v[1] + v[2] * v[2]), CAST(1e-12 AS DOUBLE)), 3) AS share FROM c""",
+)
+def vectorised_encoder(spark, sf):
+    """A model that sees batches of whole texts: their length and their number of e's."""
+
+    def model():
+        import numpy as np
+
+        return lambda texts: np.array([[len(x), x.count("e")] for x in texts])
+
+    vectors = model_encoder(model)(load(spark, sf, "documents").select("doc_id", "text"), "text", "v")
+    return vectors.select("doc_id", F.round(F.element_at("v", 2).cast("double"), 3).alias("share"))
+
+
 # --- streams ---------------------------------------------------------------------------
 
 
