@@ -18,7 +18,7 @@ S, L, I, D, FL, B, TS = (
     T.BooleanType(),
     T.TimestampType(),
 )
-VECTOR = T.ArrayType(FL, False)
+VECTOR = T.ArrayType(FL)  # stored arrays are read back as nullable
 
 REVIEWS = struct(
     user_id=S,
