@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
+from ..session import shuffle_partitions
 from .ranking import top_n
 
-BLOCK_ROWS = 8_192  # rows of one side scored together in one task
+BLOCK_ROWS = 16_384  # rows of one side scored together in one task
 BROADCAST_QUERIES = 1_024  # up to here queries travel to the corpus instead of both being shuffled
 SCORES_AT_ONCE = 4_000_000  # entries of the score matrix a task holds
 SCORE_DIGITS = 9  # scores are rounded here, so that ranking does not depend on the block layout
@@ -57,8 +58,10 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def _scored(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Query numbers, corpus row numbers and scores of the k best of one block, a bounded number of scores at a time."""
     step = max(1, SCORES_AT_ONCE // max(len(ids), 1))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))  # ids compared once, then as numbers
     for start in range(0, len(q) if len(ids) else 0, step):
-        row, col, score = _best(q[start : start + step] @ c.T, ids, k)
+        row, col, score = _best(q[start : start + step] @ c.T, place, k)
         yield start + row, col, score
 
 
@@ -134,8 +137,10 @@ def _block_hits(queries: DataFrame, corpus: DataFrame, k: int, group: list[str])
         empty = pa.table({QID: qids[:0], CID: ids[:0], "score": pa.array([], pa.float64())})
         return pa.concat_tables([empty, *parts])
 
-    left = q_blocks.select(*on, QID, QVEC).groupBy(*on)
-    right = c_blocks.select(*on, CID, CVEC).groupBy(*on)
+    # a block pair is little data but much work: a fixed number of partitions keeps the small ones from being merged
+    parts = shuffle_partitions(queries.sparkSession)
+    left = q_blocks.select(*on, QID, QVEC).repartition(parts, *on).groupBy(*on)
+    right = c_blocks.select(*on, CID, CVEC).repartition(parts, *on).groupBy(*on)
     return left.cogroup(right).applyInArrow(score_blocks, _HITS)
 
 

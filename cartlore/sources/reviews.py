@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,9 +167,15 @@ def write_chunked(df: DataFrame, path: str, rows_per_file: int = 500_000, mode:
     )
 
 
-def write_training(df: DataFrame, path: str, partitions: int = 32) -> None:
-    """Training rows in ``partitions`` evenly filled files."""
-    df.repartition(partitions).write.mode("overwrite").parquet(path)
+def write_training(df: DataFrame, path: str, partitions: int = 32) -> int:
+    """Training rows in ``partitions`` evenly filled files; returns their number.
+
+    The rows are counted while they are written, not by a second run of the plan.
+    """
+    counted = Observation("training rows")
+    observed = df.observe(counted, F.count(F.lit(1)).alias("n_rows"))
+    observed.repartition(partitions).write.mode("overwrite").parquet(path)
+    return counted.get["n_rows"]
 
 
 def write_in_chunks(df: DataFrame, send: Callable[[list], None], partitions: int, chunk_rows: int = 5_000) -> None:

@@ -85,8 +85,8 @@ def test_chunked_parts_and_inventory(spark, tmp_path):
 
 
 def test_training_sink_partitions(spark, tmp_path):
-    src.write_training(spark.range(64), f"{tmp_path}/t", 4)
-    src.write_training(spark.range(64), f"{tmp_path}/t", 4)
+    assert src.write_training(spark.range(10), f"{tmp_path}/t", 4) == 10
+    assert src.write_training(spark.range(64), f"{tmp_path}/t", 4) == 64
     assert len(files.glob(spark, f"{tmp_path}/t/*.parquet")) == 4
     assert spark.read.parquet(f"{tmp_path}/t").count() == 64
 
