@@ -170,11 +170,11 @@ def write_chunked(df: DataFrame, path: str, rows_per_file: int = 500_000, mode:
 def write_training(df: DataFrame, path: str, partitions: int = 32) -> int:
     """Training rows in ``partitions`` evenly filled files; returns their number.
 
-    The rows are counted while they are written, not by a second run of the plan.
+    The rows are counted by the writing tasks, not by a second run of the plan.
     """
     counted = Observation("training rows")
-    observed = df.observe(counted, F.count(F.lit(1)).alias("n_rows"))
-    observed.repartition(partitions).write.mode("overwrite").parquet(path)
+    spread = df.repartition(partitions).observe(counted, F.count(F.lit(1)).alias("n_rows"))
+    spread.write.mode("overwrite").parquet(path)
     return counted.get["n_rows"]
 
 
