@@ -49,15 +49,32 @@ def distinct_counts(df: DataFrame, by: str, columns: list[str], approx: bool = F
     return df.groupBy(by).agg(*[count(c).alias(f"n_{c}") for c in columns])
 
 
+def _category_and_item_rows(rows: DataFrame) -> DataFrame:
+    """Every review as a category row with its measures and an item row without any.
+
+    Both kinds share the following shuffle; the empty measures of the item rows
+    compress to nearly nothing.
+    """
+    measures = ["rating", "chars", "timestamp"]
+    kinds = dict(rows.dtypes)
+
+    def empty(name: str) -> Column:
+        return F.lit(None).cast(kinds[name]).alias(name)
+
+    category_row = F.struct("category", empty("item_id"), *measures)
+    item_row = F.struct(empty("category"), "item_id", *[empty(m) for m in measures])
+    return rows.select("user_id", F.explode(F.array(category_row, item_row)).alias("_cell")).select("user_id", "_cell.*")
+
+
 def user_features(reviews: DataFrame) -> DataFrame:
     """Review statistics and main category of every user, in one scan.
 
-    Grouping sets (user, category) and (user, item) share a single map-side
-    combined shuffle. A second small aggregation per user adds the category
-    rows up (all other measures are sums, minima and maxima) and counts the
-    item rows. Both steps combine before they shuffle, so a user holding much
-    of the data never arrives as raw rows in one task, and the category counts
-    need neither a second scan nor a join.
+    The first aggregation makes one cell per (user, category) and per (user,
+    item); a second small one per user adds the category cells up (all other
+    measures are sums, minima and maxima) and counts the item cells. Both
+    combine before they shuffle, so a user holding much of the data never
+    arrives as raw rows in one task, and neither the distinct counts nor the
+    category counts need a second scan, a window or a join.
     """
     rows = valid_ratings(normalize_reviews(reviews)).select(
         "user_id",
@@ -67,31 +84,24 @@ def user_features(reviews: DataFrame) -> DataFrame:
         F.length("text").cast("long").alias("chars"),
         "timestamp",
     )
-    cells = rows.groupingSets([["user_id", "category"], ["user_id", "item_id"]], "user_id", "category", "item_id").agg(
-        F.grouping("item_id").alias("per_category"),
-        F.count("*").alias("n"),
+    cells = _category_and_item_rows(rows).groupBy("user_id", "category", "item_id").agg(
+        F.count("rating").alias("n"),  # 0 for an item cell
         F.sum("rating").alias("rating_sum"),
         F.sum("chars").alias("chars_sum"),
         F.count("chars").alias("chars_n"),
         F.min("timestamp").alias("first_ms"),
         F.max("timestamp").alias("last_ms"),
     )
-    in_category = F.col("per_category") == 1
-
-    def over_categories(name: str) -> Column:
-        return F.when(in_category, F.col(name))
-
-    named = in_category & F.col("category").isNotNull()
     per_user = cells.groupBy("user_id").agg(
-        F.sum(over_categories("n")).alias("n"),
-        F.sum(over_categories("rating_sum")).alias("rating_sum"),
-        F.sum(over_categories("chars_sum")).alias("chars_sum"),
-        F.sum(over_categories("chars_n")).alias("chars_n"),
+        F.sum("n").alias("n"),
+        F.sum("rating_sum").alias("rating_sum"),
+        F.sum("chars_sum").alias("chars_sum"),
+        F.sum("chars_n").alias("chars_n"),
         F.min("first_ms").alias("first_ms"),
         F.max("last_ms").alias("last_ms"),
-        F.count_if(named).alias("categories"),
-        F.count_if(~in_category & F.col("item_id").isNotNull()).alias("items"),
-        F.min_by("category", F.when(named, F.struct(-F.col("n"), F.col("category")))).alias("top"),
+        F.count("category").alias("categories"),
+        F.count("item_id").alias("items"),
+        F.min_by("category", F.when(F.col("category").isNotNull(), F.struct(-F.col("n"), F.col("category")))).alias("top"),
     )
     return per_user.select(
         "user_id",

@@ -163,3 +163,9 @@ def test_model_encoder_runs_per_worker(spark):
     rows = model_encoder(load)(df, "text", "v").collect()
     assert rows[0].v == pytest.approx([3 / 10**0.5, 1 / 10**0.5], abs=1e-6)
     assert rows[1].v == pytest.approx([0.0, 1.0])
+
+
+@pytest.mark.parametrize("alias", ["r", "c", "p", "e", "f", "w"])
+def test_an_alias_of_the_input_does_no_harm(golden_reviews, alias):
+    plain = sorted(map(tuple, ops.user_features(golden_reviews).collect()))
+    assert sorted(map(tuple, ops.user_features(golden_reviews.alias(alias)).collect())) == plain
