@@ -41,10 +41,11 @@ def global_index(df: DataFrame, order: list[str], index_col: str = "idx") -> Dat
     )
     partition = F.shiftright(F.col("_place"), _ROW_BITS)
     row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    sizes = dict(placed.groupBy(partition.alias("p")).agg(F.count("*").alias("n")).collect())
-    starts = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]
-    offsets = F.array(*[F.lit(s).cast("long") for s in starts])
-    return placed.withColumn(index_col, F.get(offsets, partition.cast("int")) + row).drop("_place")
+    sizes = sorted(placed.groupBy(partition.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts = accumulate((n for _, n in sizes), initial=0)
+    offsets = spark.createDataFrame([(p, start) for (p, _), start in zip(sizes, starts)], "_part long, _start long")
+    found = placed.withColumn("_part", partition).join(F.broadcast(offsets), "_part")  # a row per partition
+    return found.withColumn(index_col, F.col("_start") + row).drop("_place", "_part", "_start")
 
 
 def ordinal(df: DataFrame, col: str, index_col: str = "idx") -> DataFrame:
