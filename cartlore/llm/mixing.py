@@ -199,16 +199,16 @@ ORACLE = r"""
                              ELSE CAST(w * level.words AS DOUBLE) / level.shares END AS target
       FROM s, level),
     e AS (
-      SELECT d.*, t.n, t.target, floor(t.target / t.n + 1e-12) AS k, t.target / t.n - floor(t.target / t.n + 1e-12) > 0 AS some,
+      SELECT d.*, t.n, t.target, floor(t.target / t.n + 1e-12) AS k, t.target / t.n - floor(t.target / t.n + 1e-12) > 0 AS partial,
              t.target - t.n * floor(t.target / t.n + 1e-12) AS lack,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id) AS upto
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     h AS (
-      SELECT *, some AND (upto <= lack OR size = 0 AND upto - size <= lack) AS head,
-             coalesce(max(upto) FILTER (WHERE some AND upto <= lack) OVER (PARTITION BY source), 0) AS had FROM e),
+      SELECT *, partial AND (upto <= lack OR size = 0) AS head,
+             coalesce(max(upto) FILTER (WHERE partial AND upto <= lack) OVER (PARTITION BY source), 0) AS had FROM e),
     b AS (
       SELECT source, arg_min(doc_id, (abs(size - (lack - had)), u)) AS last
-      FROM h WHERE some AND NOT head AND abs(size - (lack - had)) < lack - had GROUP BY source)
+      FROM h WHERE partial AND NOT head AND abs(size - (lack - had)) < lack - had GROUP BY source)
     SELECT h.doc_id, CAST(h.size AS BIGINT) AS size, h.n AS source_size, h.target,
            CAST(h.size * (h.k + CASE WHEN h.head OR h.doc_id = b.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
     FROM h LEFT JOIN b ON h.source IS NOT DISTINCT FROM b.source"""

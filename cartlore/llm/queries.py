@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..checks.base import Checks
-from . import exact, mixing, sharding, tokens
+from . import bpe, exact, mixing, sharding, sketches, tokens
 from .common import documents
 
 checks = Checks()
@@ -26,6 +26,16 @@ def _shards(spark, sf_dir):
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+@checks.add("op4_scaled_sketch")
+def _sketches(spark, sf_dir):
+    return sketches.compare_with_next(documents(spark, sf_dir))
+
+
+@checks.add("op5_bpe_round_trip")
+def _bpe(spark, sf_dir):
+    return bpe.digests(documents(spark, sf_dir), vocabulary())
+
+
 @checks.add("op7_exact_dedup", exact.ORACLE)
 def _exact(spark, sf_dir):
     return exact.duplicate_groups(documents(spark, sf_dir))
