@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..checks.base import Checks
-from . import bpe, exact, mixing, sharding, sketches, tokens
+from . import bpe, exact, mixing, near, sharding, sketches, tokens
 from .common import documents
 
 checks = Checks()
@@ -16,6 +16,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@checks.add("op1_odd_sketch_dedup", near.ORACLE)
+def _near(spark, sf_dir):
+    return near.near_duplicates(documents(spark, sf_dir)).drop("class_id")
+
+
 @checks.add("op2_pareto_mix", mixing.ORACLE)
 def _mix(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
