@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..checks.base import Checks
-from . import bpe, exact, mixing, near, sharding, sketches, tokens
+from . import bpe, exact, mixing, near, sharding, sketches, substrings, tokens
 from .common import documents
 
 checks = Checks()
@@ -41,6 +41,11 @@ def _bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+@checks.add("op6_debruijn_passages", substrings.ORACLE)
+def _passages(spark, sf_dir):
+    return substrings.digests(documents(spark, sf_dir))
+
+
 @checks.add("op7_exact_dedup", exact.ORACLE)
 def _exact(spark, sf_dir):
     return exact.duplicate_groups(documents(spark, sf_dir))
