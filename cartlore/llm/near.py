@@ -6,7 +6,7 @@ sketches counts the samples that differ, from which high similarities follow clo
 
 Within a band bucket nobody is paired with everybody. First every member is compared with the least one; members
 that are then in one component need no more. Only members of different components are compared further, in blocks of bounded
-size inside a task, which gives back the pairs whose sketches are near.
+size inside a task, by finer sketches; a task gives back the pairs whose sketches are near.
 """
 
 from __future__ import annotations
@@ -24,20 +24,21 @@ from .common import Words, maybe_in, mix, seeds, shingle_sets, stored, text_part
 SHINGLE = 5  # words
 LINK = (85, 100)  # linked if 100 * intersection >= 85 * union
 ROWS, BANDS = 5, 24  # a pair of similarity 0.85 shares no band once in 1.3 million times
-SAMPLES = ROWS * BANDS
-SKETCH_BITS = 512
+COARSE = (ROWS * BANDS, 512)  # samples and bits of the sketch that every class has
+FINE = (2048, 8192)  # of the classes that stay in doubt
 _SIGMAS = 5.0
 BLOCK = 256  # classes of a bucket compared with as many others at once
 
 
-def minhash(sets: list[np.ndarray]) -> np.ndarray:
-    """SAMPLES least values of each set (one of them all for an empty set), by as many multiplicative hashes."""
-    found = np.full((len(sets), SAMPLES), np.iinfo(np.uint64).max, np.uint64)
-    factor, offset = seeds(21, SAMPLES)[:, None], seeds(22, SAMPLES)[:, None]
+def minhash(sets: list[np.ndarray], samples: int = COARSE[0]) -> np.ndarray:
+    """Least values of each set (the largest number for an empty set), by as many multiplicative hashes."""
+    found = np.full((len(sets), samples), np.iinfo(np.uint64).max, np.uint64)
+    factor, offset = seeds(21, samples)[:, None], seeds(22, samples)[:, None]
+    step = 65_536 // samples + 1
     with np.errstate(over="ignore"):
         for i, own in enumerate(sets):
-            for at in range(0, len(own), 512):
-                least = ((own[at : at + 512] ^ offset) * factor).min(1)
+            for at in range(0, len(own), step):
+                least = ((own[at : at + step] ^ offset) * factor).min(1)
                 found[i] = np.minimum(found[i], least)
     return found
 
@@ -50,34 +51,37 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
         return mix(keys).view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
+def odd_sketches(samples: np.ndarray, bits: int = COARSE[1]) -> np.ndarray:
     """Parity bitmaps: the bit of (number, value) of each sample is flipped. Rows of 64-bit words."""
     with np.errstate(over="ignore"):
-        bits = (mix(samples + seeds(25, SAMPLES)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flat = bits + np.arange(len(samples))[:, None] * SKETCH_BITS
-    parity = (np.bincount(flat.ravel(), minlength=len(samples) * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(len(samples), SKETCH_BITS), axis=1).view(np.int64)
+        places = (mix(samples + seeds(25, samples.shape[1])) % np.uint64(bits)).astype(np.int64)
+    flat = places + np.arange(len(samples))[:, None] * bits
+    parity = (np.bincount(flat.ravel(), minlength=len(samples) * bits) & 1).astype(np.uint8)
+    return np.packbits(parity.reshape(len(samples), bits), axis=1).view(np.int64)
 
 
-def similarity_estimate(differing_bits: np.ndarray | float) -> np.ndarray | float:
+def similarity_estimate(differing: np.ndarray | float, kind: tuple[int, int] = COARSE) -> np.ndarray | float:
     """Similarity for which two odd sketches are expected to differ in so many bits."""
-    share = np.minimum(2 * np.asarray(differing_bits) / SKETCH_BITS, 1 - 1e-9)
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(1 - share)
+    samples, bits = kind
+    share = np.minimum(2 * np.asarray(differing) / bits, 1 - 1e-9)
+    return 1 + bits / (4 * samples) * np.log(1 - share)
 
 
-def most_differing_bits(similarity: float, sigmas: float = _SIGMAS) -> int:
+def most_differing_bits(similarity: float, kind: tuple[int, int] = COARSE, sigmas: float = _SIGMAS) -> int:
     """Bits that a pair of this similarity differs in, at the most: the mean and ``sigmas`` standard deviations.
 
     Two errors add: the samples that differ (binomial, two flips each), and flips that meet on a bit.
     """
-    n, flips = SKETCH_BITS, 2 * SAMPLES * (1 - similarity)
+    samples, n = kind
+    flips = 2 * samples * (1 - similarity)
     mean = n / 2 * (1 - math.exp(-2 * flips / n))
-    drawn = 2 * math.sqrt(SAMPLES * similarity * (1 - similarity)) * math.exp(-2 * flips / n)
+    drawn = 2 * math.sqrt(samples * similarity * (1 - similarity)) * math.exp(-2 * flips / n)
     folded = math.sqrt(n / 4 * (1 - math.exp(-4 * flips / n)))
     return math.ceil(mean + sigmas * math.hypot(drawn, folded))
 
 
 MOST_BITS = most_differing_bits(LINK[0] / LINK[1])
+MOST_FINE_BITS = most_differing_bits(LINK[0] / LINK[1], FINE)
 FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
@@ -109,16 +113,36 @@ def features(docs: DataFrame) -> DataFrame:
 
 def differing_bits(a: Column, b: Column) -> Column:
     """Population count of the XOR of two sketches."""
-    counts = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_BITS // 64)]
+    counts = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(COARSE[1] // 64)]
     return sum(counts[1:], counts[0])
 
 
+def _texts(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id and text of the documents that may be among the n ``ids``."""
+    return maybe_in(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole().alias("text")), "doc_id", ids, n)
+
+
+def fine_sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Large odd sketches of the documents in ``ids`` (one column, id): rows (id, sketch)."""
+    ids = stored(ids, "near-in-doubt")
+    texts = _texts(docs, ids, ids.count()).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, limit=1 << 18):
+                samples = minhash(shingle_sets(Words(part.column("text"), lower=True), SHINGLE), FINE[0])
+                sketch = pa.array(odd_sketches(samples, FINE[1]).tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sketch], ["id", "sketch"])
+
+    return texts.mapInArrow(run, "id long, sketch array<long>").dropDuplicates(["id"])
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
     pairs = stored(pairs.select("a", "b"), "near-pairs")
     n = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = maybe_in(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole().alias("text")), "doc_id", ids, 2 * n)
+    texts = _texts(docs, ids, 2 * n)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -178,10 +202,10 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     def compare(group: tuple, ids: np.ndarray, comps: np.ndarray, own: np.ndarray, sketch: np.ndarray):
         _, i, j = group
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            bits = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(2)
-            near = (bits <= MOST_BITS) & (comps[rows][:, None] != comps[right][None, :])
+        for at in range(0, len(left), 16):
+            rows = left[at : at + 16]
+            bits = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
+            near = (bits <= MOST_FINE_BITS) & (comps[rows][:, None] != comps[right][None, :])
             if i == j:
                 near &= ids[rows][:, None] < ids[right][None, :]
             x, y = np.nonzero(near)
@@ -209,7 +233,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         if stop <= 0:
             return
         ids, comps, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
         found = [
             pair
             for a, b in zip(starts[:stop], starts[1 : stop + 1])
@@ -254,7 +278,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.filter("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = stored(labelled, "near-labelled")
     open_ = labelled.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y")
-    left = labelled.filter("id != least").join(open_.select("key"), "key", "left_semi").join(sketches, "id")
+    left = stored(labelled.filter("id != least").join(open_.select("key"), "key", "left_semi"), "near-left")
+    left = left.join(stored(fine_sketches(docs, left.select("id").distinct()), "near-fine"), "id")
     more = stored(confirm(_block_pairs(left).distinct(), docs), "near-more")
     if more.head(1):
         labels = components(edges.unionByName(more))
