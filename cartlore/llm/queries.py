@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..checks.base import Checks
-from . import bpe, exact, mixing, near, sharding, sketches, substrings, tokens
+from . import bpe, chat, exact, mixing, near, sharding, sketches, substrings, tokens, toxicity
 from .common import documents
 
 checks = Checks()
@@ -51,6 +51,17 @@ def _exact(spark, sf_dir):
     return exact.duplicate_groups(documents(spark, sf_dir))
 
 
+@checks.add("op8_compression_toxicity")
+def _toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, toxicity.labels(spark, sf_dir)))
+
+
 @checks.add("op9_token_cache")
 def _tokens(spark, sf_dir):
     return tokens.count_tokens(documents(spark, sf_dir), vocabulary())
+
+
+@checks.add("op10_role_repair")
+def _chat(spark, sf_dir):
+    return chat.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("place")
