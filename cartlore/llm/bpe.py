@@ -50,6 +50,9 @@ class Vocabulary:
             self.token_bytes[i] = bytes(byte_of[c] for c in token)
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        self.lengths = np.array([*map(len, self.token_bytes), 0], np.int64)  # the last stands for unknown ids
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.first = np.array([ids[letter] for letter in byte_letters()], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
@@ -160,9 +163,22 @@ class Vocabulary:
             self.memory[token] = (i,)
         return [list(chain.from_iterable(map(self.memory.__getitem__, p))) for p in pieces]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of the tokens' bytes; bytes that are not UTF-8 become replacement characters, unknown ids nothing."""
-        return b"".join([self.token_bytes[i] for i in ids if 0 <= i < self.n]).decode("utf-8", "replace")
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Texts of the tokens' bytes; bytes that are not UTF-8 become replacement characters, unknown and null ids nothing."""
+        tokens = ids.flatten().fill_null(self.n).to_numpy(zero_copy_only=False)
+        tokens = np.where((tokens < 0) | (tokens >= self.n), self.n, tokens)
+        counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = self.lengths[tokens]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        data = self.flat[np.repeat(self.starts[tokens] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+        parts = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]
+        )
+        try:
+            return parts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in parts.to_pylist()], pa.string())
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -201,8 +217,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [words.decode(ids or []) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, words.decode(part.column("ids"))], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
