@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
         fixed, free = placed.agg(
             F.sum(F.when(above, limit).otherwise(0)), F.sum(F.when(above, 0).otherwise(F.col("_weight")))
         ).first()
-        if not free or total - (fixed or 0) == words:
+        if not free or free == shares:
             target = F.when(above, limit.cast("double")).otherwise(share)
             return placed.select("source", "source_size", target.alias("target"))
         capped, words, shares = above, total - fixed, free

@@ -108,9 +108,15 @@ def assign_shards(docs: DataFrame, shards: int = 40, groups: int = GROUPS) -> Da
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, groups: int = GROUPS) -> DataFrame:
-    """Write whole rows to ``path/shard=<n>`` and return the plan; rows of a repeated doc_id go where its text goes."""
+    """Write whole rows to ``path/shard=<n>`` and return the plan; rows of a repeated doc_id go where their text goes.
+
+    If ``docs`` has a column of that name it is kept, and the folders get underscores behind theirs.
+    """
     plan = assign_shards(docs, shards, groups)
-    where = plan.groupBy(F.col("doc_id").alias("_id"), "text_crc32").agg(F.first("shard").alias("shard"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (crc(F.col("text")) == F.col("text_crc32"))
-    docs.join(where, same).drop("_id", "text_crc32").write.partitionBy("shard").parquet(path)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    where = plan.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(F.first("shard").alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (crc(F.col("text")) == F.col("_crc"))
+    docs.join(where, same).drop("_id", "_crc").write.partitionBy(name).parquet(path)
     return plan

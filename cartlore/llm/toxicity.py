@@ -147,7 +147,8 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     names = ["doc_id", "toxic", "text", "least"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = texts.select(names[:3]).mapInArrow(keyed, f"doc_id {kind}, toxic int, text string, least long")
-    return stored(found.dropDuplicates(["least"]).drop("least"), "toxic-sample")
+    alone = found.groupBy("least").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("row")).select("row.*")
+    return stored(alone, "toxic-sample")
 
 
 def _counts(sample: DataFrame, items) -> DataFrame:
