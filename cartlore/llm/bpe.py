@@ -24,7 +24,7 @@ from .common import text_parts, whole
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = np.int32(2**31 - 1)
 _SHORT = 32  # bytes of a word that is worked on in a matrix
-_MEMORY = 600_000  # distinct words kept by a Python worker
+_MEMORY = 150_000  # distinct words kept by a task, some 50 MB
 
 
 def byte_letters() -> list[str]:
@@ -200,10 +200,12 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(vocabulary)
+        words.memory.clear()  # of the task before, if this worker had one
         for batch in batches:
             for part in text_parts(batch):
                 ids = pa.array(words.encode(part.column("text").to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        words.memory.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", whole().alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
