@@ -283,7 +283,7 @@ def global_shuffle(spark, sf):
     "train_val_split",
     sql(
         "reviews",
-        """SELECT row_key, CASE WHEN ('0x' || substr(md5(row_key || '|42'), 1, 8))::BIGINT % 1000000 < 900000 THEN 'train' ELSE 'val' END AS split
+        """SELECT row_key, CASE WHEN ('0x' || substr(md5(row_key || '|42'), 1, 15))::BIGINT % 1000000 < 900000 THEN 'train' ELSE 'val' END AS split
            FROM reviews""",
     ),
 )
@@ -351,7 +351,7 @@ def entity_category_map(spark, sf):
     return training.entity_category(coded, "user_idx", "user_cat_idx", "row_key")
 
 
-PICK = "('0x' || substr(md5(concat_ws('|', row_key, CAST(draw AS VARCHAR), '{w}', '42')), 1, 8))::BIGINT % (SELECT count(*) FROM {t})"
+PICK = "('0x' || substr(md5(concat_ws('|', row_key, CAST(draw AS VARCHAR), '{w}', '42')), 1, 15))::BIGINT % (SELECT count(*) FROM {t})"
 
 
 @checks.add(

@@ -225,7 +225,7 @@ def user_profile(spark, sf):
         "item_vectors",
         """, v AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM item_vectors))
            SELECT p_partkey, coalesce(idx, 0) AS item_idx,
-                  ('0x' || substr(md5(concat('P', CAST(p_partkey AS VARCHAR))), 1, 8))::BIGINT % 1000 AS hash_idx
+                  ('0x' || substr(md5(concat('P', CAST(p_partkey AS VARCHAR))), 1, 15))::BIGINT % 1000 AS hash_idx
            FROM part LEFT JOIN v ON v.item_id = concat('P', CAST(p_partkey AS VARCHAR))""",
     ),
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..operators import features as ops
 from ..operators import recommend
 from ..operators import similarity as sim
@@ -72,12 +73,62 @@ def ivf_search(spark, sf):
 def ivf_search_all_cells(spark, sf):
     """Probing every cell must give the exact result."""
     hits = sim.search_ivf(users(spark, sf), sim.build_ivf(items(spark, sf), NLIST), NLIST, 10)
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", F.round("score", 6)).drop("distance")
 
 
-@checks.add("ivf_index")
+@checks.add("ivf_index", sql("item_vectors", "SELECT item_id, true AS in_nearest_cell FROM item_vectors"))
 def ivf_index(spark, sf):
-    return sim.build_ivf(items(spark, sf), NLIST).rows.groupBy("cell").agg(F.count("*").alias("n_rows"))
+    """Every row once, in the cell of its nearest centre."""
+    index = sim.build_ivf(items(spark, sf), NLIST)
+    unit = vectors.l2_normalize(F.col("embedding"))
+
+    def far(centre):
+        numbers = F.array(*[F.lit(float(x)) for x in centre])
+        gaps = F.zip_with(unit, numbers, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+        return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
+
+    distances = F.array(*[far(c) for c in index.centres])  # one number per centre
+    own = F.get("_d", F.col("cell"))
+    return index.rows.withColumn("_d", distances).select("item_id", (own <= F.array_min("_d") + 1e-6).alias("in_nearest_cell"))
+
+
+@checks.add(
+    "vector_topk_prefiltered",
+    sql(
+        "user_vectors item_vectors",
+        SCORED
+        + """ SELECT user_id, item_id, round(cosine, 6) AS score, CAST(rn AS INTEGER) AS rank FROM (
+                SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cosine DESC, item_id) AS rn FROM scored WHERE category = user_category) WHERE rn <= 3""",
+    ),
+)
+def vector_topk_prefiltered(spark, sf):
+    """The filter before the search: three items of its own label for each query."""
+    hits = sim.vector_topk_matching(users(spark, sf), items(spark, sf), 3, "category", "category")
+    return hits.select("user_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+REPEATED = """, c AS (SELECT CASE WHEN item_id < 'P3' THEN 'P1' ELSE item_id END AS item_id, item_id AS source, v FROM i),
+    hits AS (SELECT u.user_id, c.item_id, c.source, round(list_inner_product(u.v, c.v), 9) AS cosine FROM u, c)
+    SELECT user_id, item_id, source, round(cosine, 6) AS score, CAST(rn AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cosine DESC, item_id) AS rn FROM hits) WHERE rn <= 5"""
+
+
+def _repeated_ids(spark, sf, few: int):
+    """Many corpus rows share an id; each hit must carry the payload of its own row."""
+    rows = load(spark, sf, "item_vectors").withColumn("source", F.col("item_id"))
+    rows = rows.withColumn("item_id", F.when(F.col("item_id") < "P3", "P1").otherwise(F.col("item_id")))
+    hits = sim.vector_topk(users(spark, sf), sim.Side(rows, "item_id", "embedding"), 5, ["source"], broadcast_queries=few)
+    return hits.select("user_id", "item_id", "source", F.round("score", 6).alias("score"), "rank")
+
+
+@checks.add("vector_topk_repeated_ids", sql("user_vectors item_vectors", SCORED + REPEATED))
+def vector_topk_repeated_ids(spark, sf):
+    return _repeated_ids(spark, sf, sim.BROADCAST_QUERIES)
+
+
+@checks.add("vector_topk_repeated_ids_blocks", sql("user_vectors item_vectors", SCORED + REPEATED))
+def vector_topk_repeated_ids_blocks(spark, sf):
+    return _repeated_ids(spark, sf, 0)
 
 
 @checks.add(
@@ -136,7 +187,7 @@ COLD = "(SELECT {v} FROM {t} ORDER BY {id} LIMIT 1)"
     ),
 )
 def topk_candidates(spark, sf):
-    return recommend.recommend_candidates(load(spark, sf, "candidates"), users(spark, sf), items(spark, sf), 10)
+    return recommend.recommend_candidates(load(spark, sf, "candidates"), users(spark, sf), items(spark, sf), 10, overfetch=1)
 
 
 FETCHED = SCORED + f", recs AS (SELECT user_id, user_category, item_id, {SIGMOID} AS score, rank FROM ranked WHERE rank <= 100)"
@@ -169,8 +220,8 @@ def metadata_first(spark, sf):
     sql(
         "user_vectors item_vectors catalog",
         FETCHED
-        + f""", e AS (SELECT user_id, item_id, rank AS old_rank, contains(lower(coalesce(item_category, '')), pref) OR contains(pref, lower(coalesce(item_category, ''))) AS boosted, score
-                      FROM (SELECT *, CASE WHEN user_category < '5' THEN 'books' ELSE 'camera & photo' END AS pref FROM recs) r LEFT JOIN ({fr.METADATA}) m USING (item_id)),
+        + f""", e AS (SELECT user_id, item_id, rank AS old_rank, coalesce(pref <> '' AND (contains(lower(coalesce(item_category, '')), pref) OR contains(pref, lower(coalesce(item_category, '')))), false) AS boosted, score
+                      FROM (SELECT *, CASE WHEN user_category < '3' THEN 'books' WHEN user_category < '6' THEN 'camera & photo' WHEN user_category < '8' THEN '' END AS pref FROM recs) r LEFT JOIN ({fr.METADATA}) m USING (item_id)),
               b AS (SELECT user_id, item_id, old_rank, boosted, CASE WHEN boosted THEN least(score * CAST(1.15 AS DOUBLE), 1) ELSE score END AS score FROM e)
               SELECT user_id, item_id, old_rank, boosted, round(score, 6) AS score,
                      CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, old_rank) AS INTEGER) AS rank FROM b""",
@@ -180,7 +231,8 @@ def persona_boost(spark, sf):
     recs = recommend.recommend(users(spark, sf), items(spark, sf), 10)
     named = fr.metadata(spark, sf).select("item_id", F.col("item_category").alias("category"))
     prefs = load(spark, sf, "user_vectors").select(
-        "user_id", F.when(F.col("category") < "5", "Books").otherwise("Camera & Photo").alias("preference")
+        "user_id",
+        F.when(F.col("category") < "3", "Books").when(F.col("category") < "6", "Camera & Photo").when(F.col("category") < "8", "").alias("preference"),
     )
     joined = recs.join(named, "item_id", "left").join(prefs, "user_id")
     boosted = recommend.persona_boost(joined, "user_id", F.col("preference"), 100)

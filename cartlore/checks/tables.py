@@ -113,12 +113,21 @@ def staging_table(spark, sf):
     return spark.read.parquet(f"{path}/counts")
 
 
-@checks.add("vector_sink", sql("item_vectors", "SELECT item_id, category, true AS in_a_cell FROM item_vectors"))
+# vectors by element, in thousandths
+ELEMENTS = "array_to_string(list_transform({v}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)), ',')"
+
+
+def elements(vec: str):
+    return F.array_join(F.transform(vec, lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",")
+
+
+@checks.add("vector_sink", sql("item_vectors", f"SELECT item_id, category, {ELEMENTS.format(v='embedding')} AS elements, true AS in_a_cell FROM item_vectors"))
 def vector_sink(spark, sf):
+    """Rows and vectors of a stored index, read back."""
     path = scratch_path(spark, "vectors")
-    index = sim.build_ivf(sim.Side(load(spark, sf, "item_vectors"), "item_id", "embedding"), 8)
-    sim.write_vectors(index, path)
-    return spark.read.parquet(path).select("item_id", "category", F.col("cell").between(0, 7).alias("in_a_cell"))
+    sim.write_vectors(sim.build_ivf(sim.Side(load(spark, sf, "item_vectors"), "item_id", "embedding"), 8), path)
+    index = sim.read_vectors(spark, path)
+    return index.rows.select("item_id", "category", elements("embedding").alias("elements"), F.col("cell").between(0, 7).alias("in_a_cell"))
 
 
 def _tower_weights(width: int, hidden: int):
@@ -135,14 +144,17 @@ def _tower_weights(width: int, hidden: int):
 
 @checks.add(
     "tower_forward",
-    """WITH h AS (SELECT vec_id, list_transform(range(1, 9), lambda j: greatest(0.5::DOUBLE * embedding[j] + 0.5::DOUBLE * embedding[j + 1] - 0.01::DOUBLE, 0)) AS y FROM embeddings)
-       SELECT vec_id, round(list_sum(y) / greatest(sqrt(list_inner_product(y, y)), CAST(1e-12 AS DOUBLE)), 6) AS unit_sum FROM h""",
+    f"""WITH x AS (SELECT vec_id, list_concat(CAST(embedding AS DOUBLE[]), [label / 10.0::DOUBLE, 1.0::DOUBLE, vec_id % 7 / 7.0::DOUBLE, 0.5::DOUBLE]) AS x FROM embeddings),
+            h AS (SELECT vec_id, list_transform(range(1, 69), lambda j: greatest(0.5::DOUBLE * x[j] + 0.5::DOUBLE * x[j % 68 + 1] - 0.01::DOUBLE, 0)) AS y FROM x),
+            n AS (SELECT vec_id, list_transform(y, lambda v: v / greatest(sqrt(list_inner_product(y, y)), CAST(1e-12 AS DOUBLE))) AS y FROM h)
+       SELECT vec_id, {ELEMENTS.format(v='y')} AS elements FROM n""",
 )
 def tower_forward(spark, sf):
-    rows = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    out = recommend.tower(rows, _tower_weights(64, 8), "e", None)
-    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
-    return out.select("vec_id", F.round(total, 6).alias("unit_sum"))
+    """All 64 dimensions and a category embedding of four."""
+    category = F.array(F.col("label") / 10.0, F.lit(1.0), F.col("vec_id") % 7 / 7.0, F.lit(0.5))
+    rows = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), category.alias("c"))
+    out = recommend.tower(rows, _tower_weights(68, 68), "e", "c")
+    return out.select("vec_id", elements("vector").alias("elements"))
 
 
 # --- the store ---------------------------------------------------------------------
@@ -237,6 +249,26 @@ def retrieve(spark, sf):
     return hits.select("user_id", "item_id", F.round("score", 6).alias("score"), "rank", "category")
 
 
+@checks.add(
+    "retrieve_indexed",
+    sql("user_vectors item_vectors", SCORED + " SELECT user_id, item_id, round(cosine, 6) AS score, round(1 - cosine, 6) AS distance, rank, category FROM ranked WHERE rank <= 5"),
+)
+def retrieve_indexed(spark, sf):
+    """An index stored over a snapshot, read back and probed on all its cells: the exact result, with payload."""
+    store = FeatureStore(spark, scratch_path(spark, "indexed-store"))
+
+    def rows(session):
+        return load(session, sf, "item_vectors").withColumn("event_timestamp", F.lit("2024-01-01").cast("timestamp"))
+
+    schema = schemas.struct(embedding=schemas.VECTOR, category=T.StringType())
+    store.apply([FeatureView("item_vectors", ("item_id",), TTL, schema, rows, lambda df: df, offline=False, row_wise=True)])
+    store.materialize(None, None)
+    store.index_vectors("item_vectors", "embedding", 8)
+    asked = sim.Side(load(spark, sf, "user_vectors"), "user_id", "embedding")
+    hits = store.retrieve(asked, "item_vectors", "embedding", 5, ["category"], nprobe=8)
+    return hits.withColumns({"score": F.round("score", 6), "distance": F.round("distance", 6)})
+
+
 @checks.add(
     "vectorised_encoder",
     """WITH c AS (SELECT doc_id, [CAST(length(text) AS DOUBLE), CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE)] AS v FROM documents)

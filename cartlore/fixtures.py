@@ -127,12 +127,8 @@ def _for_spark(sql: str) -> str:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. The fact table is spread over the cores when it lies in fewer files than there are cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name == "lineitem" and len(df.inputFiles()) < cores:
-        df = df.repartition(cores)
-    return df
+    """A given table, in the files it comes in."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,12 +8,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import shuffle_partitions, stored
 
 TS, KIND, ROW, BUCKET, SALT, KEY = "_ts", "_kind", "_row", "_bucket", "_salt", "_key"
 FEATURE, SPINE = 0, 1  # a feature row sorts before a spine row of the same time
-HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
+LEAST_HOT_ROWS = 100_000  # fewer rows of a key are always one task's work
 NULL_KEY_SALTS = 1_024
 
 
@@ -22,7 +21,8 @@ class AsOfView:
     """One feature table to join.
 
     ``columns`` maps feature column to output column. A ``ttl_seconds`` turns
-    values older than that, seen from the spine row, into NULL.
+    values older than that, seen from the spine row, into NULL. ``is_table``
+    says that ``df`` reads a table; anything else is computed and stored first.
     """
 
     name: str
@@ -31,6 +31,7 @@ class AsOfView:
     ts: str
     columns: dict[str, str]
     ttl_seconds: int | None = None
+    is_table: bool = False
 
     @property
     def payload(self) -> str:
@@ -86,12 +87,11 @@ def _key_hash(keys: list[str]) -> Column:
     return F.when(~missing, F.xxhash64(*keys))
 
 
-def _hot_keys(spine: DataFrame, groups: list[list[AsOfView]], hot_rows: int) -> list[list[int]]:
+def _hot_keys(spine: DataFrame, groups: list[list[AsOfView]], hot_rows: int | None) -> list[list[int]]:
     """Per group of views, the hashes of keys with more rows than one task should sort.
 
-    One map-side combined count over the key columns of the spine and all views.
-    At most ``MAX_HOT_KEYS`` are returned, the largest; each further key holds
-    less than that fraction of all rows.
+    One map-side combined count over the key columns of the spine and all views. Without ``hot_rows`` a key is hot
+    above an even share, all rows over the number of tasks, so there are never more hot keys than tasks.
     """
 
     def tagged(df: DataFrame, numbers: list[int]) -> DataFrame:
@@ -102,8 +102,11 @@ def _hot_keys(spine: DataFrame, groups: list[list[AsOfView]], hot_rows: int) ->
     for number, group in enumerate(groups):
         for view in group:
             rows = rows.unionByName(tagged(view.df, [number]))
-    counts = rows.dropna().groupBy("g", KEY).count().filter(F.col("count") > hot_rows)
-    found = counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()
+    counts = stored(rows.dropna().groupBy("g", KEY).count(), "key-counts")
+    if hot_rows is None:
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        hot_rows = max(LEAST_HOT_ROWS, total // shuffle_partitions(spine.sparkSession))
+    found = counts.filter(F.col("count") > hot_rows).collect()
     return [[r[KEY] for r in found if r.g == number] for number in range(len(groups))]
 
 
@@ -151,23 +154,27 @@ def asof_join(
     spine: DataFrame,
     views: list[AsOfView],
     ts: str = "event_timestamp",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
     time_buckets: int | None = None,
+    count_keys: bool = True,
 ) -> DataFrame:
     """Left as-of join of the spine with several feature tables.
 
     The number of spine rows never changes; rows without a match get NULLs.
     Views of the same entity share one shuffle. Of several feature rows with
     equal key and time the one with the largest values is taken. Keys with more
-    than ``hot_rows`` rows are joined by time ranges; ``None`` skips their count
-    for inputs known to have none.
+    than ``hot_rows`` rows (by default an even share of all) are joined by time ranges; without ``count_keys`` no key is,
+    for inputs known to have none. Counting and joining both read the inputs, so what is not a table is stored first.
     """
     buckets = time_buckets or shuffle_partitions(spine.sparkSession)
+    if count_keys:
+        spine = stored(spine, "spine")
+        views = [v if v.is_table else replace(v, df=stored(v.df.select(*v.keys, v.ts, *v.columns), "view"), is_table=True) for v in views]
     by_keys: dict[tuple[str, ...], list[AsOfView]] = {}
     for view in views:
         by_keys.setdefault(view.keys, []).append(view)
     groups = list(by_keys.values())
-    hot_keys = [[] for _ in groups] if hot_rows is None else _hot_keys(spine, groups, hot_rows)
+    hot_keys = _hot_keys(spine, groups, hot_rows) if count_keys else [[] for _ in groups]
     for group, hot in zip(groups, hot_keys):
         spine = _join_group(spine, ts, group, hot, buckets)
     return spine
@@ -178,7 +185,7 @@ def _join_group(spine: DataFrame, ts: str, views: list[AsOfView], hot: list[int]
     keys = list(views[0].keys)
     if not hot:
         return _join_same_key(spine, ts, views, keys)
-    hashes = F.broadcast(spine.sparkSession.createDataFrame([(h,) for h in hot], f"{KEY} long"))  # at most MAX_HOT_KEYS
+    hashes = F.broadcast(spine.sparkSession.createDataFrame([(h,) for h in hot], f"{KEY} long"))  # no more than tasks
 
     def part(df: DataFrame, how: str) -> DataFrame:
         return df.withColumn(KEY, _key_hash(keys)).join(hashes, KEY, how).drop(KEY)

@@ -13,8 +13,8 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row numbe
 
 
 def md5_int(text: Column) -> Column:
-    """The first 32 bits of an MD5 as a number; repeatable on any engine."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    """The first 60 bits of an MD5 as a number; repeatable on any engine, and even over any number of ids."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def md5_bucket(text: Column, n: Column | int) -> Column:

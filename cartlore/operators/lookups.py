@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .features import display_fields
 
 # --- fixed values -----------------------------------------------------------
@@ -49,10 +50,11 @@ def online_lookup(
     ``snapshots`` lists (latest-per-key table, its keys, wanted features). Every
     table holds one row per key, so the number of request rows is unchanged.
     Up to ``few`` requests their keys are sent to the tables first, so that a
-    large table is only filtered where it lies and never shuffled. The requests
-    are read for that check; store them first when they are costly to compute.
+    large table is only filtered where it lies and never shuffled. The requests are computed once and stored, so that choice, filter and
+    result see the same rows even if their plan would not repeat them.
     """
-    narrow = few > 0 and entities.limit(few + 1).count() <= few
+    entities = stored(entities, "requests")
+    narrow = entities.count() <= few
     found = entities
     for table, keys, features in snapshots:
         rows = table.select(*keys, *features)

@@ -17,22 +17,18 @@ def top_n(
     """The first ``n`` rows of each group in the given total order.
 
     Small ``n``: ``row_number() <= n`` is cut map-side, so a hot group reaches
-    the reducer as at most ``n`` rows per map task. Large ``n``: equal rows are
-    counted first and at most ``n`` of them kept, then the group is split by
-    salt and cut in two rounds; no task sees the whole group.
+    the reducer as at most ``n`` rows per map task. Large ``n``: the group is split by salt and cut in two rounds first, so
+    no task sees all of it. The salt hashes the row and its task,
+    which a repeated task gives again; equal rows of different tasks are split too.
     """
     name = rank_col or "_rank"
     if n > MAP_SIDE_LIMIT:
-        columns = df.columns
-        copies = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-        numbered = F.explode(F.sequence(F.lit(1), F.least(F.col("_copies"), F.lit(n)).cast("int")))
-        df = copies.select(*columns, numbered.alias("_copy"))
+        hashable = [c for c, kind in df.dtypes if "map<" not in kind]
         for salts in SALTS:
-            salt = F.pmod(F.xxhash64(*columns, "_copy"), F.lit(salts))
+            salt = F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(salts))
             window = Window.partitionBy(*keys, "_salt").orderBy(*order)
             ranked = df.withColumn("_salt", salt).withColumn(name, F.row_number().over(window))
             df = ranked.filter(F.col(name) <= n).drop(name, "_salt")
-        df = df.drop("_copy")
     window = Window.partitionBy(*keys).orderBy(*order)
     cut = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
     return cut if rank_col else cut.drop(name)

@@ -9,17 +9,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import categories, signals, vectors
+from ..session import shuffle_partitions, stored
 from . import indexing
 from .ranking import top_n
-from .similarity import SCORE_DIGITS, Side, _matrix, unit_vectors, vector_topk
+from .similarity import SCORE_DIGITS, IvfIndex, Side, _matrix, nearest, unit_vectors
 
 OVER_FETCH = 10
-COLD_START_INDEX = 0
 
 
 def catalog_vectors(items: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -32,9 +32,9 @@ def shown_score(cosine: Column) -> Column:
     return signals.round4(signals.sigmoid(cosine))
 
 
-def recommend(users: Side, items: Side, k: int, overfetch: int = OVER_FETCH, **search) -> DataFrame:
+def recommend(users: Side, items: Side | IvfIndex, k: int, overfetch: int = OVER_FETCH, **search) -> DataFrame:
     """The ``k * overfetch`` best catalogue items of every user, for a later cut to ``k``."""
-    hits = vector_topk(users, items, k * overfetch, **search)
+    hits = nearest(users, items, k * overfetch, **search)
     return hits.select(users.id, items.id, shown_score(F.col("score")).alias("score"), "rank")
 
 
@@ -44,8 +44,11 @@ def _cold_vector(side: Side) -> Column:
     return F.array(*[F.lit(x) for x in first["v"]])
 
 
-def recommend_candidates(candidates: DataFrame, users: Side, items: Side, k: int, overfetch: int = 1) -> DataFrame:
-    """Score given (user, item) rows only; unknown ids are scored as the first id of the vocabulary."""
+def recommend_candidates(candidates: DataFrame, users: Side, items: Side, k: int, overfetch: int = OVER_FETCH) -> DataFrame:
+    """Score given (user, item) rows only, ``k * overfetch`` of them per user for a later cut to ``k``.
+
+    Unknown ids are scored as the first id of the vocabulary.
+    """
     scored = candidates
     for side, name in ((users, "_u"), (items, "_i")):
         known = side.df.select(F.col(side.id), F.col(side.vec).cast("array<double>").alias(name))
@@ -64,8 +67,12 @@ def prefer_metadata(recs: DataFrame, user: str, k: int) -> DataFrame:
 
 
 def persona_boost(recs: DataFrame, user: str, preference: Column, list_size: int) -> DataFrame:
-    """Raise scores of items in the preferred category and sort again; equal scores keep their order."""
-    matches = categories.contains_either_way(preference, F.col("category"))
+    """Raise scores of items in the preferred category and sort again; equal scores keep their order.
+
+    A user without a preference (null or empty) keeps the scores.
+    """
+    stated = F.length(F.coalesce(preference, F.lit(""))) > 0
+    matches = stated & categories.contains_either_way(preference, F.col("category"))
     boosted = recs.withColumn("boosted", matches).withColumn(
         "score", signals.boosted_score(F.col("score"), F.col("boosted"))
     )
@@ -75,23 +82,61 @@ def persona_boost(recs: DataFrame, user: str, preference: Column, list_size: int
 
 # --- every persona with every item ---------------------------------------------------
 
-PERSONA_LIMIT = 1_000
+PERSONA_SLICE = 1_000  # personas scored by a task at once
 
 
-def persona_affinity(personas: Side, items: Side) -> DataFrame:
+def persona_affinity(personas: Side, items: Side, slice_rows: int = PERSONA_SLICE) -> DataFrame:
     """Score of every item for each persona, ranked within the item; 0 where a vector is missing.
 
-    The personas are a short list (its size is checked) that travels to the
-    items. Each item's scores are made and ordered where the item lies: the
-    catalogue is neither joined nor shuffled.
+    ``items`` has one row per item. Personas are dealt to slices of at most ``slice_rows``, and each item meets every
+    slice once: a task multiplies two blocks of vectors. With one slice, the usual case, an item's list is made and
+    ordered where the item lies, and nothing is shuffled; with several, its rows meet by item.
     """
     listed = personas.df.select(F.col(personas.id).cast("string").alias("id"), F.col(personas.vec).cast("array<double>").alias("v"))
-    small = listed.limit(PERSONA_LIMIT + 1).toArrow()
-    if small.num_rows > PERSONA_LIMIT:
-        raise ValueError(f"the persona list has more than {PERSONA_LIMIT} rows")
-    small = small.sort_by("id")
-    names = small["id"].to_pylist()
-    shared = items.df.sparkSession.sparkContext.broadcast(_matrix(small["v"]))
+    rows = items.df.select(F.col(items.id).cast("string").alias("item"), F.col(items.vec).cast("array<double>").alias("v"))
+    spark = items.df.sparkSession
+    listed = indexing.global_index(listed, ["id"], "place")
+    n_slices = -(-listed.count() // slice_rows)
+    if not n_slices:
+        return spark.createDataFrame([], f"{items.id} string, {personas.id} string, score double, rank int")
+
+    def scored(number: int) -> tuple[pa.Table, DataFrame]:
+        """A slice of at most ``slice_rows`` personas, and every item's cosines with it."""
+        own = listed.filter((F.col("place") >= number * slice_rows) & (F.col("place") < (number + 1) * slice_rows))
+        table = own.toArrow().sort_by("id")
+        return table, rows.mapInArrow(_persona_scores(table, spark), "item string, cosines array<double>")
+
+    parts = []
+    for number in range(n_slices):
+        table, lists = scored(number)
+        persona = F.array(*[F.lit(n) for n in table["id"].to_pylist()])
+
+        ordered = F.array_sort(F.transform("cosines", _persona_entry(persona)))  # one entry per persona of the slice
+        parts.append(lists.select("item", F.posexplode(ordered).alias("pos", "e")))
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
+    rank = F.col("pos") + 1
+    if n_slices > 1:
+        rank = F.row_number().over(Window.partitionBy("item").orderBy("e"))
+    return long.select(
+        F.col("item").alias(items.id), F.col("e.persona").alias(personas.id), (-F.col("e.minus")).alias("score"), rank.cast("int").alias("rank")
+    )
+
+
+def _persona_entry(persona: Column):
+    """Function from a cosine and its place to an entry that sorts by falling score, then persona."""
+
+    def entry(cosine: Column, position: Column) -> Column:
+        value = F.coalesce(shown_score(cosine), F.lit(0.0))
+        return F.struct((-value).alias("minus"), F.get(persona, position).alias("persona"))
+
+    return entry
+
+
+def _persona_scores(slice_: pa.Table, spark):
+    """Function from batches of items to their cosines with the personas of a slice; nulls where a vector is missing."""
+    shared = spark.sparkContext.broadcast(_matrix(slice_["v"]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
@@ -104,25 +149,9 @@ def persona_affinity(personas: Side, items: Side) -> DataFrame:
                     size = part.num_rows * len(matrix)
                     flat = pa.nulls(size, pa.float64()) if values is None else pa.array(values.ravel())
                     starts = pa.array(np.arange(0, size + 1, len(matrix), dtype=np.int32))
-                    lists = pa.ListArray.from_arrays(starts, flat)
-                    yield pa.RecordBatch.from_arrays([part["item"], lists], names=["item", "cosines"])
+                    yield pa.RecordBatch.from_arrays([part["item"], pa.ListArray.from_arrays(starts, flat)], names=["item", "cosines"])
 
-    rows = items.df.select(F.col(items.id).cast("string").alias("item"), F.col(items.vec).cast("array<double>").alias("v"))
-    scored = rows.mapInArrow(score, "item string, cosines array<double>")
-    persona = F.array(*[F.lit(n) for n in names])
-
-    def entry(cosine: Column, position: Column) -> Column:
-        value = F.coalesce(shown_score(cosine), F.lit(0.0))
-        return F.struct((-value).alias("minus"), F.get(persona, position).alias("persona"))
-
-    ordered = F.array_sort(F.transform("cosines", entry))  # one entry per persona
-    long = scored.select("item", F.posexplode(ordered).alias("pos", "e"))
-    return long.select(
-        F.col("item").alias(items.id),
-        F.col("e.persona").alias(personas.id),
-        (-F.col("e.minus")).alias("score"),
-        (F.col("pos") + 1).cast("int").alias("rank"),
-    )
+    return score
 
 
 # --- related items -----------------------------------------------------------------
@@ -152,7 +181,8 @@ def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return holds.unionByName(held).distinct()
 
 
-ANY_NAME = "*any*"
+def _literal(value) -> Column:
+    return F.struct(*(_literal(v) for v in value)) if isinstance(value, (tuple, list)) else F.lit(value)
 
 
 def related_items(items: DataFrame, scored: DataFrame, k: int) -> DataFrame:
@@ -172,23 +202,22 @@ def related_items(items: DataFrame, scored: DataFrame, k: int) -> DataFrame:
     right = scored.filter(F.length("title") > 0).select(
         F.col("item_id").alias("related_id"), name.alias("b"), "score", F.col("rank").alias("at")
     )
+    left, right = stored(left, "related-items"), stored(right, "related-scored")  # each is read several times
     order = ["at", "related_id"]
     names = left.select("a").distinct()
     per_name = top_n(right, ["b"], order, k + 1)
-    overall = right.orderBy(*order).limit(k + 1).withColumn("b", F.lit(ANY_NAME))
-    pairs = containing_pairs(names, right.select("b").distinct()).unionByName(names.withColumn("b", F.lit(ANY_NAME)))
-    offered = pairs.join(per_name.unionByName(overall), "b").withColumn("same", F.col("b") != ANY_NAME)
-    best = top_n(offered, ["a", "same"], order, k + 1)
-    entry = F.struct("at", "related_id", "score")  # at most k + 1 per list
-    lists = best.groupBy("a").agg(
-        F.array_sort(F.collect_list(F.when(F.col("same"), entry))).alias("same_list"),
-        F.array_sort(F.collect_list(F.when(~F.col("same"), entry))).alias("any_list"),
-    )
+    entry = F.struct("at", "related_id", "score")
+    overall = [_literal(row) for row in right.select("at", "related_id", "score").orderBy(*order).limit(k + 1).collect()]
+    kind = f"array<{right.select(entry.alias('e')).schema['e'].dataType.simpleString()}>"
+    any_list = (F.array(*overall) if overall else F.array()).cast(kind)  # k + 1 entries, the same for all
+    best = top_n(containing_pairs(names, right.select("b").distinct()).join(per_name, "b"), ["a"], order, k + 1)
+    lists = best.groupBy("a").agg(F.array_sort(F.collect_list(entry)).alias("same_list"))
 
     def others(listed: str) -> Column:
         return F.filter(listed, lambda e: e["related_id"] != F.col("item_id"))
 
-    chosen = left.join(lists, "a").select("item_id", others("same_list").alias("same"), others("any_list").alias("any"))
+    offered = left.join(lists, "a", "left").withColumns({"same_list": F.coalesce("same_list", F.array().cast(kind)), "any_list": any_list})
+    chosen = offered.select("item_id", others("same_list").alias("same"), others("any_list").alias("any"))
     has_same = F.size("same") > 0
     taken = F.slice(F.when(has_same, F.col("same")).otherwise(F.col("any")), 1, k)
     rows = chosen.select("item_id", has_same.alias("same_category"), F.posexplode(taken).alias("pos", "e"))
@@ -237,7 +266,10 @@ def tower(df: DataFrame, weights: TowerWeights, embed: str, category_embed: str
 
 
 def fit_factors(interactions: DataFrame, rank: int = 64, iterations: int = 10, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """User and item vectors by implicit-feedback ALS on the labels, keyed by their text ids."""
+    """User and item vectors by implicit-feedback ALS on the labels, keyed by their text ids.
+
+    A block of users or items per shuffle partition. The trainer's ids are 32-bit: beyond 2 ** 31 users or items the cast fails.
+    """
     users = indexing.ordinal(interactions, "user_id", "user_idx")
     items = indexing.ordinal(interactions, "item_id", "item_idx")
     pairs = interactions.groupBy("user_id", "item_id").agg(F.sum("label").alias("weight"))
@@ -246,6 +278,8 @@ def fit_factors(interactions: DataFrame, rank: int = 64, iterations: int = 10, s
         rank=rank,
         maxIter=iterations,
         seed=seed,
+        numUserBlocks=shuffle_partitions(interactions.sparkSession),
+        numItemBlocks=shuffle_partitions(interactions.sparkSession),
         implicitPrefs=True,
         userCol="user_idx",
         itemCol="item_idx",

@@ -7,9 +7,10 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,39 +45,42 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     floor = np.full(scores.shape[0], -np.inf)
     if k < scores.shape[1]:
         floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - 2 * 10.0**-SCORE_DIGITS
-    rows, cols, values = [], [], []
-    for r, row in enumerate(scores):
-        kept = np.flatnonzero(row >= floor[r])
-        rounded = np.round(row[kept], SCORE_DIGITS)
-        first = np.lexsort((ids[kept], -rounded))[:k]
-        rows.append(np.full(len(first), r))
-        cols.append(kept[first])
-        values.append(rounded[first])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-
-
-def _scored(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    row, col = np.nonzero(scores >= floor[:, None])
+    score = np.round(scores[row, col], SCORE_DIGITS)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+    return row[place < k], col[place < k], score[place < k]
+
+
+def _scored(q: np.ndarray, c: np.ndarray, ids: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Query numbers, corpus row numbers and scores of the k best of one block, a bounded number of scores at a time."""
     step = max(1, SCORES_AT_ONCE // max(len(ids), 1))
     place = np.empty(len(ids), dtype=np.int64)
-    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))  # ids compared once, then as numbers
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))  # ids compared once, then as numbers
     for start in range(0, len(q) if len(ids) else 0, step):
         row, col, score = _best(q[start : start + step] @ c.T, place, k)
         yield start + row, col, score
 
 
-def _strings(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=object)
-
-
 def _keep_best(hits: pa.Table, k: int) -> pa.Table:
     """The k best hits of each query number, in query order."""
-    number, score = hits[QNO].to_numpy(), hits["score"].to_numpy()
-    order = np.lexsort((_strings(hits[CID]), -score, number))
-    number = number[order]
+    hits = hits.sort_by([(QNO, "ascending"), ("score", "descending"), (CID, "ascending")])
+    number = hits[QNO].to_numpy()
     first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     place = np.arange(len(number)) - np.repeat(first, np.diff(np.r_[first, len(number)]))
-    return hits.take(pa.array(order[place < k]))
+    return hits.filter(pa.array(place < k))
+
+
+def _floors(best: pa.Table, n_queries: int, k: int) -> np.ndarray:
+    """Score of each query's k-th hit so far: what is below it cannot be among the k best."""
+    number, score = best[QNO].to_numpy(), best["score"].to_numpy()
+    floor = np.full(n_queries, -np.inf)
+    last = np.flatnonzero(np.r_[number[1:] != number[:-1], True])
+    full = np.diff(np.r_[-1, last]) >= k
+    floor[number[last[full]]] = score[last[full]]
+    return floor
 
 
 _HITS = T.StructType(
@@ -96,12 +100,17 @@ def _broadcast_hits(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
     def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        best = None
+        best, floor = None, np.full(len(qids), -np.inf)
         for batch in batches:
             rows = pa.Table.from_batches([batch]).drop_columns([CVEC])
-            for number, col, score in _scored(q, _matrix(batch[CVEC]), _strings(batch[CID]), k):
-                found = rows.take(pa.array(col)).append_column(QNO, pa.array(number)).append_column("score", pa.array(score))
+            for number, col, score in _scored(q, _matrix(batch[CVEC]), batch[CID], k):
+                near = score >= floor[number]
+                if not near.any():
+                    continue
+                found = rows.take(pa.array(col[near])).append_column(QNO, pa.array(number[near]))
+                found = found.append_column("score", pa.array(score[near]))
                 best = _keep_best(found if best is None else pa.concat_tables([best, found]), k)
+                floor = _floors(best, len(qids), k)
         if best is not None:
             asked = pa.array(qids, pa.string()).take(best[QNO].combine_chunks())
             yield from best.append_column(QID, asked).select(names).to_batches()
@@ -128,20 +137,23 @@ def _block_hits(queries: DataFrame, corpus: DataFrame, k: int, group: list[str])
     q_blocks = queries.withColumn("_qb", block(QID, "_qn")).withColumn("_cb", every("_cn"))
     c_blocks = corpus.withColumn("_cb", block(CID, "_cn")).withColumn("_qb", every("_qn"))
 
+    payload = [f for f in corpus.schema.fields if f.name not in (CID, CVEC, "_qn", "_cn", *group)]
+    names = [f.name for f in payload]
+
     def score_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
-        qids, ids = left[QID].combine_chunks(), right[CID].combine_chunks()
-        parts = [
-            pa.table({QID: qids.take(pa.array(number)), CID: ids.take(pa.array(col)), "score": pa.array(score)})
-            for number, col, score in _scored(_matrix(left[QVEC]), _matrix(right[CVEC]), _strings(ids), k)
-        ]
-        empty = pa.table({QID: qids[:0], CID: ids[:0], "score": pa.array([], pa.float64())})
-        return pa.concat_tables([empty, *parts])
+        qids, rows = left[QID].combine_chunks(), right.select([CID, *names])
+        empty = rows.slice(0, 0).add_column(0, QID, qids[:0]).add_column(2, "score", pa.array([], pa.float64()))
+        parts = [empty]
+        for number, col, score in _scored(_matrix(left[QVEC]), _matrix(right[CVEC]), right[CID].combine_chunks(), k):
+            found = rows.take(pa.array(col)).add_column(0, QID, qids.take(pa.array(number)))
+            parts.append(found.add_column(2, "score", pa.array(score)))
+        return pa.concat_tables(parts)
 
     # a block pair is little data but much work: a fixed number of partitions keeps the small ones from being merged
     parts = shuffle_partitions(queries.sparkSession)
     left = q_blocks.select(*on, QID, QVEC).repartition(parts, *on).groupBy(*on)
-    right = c_blocks.select(*on, CID, CVEC).repartition(parts, *on).groupBy(*on)
-    return left.cogroup(right).applyInArrow(score_blocks, _HITS)
+    right = c_blocks.select(*on, CID, CVEC, *names).repartition(parts, *on).groupBy(*on)
+    return left.cogroup(right).applyInArrow(score_blocks, T.StructType([*_HITS.fields, *payload]))
 
 
 def _best_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -176,20 +188,20 @@ def vector_topk(
 ) -> DataFrame:
     """The k corpus rows of highest cosine for each query: ids, ``score``, ``distance``, ``rank`` and payload columns."""
     payload = list(payload)
-    q = _plain(queries, QID, QVEC)
+    q, c = _plain(queries, QID, QVEC), _plain(corpus, CID, CVEC, payload)
     if queries.df.limit(broadcast_queries + 1).count() <= broadcast_queries:
-        best = _best_hits(_broadcast_hits(q, _plain(corpus, CID, CVEC, payload), k), k)
+        best = _best_hits(_broadcast_hits(q, c, k), k)
     else:
-        c = _plain(corpus, CID, CVEC)
         # counted without the vectors, which for stored tables reads file footers only
         sizes = {"_qn": _blocks(queries.df.count(), block_rows), "_cn": _blocks(corpus.df.count(), block_rows)}
         best = _best_hits(_block_hits(q.withColumns(sizes), c.withColumns(sizes), k, []), k)
-        if payload:
-            named = corpus.df.select(F.col(corpus.id).cast("string").alias(CID), *payload)
-            best = best.join(named, CID)
+    return _shown(best, queries.id, corpus.id, payload)
+
+
+def _shown(best: DataFrame, query: str, item: str, payload: list[str]) -> DataFrame:
     return best.select(
-        F.col(QID).alias(queries.id),
-        F.col(CID).alias(corpus.id),
+        F.col(QID).alias(query),
+        F.col(CID).alias(item),
         "score",
         (F.lit(1.0) - F.col("score")).alias("distance"),
         "rank",
@@ -197,6 +209,32 @@ def vector_topk(
     )
 
 
+def vector_topk_matching(
+    queries: Side, corpus: Side, k: int, asked: str, has: str, payload: list[str] = (), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The k best among the corpus rows that match: the query's column ``asked`` equals the row's ``has``.
+
+    The filter comes before the search, so a query gets k matching rows wherever they rank in the whole corpus.
+    Each value is searched on its own, large ones in blocks.
+    """
+    payload = list(payload)
+    q = queries.df.select(F.col(queries.id).cast("string").alias(QID), F.col(queries.vec).alias(QVEC), F.col(asked).alias("_match"))
+    named = [F.col(c) for c in payload]
+    c = corpus.df.select(F.col(corpus.id).cast("string").alias(CID), F.col(corpus.vec).alias(CVEC), F.col(has).alias("_match"), *named)
+    q, c = q.filter(F.size(QVEC) > 0), c.filter(F.size(CVEC) > 0)
+    return _shown(_best_hits(_grouped_hits(q, c, k, "_match", block_rows), k), queries.id, corpus.id, payload)
+
+
+def _grouped_hits(q: DataFrame, c: DataFrame, k: int, group: str, block_rows: int) -> DataFrame:
+    """Search inside equal values of a column; large values are split into blocks of both sides."""
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(group).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name))
+
+    counts = sizes(q, "_qn").join(sizes(c, "_cn"), group)
+    return _block_hits(q.join(counts, group), c.join(counts, group), k, [group])
+
+
 def prefer_matching(hits: DataFrame, query: str, matches: Column) -> DataFrame:
     """Keep a query's matching hits; a query without any keeps them all. A query has at most k hits."""
     flagged = hits.withColumn("_match", F.coalesce(matches, F.lit(False)))
@@ -237,8 +275,19 @@ def build_ivf(
 
 
 def write_vectors(index: IvfIndex, path: str) -> None:
-    """Store the vectors in one folder per cell, so that a search reads its cells only."""
-    index.rows.write.mode("overwrite").partitionBy("cell").parquet(path)
+    """Store the rows in one folder per cell, so that a search reads its cells only, and the centres beside them."""
+    spark = index.rows.sparkSession
+    index.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    centres = [(number, [float(x) for x in centre], index.id, index.vec) for number, centre in enumerate(index.centres)]
+    table = spark.createDataFrame(centres, "cell int, centre array<double>, id string, vec string")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def read_vectors(spark: SparkSession, path: str) -> IvfIndex:
+    """A stored index: its rows by cell folders, and its centres (one row per cell)."""
+    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    rows = spark.read.parquet(f"{path}/rows")
+    return IvfIndex(rows, np.array([r["centre"] for r in centres]), centres[0]["id"], centres[0]["vec"])
 
 
 def nearest_cells(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
@@ -261,18 +310,28 @@ def nearest_cells(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataF
     return queries.mapInArrow(probe, schema)
 
 
-def search_ivf(queries: Side, index: IvfIndex, nprobe: int, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate top-k: exact cosine inside the probed cells; large cells are split into blocks."""
+def search_ivf(
+    queries: Side, index: IvfIndex, nprobe: int, k: int, payload: list[str] = (), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Approximate top-k: exact cosine inside the probed cells; large cells are split into blocks.
+
+    Only cells that some query probes are read from a stored index.
+    """
+    payload = list(payload)
     q = nearest_cells(_plain(queries, QID, QVEC), index.centres, nprobe)
-    c = _plain(Side(index.rows, index.id, index.vec), CID, CVEC, ["cell"])
+    probed = [r["cell"] for r in q.select("cell").distinct().collect()]  # at most one number per cell
+    rows = index.rows.filter(F.col("cell").isin(probed))
+    c = _plain(Side(rows, index.id, index.vec), CID, CVEC, ["cell", *payload])
+    return _shown(_best_hits(_grouped_hits(q, c, k, "cell", block_rows), k), queries.id, index.id, payload)
 
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name))
 
-    counts = F.broadcast(sizes(q, "_qn").join(sizes(c, "_cn"), "cell"))  # at most one row per cell
-    hits = _block_hits(q.join(counts, "cell"), c.join(counts, "cell"), k, ["cell"])
-    best = _best_hits(hits, k)
-    return best.select(F.col(QID).alias(queries.id), F.col(CID).alias(index.id), "score", "rank")
+def nearest(
+    queries: Side, corpus: Side | IvfIndex, k: int, payload: list[str] = (), nprobe: int | None = None, **options
+) -> DataFrame:
+    """The k nearest rows of a table (exact) or of an index (``nprobe`` cells, all of them if not given)."""
+    if isinstance(corpus, IvfIndex):
+        return search_ivf(queries, corpus, nprobe or len(corpus.centres), k, payload, **options)
+    return vector_topk(queries, corpus, k, payload, **options)
 
 
 def recall(exact: DataFrame, approximate: DataFrame, query: str, item: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import categories, cleaning
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from . import indexing
 from .features import top_category
 from .lookups import attach_item_category, map_lookup, union_distinct
@@ -105,15 +105,14 @@ def training_samples(interactions: DataFrame, metadata: DataFrame, ratio: int =
     """Observed rows and random negatives with all indices, plus the vocabularies used.
 
     The filled and the encoded rows are each needed several times (vocabularies,
-    category maps, draws), so they are written to the checkpoint folder once.
+    category maps, draws), so they are written to the scratch folder once.
     """
-    ensure_checkpoint_dir(interactions.sparkSession)
-    filled = filled_rows(interactions, metadata).checkpoint()
-    top = user_top_category(filled)
+    filled = stored(filled_rows(interactions, metadata), "filled")
+    top = stored(user_top_category(filled), "top")
     users = indexing.ordinal(filled, "user_id")
     items = indexing.ordinal(filled, "item_id")
     cats = category_vocab(filled, top)
-    observed = encode_samples(with_user_category(filled, top), users, items, cats).checkpoint()
+    observed = stored(encode_samples(with_user_category(filled, top), users, items, cats), "observed")
     drawn = negatives(observed, users.count(), items.count(), ratio, seed)
     return observed.unionByName(drawn), {"user": users, "item": items, "category": cats}
 

@@ -156,7 +156,7 @@ class FeatureStore:
             view = self.registry.get(name)
             ttl = int(view.ttl.total_seconds()) if with_ttl else None
             wanted = {c: c for c in columns}
-            views.append(asof.AsOfView(name, self._offline(view), view.keys, "event_timestamp", wanted, ttl))
+            views.append(asof.AsOfView(name, self._offline(view), view.keys, "event_timestamp", wanted, ttl, is_table=True))
         return asof.asof_join(spine, views, **options)
 
     def get_online_features(self, entities: DataFrame, refs: list[str]) -> DataFrame:
@@ -166,22 +166,36 @@ class FeatureStore:
         tables = []
         for name, columns in grouped.items():
             view = self.registry.get(name)
-            table = self.online(name)
-            if table is None:
-                table = self.spark.createDataFrame([], view.output_schema())
-            tables.append((table, list(view.keys), columns))
+            tables.append((self._corpus(name), list(view.keys), columns))
         return online_lookup(entities, tables)
 
+    def _corpus(self, view: str) -> DataFrame:
+        table = self.online(view)
+        return self.spark.createDataFrame([], self.registry.get(view).output_schema()) if table is None else table
+
+    def _index_path(self, view: str) -> str:
+        return f"{self.root}/index/{view}"
+
+    def index_vectors(self, view: str, vec: str, nlist: int, **options) -> None:
+        """Build and store a cell index over a view's snapshot, for ``retrieve`` with ``nprobe``."""
+        side = similarity.Side(self._corpus(view), self.registry.get(view).keys[0], vec)
+        similarity.write_vectors(similarity.build_ivf(side, nlist, **options), self._index_path(view))
+
     def retrieve(
-        self, queries: similarity.Side, view: str, vec: str, k: int, payload: list[str] = (), metric: str = "cosine"
-    ) -> DataFrame:
-        """The k nearest stored rows for each query vector, with payload columns."""
+        self, queries: similarity.Side, view: str, vec: str, k: int, payload: list[str] = (), metric: str = "cosine",
+        nprobe: int | None = None,
+    ) -> DataFrame:
+        """The k nearest stored rows for each query vector, with payload columns.
+
+        With ``nprobe`` the stored index is searched, else the whole snapshot. A view without snapshot has no rows.
+        """
         if metric.lower() != "cosine":
             raise ValueError("only the cosine metric is stored")
-        definition = self.registry.get(view)
-        corpus = self.online(view)
-        key = definition.keys[0]
-        return similarity.vector_topk(queries, similarity.Side(corpus, key, vec), k, list(payload))
+        if nprobe is not None:
+            index = similarity.read_vectors(self.spark, self._index_path(view))
+            return similarity.search_ivf(queries, index, nprobe, k, list(payload))
+        corpus = similarity.Side(self._corpus(view), self.registry.get(view).keys[0], vec)
+        return similarity.vector_topk(queries, corpus, k, list(payload))
 
 
 def batch_name(start: str | None, end: str | None) -> str:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 MB = 1024 * 1024
 
@@ -84,3 +84,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name beside the checkpoints, on the storage all executors share."""
     return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder as Parquet and read again: computed once, lineage cut, columns pruned on reading."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ import __spark_entry__ as entry_points
 from cartlore import checks
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"cf_train", "ivf_search", "ivf_index", "review_embeddings"}
+WITHOUT_SQL = {"cf_train", "ivf_search", "review_embeddings"}
 
 
 def assert_scalable(df) -> None:

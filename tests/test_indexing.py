@@ -80,3 +80,22 @@ def test_small_cut_is_done_before_the_shuffle(spark):
 def test_vocab_of_two_columns(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), (None, "a")], "x string, y string")
     assert sorted(r.value for r in indexing.vocab(df, ["x", "y"]).collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("n", [1_000, 1_001])
+def test_first_rows_of_groups_with_maps_and_equal_rows(spark, n):
+    """The same on both sides of the map-side limit, also for columns that cannot be grouped by."""
+    df = spark.range(6_000).selectExpr("'k' AS k", "id % 3 AS v", "map('a', id % 3) AS m").repartition(4)
+    found = ranking.top_n(df, ["k"], ["v"], n).groupBy("v").count().collect()
+    assert [tuple(r) for r in found] == [(0, n)]
+
+
+def test_many_offsets_plan_quickly(spark):
+    """Positions come from a joined table, however many partitions there are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        found = indexing.global_index(spark.range(900).withColumn("key", -F.col("id")), ["key"])
+        assert [r.idx for r in found.orderBy("key").collect()] == list(range(900))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -46,11 +46,21 @@ def test_affinity_scores_missing_vectors_zero(spark):
     assert {(r.item_id, r.persona): r.score for r in rows} == {("i", "p"): 0.7311, ("i", "q"): 0.5, ("j", "p"): 0.0, ("j", "q"): 0.0}
 
 
-def test_affinity_refuses_an_unbounded_list(spark):
-    many = spark.range(recommend.PERSONA_LIMIT + 1).select(F.col("id").cast("string").alias("persona"), F.array(F.lit(1.0)).alias("v"))
-    items = spark.createDataFrame([("i", [1.0])], "item_id string, v array<float>")
-    with pytest.raises(ValueError):
-        recommend.persona_affinity(sim.Side(many, "persona", "v"), sim.Side(items, "item_id", "v"))
+def test_affinity_takes_any_list(spark):
+    """The same rows from one slice of personas and from several, and more than a thousand of them."""
+    rng = random.Random(3)
+    vectors = [(f"p{i}", [rng.random() - 0.5, rng.random() - 0.5]) for i in range(1_001)]
+    personas = sim.Side(spark.createDataFrame(vectors, "persona string, v array<float>"), "persona", "v")
+    items = sim.Side(spark.createDataFrame([("i", [1.0, 0.0]), ("j", None), ("k", [0.3, 0.4])], "item_id string, v array<float>"), "item_id", "v")
+    whole = recommend.persona_affinity(personas, items, slice_rows=2_000).collect()
+    parts = recommend.persona_affinity(personas, items).collect()
+    assert len(whole) == 3 * 1_001 and sorted(whole) == sorted(parts)
+
+
+def test_boost_needs_a_stated_preference(spark):
+    for preference in ("", None):
+        found = recommend.persona_boost(recs(spark), "user_id", F.lit(preference).cast("string"), 10).collect()
+        assert not any(r.boosted for r in found)
 
 
 def related_brute(items, k):

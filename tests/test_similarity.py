@@ -89,7 +89,7 @@ def test_index_is_stored_by_cell(data, spark, tmp_path):
     _, _, _, c = data
     index = sim.build_ivf(c, 4, train_share=0.9)
     sim.write_vectors(index, f"{tmp_path}/ivf")
-    stored = spark.read.parquet(f"{tmp_path}/ivf")
+    stored = sim.read_vectors(spark, f"{tmp_path}/ivf").rows
     assert stored.count() == 150
     plan = stored.filter("cell = 1").select("cid")
     assert "PartitionFilters: [isnotnull(cell" in plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
