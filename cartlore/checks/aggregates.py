@@ -391,6 +391,6 @@ def training_samples(spark, sf):
 @checks.add("cf_train")
 def cf_train(spark, sf):
     pairs = ops.interactions(fr.reviews(spark, sf)).drop("event_timestamp")
-    users, items = recommend.fit_factors(pairs, rank=16, iterations=3)
+    users, items = recommend.fit_factors(pairs)
     named = [users.withColumnRenamed("user_id", "id"), items.withColumnRenamed("item_id", "id")]
     return src.union_all(*named)

@@ -71,6 +71,17 @@ def stringify_objects(spark, sf):
     return src.stringify(load(spark, sf, "catalog"))
 
 
+@checks.add(
+    "stringify_nested",
+    """SELECT conv_id, turn, CAST(to_json([role, text]) AS VARCHAR) AS pair, CAST(to_json({'role': role, 'turn': turn}) AS VARCHAR) AS whole FROM conversations""",
+)
+def stringify_nested(spark, sf):
+    """Arrays and structs become JSON."""
+    rows = load(spark, sf, "conversations")
+    nested = rows.select("conv_id", "turn", F.array("role", "text").alias("pair"), F.struct("role", "turn").alias("whole"))
+    return src.stringify(nested)
+
+
 @checks.add(
     "pruned_capped_scan",
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000",

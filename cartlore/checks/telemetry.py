@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as tm
@@ -12,8 +13,8 @@ checks = Checks()
 load, sql = fr.load, fr.sql
 
 BOUNDS = tm.LATENCY_MS
-BOUND_ROWS = ", ".join(f"(CAST({b} AS DOUBLE))" for b in [*BOUNDS, "'Infinity'"])
-CANDIDATE_ROWS = ", ".join(f"(CAST({b} AS DOUBLE))" for b in [*tm.CANDIDATES_SCORED, "'Infinity'"])
+BOUND_ROWS = ", ".join(f"(CAST({b} AS DOUBLE))" for b in "5 10 25 50 100 250 500 1000 2500 'Infinity'".split())
+CANDIDATE_ROWS = ", ".join(f"(CAST({b} AS DOUBLE))" for b in "10 25 50 100 200 500 'Infinity'".split())
 
 
 @checks.add("request_counter", sql("requests", "SELECT service, endpoint, status, count(*) AS n_requests FROM requests GROUP BY ALL"))
@@ -178,3 +179,36 @@ def counter_rate_by(spark, sf):
     )
     rates = tm.counter_rate_by(samples, ["event_type", "user_id"], ["event_type"], "ts", "value", "5 minutes", 300)
     return rates.select("event_type", fr.epoch_ms("start", "start_ms"), F.round("rate", 9).alias("rate"))
+
+
+# cumulative bucket counters of four services' processes, which restart every 41 scrapes
+SCRAPES = """scrapes AS (
+    SELECT event_type AS service, user_id % 2 AS process, CAST(le AS DOUBLE) AS le, CAST(ts AS TIMESTAMP) AS ts,
+           CAST(CAST(rn % 41 AS BIGINT) * share AS DOUBLE) AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY event_id) AS rn FROM events),
+         (VALUES ('5', 1), ('50', 3), ('500', 4), ('Infinity', 5)) b(le, share))"""
+
+
+@checks.add(
+    "counter_bucket_quantile",
+    f"""WITH {SCRAPES},
+        steps AS (SELECT *, lag(value) OVER (PARTITION BY service, process, le ORDER BY ts, value) AS prev FROM scrapes),
+        h AS (SELECT service, CAST(floor(epoch_us(ts) / 300000000.0) AS BIGINT) * 300000 AS start_ms, le,
+                     sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) AS cumulative
+              FROM steps GROUP BY ALL),
+        grown AS (SELECT * FROM h QUALIFY max(cumulative) OVER (PARTITION BY start_ms, service) > 0)
+        SELECT start_ms, service, round(value, 6) AS p90 FROM ({QUANTILE.format(g='start_ms, service', q=0.9, h='grown')})""",
+)
+def counter_bucket_quantile(spark, sf):
+    """Growth of each bucket counter with restarts, summed over the processes, then the quantile."""
+    bounds = [("5", 1), ("50", 3), ("500", 4), ("Infinity", 5)]
+    buckets = F.explode(F.array(*[F.struct(F.lit(le).cast("double").alias("le"), F.lit(n).alias("share")) for le, n in bounds]))
+    nth = F.row_number().over(Window.partitionBy("event_type", F.col("user_id") % 2).orderBy("event_id"))
+    numbered = load(spark, sf, "events").withColumn("rn", nth)  # before the buckets are made
+    scrapes = numbered.select(
+        F.col("event_type").alias("service"), (F.col("user_id") % 2).alias("process"), F.col("ts").cast("timestamp").alias("ts"),
+        "rn", buckets.alias("b"),
+    )
+    scrapes = scrapes.select("service", "process", "ts", "b.le", ((F.col("rn") % 41) * F.col("b.share")).cast("double").alias("value"))
+    found = tm.counter_bucket_quantiles(scrapes, ["service", "process"], ["service"], "le", "ts", "value", "5 minutes", [0.9])
+    return found.select(fr.epoch_ms("start", "start_ms"), "service", F.round("p90", 6).alias("p90")).dropna()

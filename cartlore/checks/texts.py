@@ -51,11 +51,9 @@ def super_category(spark, sf):
     )
 
 
-PREFIX_SQL = (
-    "CASE "
-    + " ".join(f"WHEN starts_with(a, '{p}') THEN '{c}'" for p, c in categories.PREFIX_CATEGORIES)
-    + f" ELSE '{categories.UNKNOWN_PREFIX_CATEGORY}' END"
-)
+PREFIX_SQL = """CASE WHEN regexp_matches(a, '^B0[987]') THEN 'Electronics' WHEN starts_with(a, 'B01') THEN 'Gadgets & Accessories'
+    WHEN starts_with(a, 'B00') THEN 'Home & Living' WHEN starts_with(a, 'B0') THEN 'Tech & Computing'
+    WHEN regexp_matches(a, '^[01]') THEN 'Books & Media' ELSE 'General' END"""
 
 
 @checks.add(
@@ -117,7 +115,8 @@ def response_sentiment(spark, sf):
     return load(spark, sf, "analysis").select("doc_id", signals.response_sentiment(F.col("raw")).alias("sentiment"))
 
 
-NEG, POS = "|".join(signals.NEGATIVE_WORDS), "|".join(signals.POSITIVE_WORDS)
+NEG = "bad|poor|terrible|awful|worst|broken|slow|dim|cheap|flimsy|fails|disappointing"
+POS = "great|excellent|good|amazing|fantastic|fast|solid|love|perfect|best|comfortable|smooth"
 LEXICON = f"""CASE WHEN {{v}} IN ('positive', 'negative', 'mixed', 'neutral') THEN {{v}}
     WHEN regexp_matches(lower({{v}}), '{NEG}') THEN 'negative' WHEN regexp_matches(lower({{v}}), '{POS}') THEN 'positive'
     WHEN {{v}} IS NOT NULL THEN 'mixed' END"""
@@ -441,3 +440,22 @@ def classify_prompt(spark, sf):
         F.when(F.col("helpful_vote") > 4, F.col("helpful_vote") * 10).alias("pos_pct"),
     )
     return assembly.classify_prompt(rows).select("doc_key", "prompt")
+
+
+@checks.add(
+    "review_summary_prompt",
+    sql(
+        "doc_reviews",
+        """SELECT doc_key, '[INST] Summarize the following product review in 1-2 sentences. Include the overall sentiment (positive/negative/neutral).'
+                  || chr(10) || chr(10) || 'Product: ' || coalesce(title, '') || chr(10) || 'Review: ' || coalesce(text, '') || ' [/INST]' AS prompt,
+                  '[INST] Summarize the following product review in 1-2 sentences. Include the overall sentiment (positive/negative/neutral).'
+                  || chr(10) || chr(10) || 'Product: ' || coalesce(title, 'Unknown') || chr(10) || 'Review: ' || substr(coalesce(text, ''), 1, 500)
+                  || chr(10) || '[/INST]' AS short_prompt
+           FROM doc_reviews""",
+    ),
+)
+def review_summary_prompt(spark, sf):
+    rows = load(spark, sf, "doc_reviews").select("doc_key", "title", "text")
+    whole = assembly.review_summary_prompt(rows)
+    short = assembly.review_summary_prompt(whole.withColumnRenamed("prompt", "_whole"), shortened=True)
+    return short.select("doc_key", F.col("_whole").alias("prompt"), F.col("prompt").alias("short_prompt"))

@@ -50,6 +50,7 @@ CLASSIFY_PROMPT = (
 SUMMARY_REVIEWS, SUMMARY_REVIEW_CHARS, SUMMARY_CHARS = 8, 200, 1500
 ANALYSIS_REVIEWS, ANALYSIS_REVIEW_CHARS = 12, 250
 CLASSIFY_REVIEW_CHARS = 500
+ONE_REVIEW_CHARS = 500
 # -----------------------------------------------------------------------------
 
 

@@ -75,13 +75,13 @@ def _quantile(q: float) -> Column:
     """
     target = F.lit(float(q)) * F.col("_n")
     at = F.size(F.filter("_b", lambda c: c["cumulative"] < target))  # 0-based bucket holding the target
-    zero = F.struct(F.lit(0.0).alias("le"), F.lit(0).cast("long").alias("cumulative"))
-    before = F.when(at > 0, F.get("_b", at - 1)).otherwise(zero)
     here = F.get("_b", at)
-    inside = F.nullif(here["cumulative"] - before["cumulative"], F.lit(0).cast("long"))
-    part = F.coalesce((target - before["cumulative"]) / inside, F.lit(0.0))
-    linear = before["le"] + (here["le"] - before["le"]) * part
-    return F.when(F.col("_n") > 0, F.when(here["le"] == float("inf"), before["le"]).otherwise(linear))
+    lower = F.when(at > 0, F.get("_b", at - 1)["le"]).otherwise(F.lit(0.0))
+    below = F.when(at > 0, F.get("_b", at - 1)["cumulative"].cast("double")).otherwise(F.lit(0.0))
+    inside = F.nullif(here["cumulative"] - below, F.lit(0.0))
+    part = F.coalesce((target - below) / inside, F.lit(0.0))
+    linear = lower + (here["le"] - lower) * part
+    return F.when(F.col("_n") > 0, F.when(here["le"] == float("inf"), lower).otherwise(linear))
 
 
 def histogram_quantile(hist: DataFrame, q: float, by: list[str]) -> DataFrame:
@@ -183,3 +183,16 @@ def counter_rate_by(
     """Per-second growth of counters per range, summed over the series of each group (``by`` is part of ``series``)."""
     grown = counter_increase(df, series, ts, value, length, seconds)
     return grown.groupBy(*by, "start").agg(F.sum("per_second").alias("rate"))
+
+
+def counter_bucket_quantiles(
+    df: DataFrame, series: list[str], by: list[str], le: str, ts: str, value: str, length: str, qs: list[float] = QUANTILES
+) -> DataFrame:
+    """Quantiles per range from scraped bucket counters.
+
+    Each (series, bucket) counter's growth, restarts included, is summed over the series of a group (``by`` is part
+    of ``series``); the sums are the cumulative buckets of the range.
+    """
+    grown = counter_increase(df.withColumnRenamed(le, "le"), [*series, "le"], ts, value, length, 1)
+    hist = grown.groupBy("start", *by, "le").agg(F.sum("increase").alias("cumulative"))
+    return quantiles(hist, qs, ["start", *by])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,18 @@ from pyspark.sql import types as T
 
 from ..operators import asof, similarity
 from ..operators.lookups import online_lookup, resolve_refs
-from ..operators.ranking import latest_per_key
+from ..operators.ranking import first_per_key, latest_per_key
 from ..sources import files
+from ..sources.reviews import union_all
 from .registry import FeatureView, Registry
 from .views import window_filter
 
-MARKS = T.StructType([T.StructField("view", T.StringType()), T.StructField("end_at", T.TimestampType())])
+RUNS = T.StructType(
+    [
+        T.StructField("view", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("start_at", T.TimestampType()),
+        T.StructField("end_at", T.TimestampType()), T.StructField("run_at", T.TimestampType()),
+    ]
+)
 KEPT_VERSIONS = 2
 EPOCH = "1970-01-01 00:00:00"
 
@@ -72,6 +79,16 @@ class FeatureStore:
         done = files.glob(self.spark, f"{self.root}/online/{view}/v=*/_SUCCESS")
         return sorted(int(p.split("/v=")[-1].split("/")[0]) for p in done)
 
+    def _unfinished(self, view: str) -> list[int]:
+        newest = (self._versions(view) or [0])[-1]
+        begun = files.glob(self.spark, f"{self.root}/online/{view}/v=*")
+        return [n for n in (int(p.rstrip("/").split("/v=")[-1]) for p in begun) if n > newest]
+
+    def discard_unfinished(self, view: str) -> None:
+        """Remove what a writer that died has left, so that the next one may write."""
+        for number in self._unfinished(view):
+            files.delete_tree(self.spark, self._snapshot_path(view, number))
+
     def _snapshot_path(self, view: str, version: int) -> str:
         return f"{self.root}/online/{view}/v={version}"
 
@@ -90,13 +107,18 @@ class FeatureStore:
         return self.spark.read.parquet(self._snapshot_path(view, versions[-1]))
 
     def upsert_online(self, view: FeatureView, batch: DataFrame) -> None:
-        """Write the next snapshot beside the current one; older ones are removed afterwards."""
+        """Write the next snapshot beside the current one; older ones are removed afterwards.
+
+        One writer at a time: a second one fails, as it would lose the first one's rows. After a writer has died, ``discard_unfinished``.
+        """
+        if self._unfinished(view.name):
+            raise RuntimeError(f"view {view.name!r} is being written, or a writer died; see discard_unfinished")
         merged = upsert(self.online(view.name), batch, list(view.keys))
         versions = self._versions(view.name)
         number = versions[-1] + 1 if versions else 1
         if self.write_partitions:
             merged = merged.repartition(self.write_partitions, *view.keys)
-        merged.write.mode("overwrite").parquet(self._snapshot_path(view.name, number))
+        merged.write.mode("error").parquet(self._snapshot_path(view.name, number))
         for old in versions[: -(KEPT_VERSIONS - 1) or None]:
             files.delete_tree(self.spark, self._snapshot_path(view.name, old))
 
@@ -109,41 +131,97 @@ class FeatureStore:
             self.upsert_online(view, features)
 
     def materialize(self, start: str | None, end: str | None, views: list[str] | None = None) -> None:
-        """Compute views over source rows with ``start <= event_timestamp < end`` and write them."""
+        """Compute views over source rows with ``start <= event_timestamp < end`` and write them.
+
+        A window that overlaps earlier ones replaces their rows of its time (see ``offline``); the next incremental run goes on from
+        the latest end of all runs.
+        """
         for name in views or self.registry.names():
             view = self.registry.get(name)
             source = window_filter(view.source(self.spark), start, end)
             self._sink(view, view.compute(source), batch_name(start, end))
+            self._record(name, start, end)
 
     # --- incremental ----------------------------------------------------------------
 
-    def _marks_path(self) -> str:
+    def _runs_path(self) -> str:
         return f"{self.root}/marks"
 
+    def _record(self, view: str, start: str | None, end: str | None) -> None:
+        row = self.spark.createDataFrame([(view, batch_name(start, end), start, end)], "view string, batch string, start_at string, end_at string")
+        times = {c: F.col(c).cast("timestamp") for c in ("start_at", "end_at")}
+        row.withColumns(times).withColumn("run_at", F.current_timestamp()).write.mode("append").parquet(self._runs_path())
+
+    def _runs(self, view: str) -> DataFrame:
+        if not files.exists(self.spark, self._runs_path()):
+            return self.spark.createDataFrame([], RUNS)
+        return self.spark.read.schema(RUNS).parquet(self._runs_path()).filter(F.col("view") == view)
+
     def last_end(self, view: str) -> str:
-        if not files.exists(self.spark, self._marks_path()):
-            return EPOCH
-        marks = self.spark.read.schema(MARKS).parquet(self._marks_path()).filter(F.col("view") == view)
-        newest = marks.agg(F.date_format(F.max("end_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        newest = self._runs(view).agg(F.date_format(F.max("end_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
         return newest or EPOCH
 
-    def materialize_incremental(self, end: str, views: list[str] | None = None) -> None:
-        """Write what came in since the last run, per view."""
+    def materialize_incremental(self, end: str, views: list[str] | None = None, lateness: timedelta = timedelta(0)) -> None:
+        """Write what came in since the last run, per view.
+
+        Rows that arrive with a time before the last run's end are found up to ``lateness`` back: that stretch is read again and
+        replaces what was written for it. Rows later than that need ``materialize`` for their time.
+        """
         for name in views or self.registry.names():
             view = self.registry.get(name)
-            start = self.last_end(name)
+            last = self.last_end(name)
+            start = last
+            if lateness and last != EPOCH:
+                start = str(datetime.fromisoformat(last) - lateness)
             source = window_filter(view.source(self.spark), None, end)
             fresh = window_filter(source, start, end)
             self._sink(view, view.touched_by(source, fresh), batch_name(start, end))
-            mark = self.spark.createDataFrame([(name, end)], "view string, end_at string")
-            mark = mark.withColumn("end_at", F.col("end_at").cast("timestamp"))
-            mark.write.mode("append").parquet(self._marks_path())
+            self._record(name, start, end)
 
     # --- reading -------------------------------------------------------------------------
 
-    def _offline(self, view: FeatureView) -> DataFrame:
-        rows = self.spark.read.schema(view.output_schema()).parquet(self.offline_path(view.name))
-        return rows.select(view.output_schema().names)
+    def offline(self, name: str) -> DataFrame:
+        """A view's offline rows, each once, whatever windows were run.
+
+        What a later run wrote replaces earlier rows: of a row-wise view all rows of its time window, of an aggregate
+        the rows with the same keys and time. Only runs that a later one overlaps are filtered.
+        """
+        view = self.registry.get(name)
+        latest = self._runs(name).groupBy("batch", "start_at", "end_at").agg(F.max("run_at").alias("run_at"))
+        runs = latest.orderBy("run_at").collect()  # a row per batch
+        schema, base = view.output_schema(), self.offline_path(name)
+
+        def read(batches: list[str]) -> DataFrame:
+            return self.spark.read.schema(schema).parquet(*[f"{base}/batch={b}" for b in batches]).select(schema.names)
+
+        def overlap(a, b) -> bool:
+            return (a.start_at is None or b.end_at is None or a.start_at < b.end_at) and (
+                b.start_at is None or a.end_at is None or b.start_at < a.end_at
+            )
+
+        replaced = {i: [b for b in runs[i + 1 :] if overlap(a, b)] for i, a in enumerate(runs)}
+        free = [runs[i].batch for i, later in replaced.items() if not later]
+        parts = [read(free)] if free else []
+        order = [F.lit(0)] if free else []
+        for i, later in replaced.items():
+            if later:
+                rows = read([runs[i].batch])
+                if view.row_wise:
+                    for b in later:
+                        inside = F.lit(True)
+                        if b.start_at is not None:
+                            inside &= F.col("event_timestamp") >= F.lit(b.start_at)
+                        if b.end_at is not None:
+                            inside &= F.col("event_timestamp") < F.lit(b.end_at)
+                        rows = rows.filter(~inside)
+                parts.append(rows)
+                order.append(F.lit(len(runs) - i))
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        if view.row_wise or len(parts) == 1:
+            return union_all(*parts)
+        aged = union_all(*(p.withColumn("_age", o) for p, o in zip(parts, order)))
+        return first_per_key(aged, [*view.keys, "event_timestamp"], ["_age"]).drop("_age")
 
     def get_historical_features(
         self, spine: DataFrame, refs: list[str], with_ttl: bool = True, **options
@@ -156,7 +234,7 @@ class FeatureStore:
             view = self.registry.get(name)
             ttl = int(view.ttl.total_seconds()) if with_ttl else None
             wanted = {c: c for c in columns}
-            views.append(asof.AsOfView(name, self._offline(view), view.keys, "event_timestamp", wanted, ttl, is_table=True))
+            views.append(asof.AsOfView(name, self.offline(name), view.keys, "event_timestamp", wanted, ttl, is_table=True))
         return asof.asof_join(spine, views, **options)
 
     def get_online_features(self, entities: DataFrame, refs: list[str]) -> DataFrame:

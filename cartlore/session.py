@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,8 @@ def local_session(cpus: int | None = None, app: str = "cartlore-local", **conf:
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
+        # Python workers find the package also when only sys.path of this process names it
+        "spark.executorEnv.PYTHONPATH": os.pathsep.join([str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")]),
         **conf,
     }
     spark = build_session(app, f"local[{cpus}]", **settings)
@@ -81,9 +84,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_SESSION = uuid.uuid4().hex  # of this driver process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name beside the checkpoints, on the storage all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark)}/tables/{_SESSION}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this process's scratch tables, once no result that reads them is needed any more."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables/{_SESSION}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

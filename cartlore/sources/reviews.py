@@ -146,7 +146,7 @@ def scan_pruned(df: DataFrame, columns: list[str], limit: int = 0, order: list[C
 
 
 def stringify(df: DataFrame) -> DataFrame:
-    """Every text or nested column as text, NULL as the missing marker."""
+    """Every text or nested column as text, NULL as the missing marker. Nested values become JSON, which any reader can parse again."""
     kinds = dict(df.dtypes)
     textual = ("string", "array", "struct", "map", "binary")
     return df.select(

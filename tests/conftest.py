@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from cartlore.session import local_session  # noqa: E402
+from cartlore.session import clear_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         },
     )
     yield session
+    clear_scratch(session)
     session.stop()
 
 
