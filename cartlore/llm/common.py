@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, shuffle_partitions
+from ..session import scratch_path, shuffle_partitions, stored
 
 SPACES = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]; everything else belongs to a word
 CHUNK_BYTES = 1 << 20  # of text worked on at a time inside a task
@@ -24,13 +24,6 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read again: computed once, lineage cut, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # --- a filter of bounded size -------------------------------------------------------------------
 
 _BITMAP_BITS = 32_768  # of Spark's bitmap functions
