@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, on ordinary text and on toxic text. Each window of words is compressed once after the
-ordinary dictionary alone and once with the toxic one in front of it; what the second saves is what only toxic text explains. How many
+ordinary dictionary alone and once after both; what the second saves is what only toxic text explains. How many
 windows save how much is calibrated to a probability on labelled documents.
 
 Insults are few words in long texts, so a dictionary of whole toxic documents would mostly hold ordinary words. It is
@@ -92,10 +92,12 @@ class Model:
         settings = zstandard.ZstdCompressionParameters.from_level(
             LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
-        # the toxic part stands in front, so that distances into the ordinary part, and with them lengths, stay the same
+        # next to the text stands the toxic part or as many blanks, so distances into the ordinary part, and with
+        # them the lengths of ordinary matches, are the same, and toxic matches are near
         found = []
-        for content in (self.ordinary, self.toxic + self.ordinary):
-            held = zstandard.ZstdCompressionDict(content.ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for nearer in (b"\0" * len(self.toxic), self.toxic):
+            content = (self.ordinary + nearer).ljust(8, b"\0")
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=settings)
             found.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=held).compress)
         self._plain, self._toxic = found
