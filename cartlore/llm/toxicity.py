@@ -27,6 +27,7 @@ from .common import Words, shingles, stored, text_parts, whole
 SAMPLE = 8192  # labelled rows that the classifier is fitted on, at most, by hash order
 THRESHOLD = 0.7
 WINDOW = 12  # words
+PART = 4  # words of the parts of a window that saves anything
 LEVEL = 9
 RUN = 5  # letters, the space before a word included
 ORDINARY_BYTES, TOXIC_BYTES = 32 * 1024, 8 * 1024  # of the dictionaries
@@ -42,9 +43,8 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def windows_of(text: str) -> list[bytes]:
-    words = words_of(text)
-    return [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
+def windows_of(words: list[str], size: int = WINDOW) -> list[bytes]:
+    return [f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
 
 
 def runs_of(word: str) -> set[str]:
@@ -78,6 +78,15 @@ def train_dictionary(samples: Iterable[bytes], size: int) -> bytes:
     return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def _summary(saved: np.ndarray, n: int) -> list[float]:
+    """Windows by bytes saved (counts, shares of all n), the largest savings, the mean, and the length."""
+    n = max(n, 1)
+    top = np.sort(np.append(saved, [0, 0, 0]))[::-1][:3]
+    gain = np.maximum(saved, 0).sum()
+    counts = [(saved >= s).sum() for s in _STEPS]
+    return [*(math.log1p(c) for c in counts), *(c / n for c in counts), top.sum() / 3, top[0], gain / n, math.log(n), math.log1p(gain)]
+
+
 @dataclass
 class Model:
     """Both dictionaries and the calibration; a few tens of KB, sent to the tasks."""
@@ -105,16 +114,19 @@ class Model:
     def __reduce__(self):
         return Model, (self.ordinary, self.toxic, self.weights, self.centre, self.scale)
 
+    def saved(self, windows: list[bytes]) -> np.ndarray:
+        """Bytes by which the toxic dictionary shortens each window."""
+        return np.array([len(self._plain(w)) - len(self._toxic(w)) for w in windows], np.int64)
+
     def features(self, text: str) -> list[float]:
-        """Windows by bytes saved (counts, shares), the largest savings, the mean, and the length."""
-        saved = np.array([len(self._plain(w)) - len(self._toxic(w)) for w in windows_of(text)] or [0])
-        top = np.sort(saved)[::-1][:3]
-        gain = np.maximum(saved, 0).sum()
-        n = len(saved)
-        counts = [(saved >= s).sum() for s in _STEPS]
-        return [
-            *(math.log1p(c) for c in counts), *(c / n for c in counts), top.sum() / 3, top[0], gain / n, math.log(n), math.log1p(gain)
-        ]
+        """Of all windows, and of the parts of those that save anything: see ``_summary``.
+
+        A window that saves nothing has no parts that do, so those are not compressed again.
+        """
+        words = words_of(text)
+        whole = self.saved(windows_of(words))
+        parts = [p for i in np.flatnonzero(whole > 0).tolist() for p in windows_of(words[i * WINDOW : (i + 1) * WINDOW], PART)]
+        return _summary(whole, len(whole)) + _summary(self.saved(parts), -(-len(words) // PART))
 
     def score(self, text: str) -> float:
         x = (np.array(self.features(text)) - self.centre) / self.scale
@@ -209,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Mode
                     own = [w for w in words_of(t) if w in marks]
                     some = [f" {' '.join(own)} ".encode()] if own else []
                 else:
-                    some = windows_of(t)
+                    some = windows_of(words_of(t))
                     some = some[:: -(-len(some) // _WINDOWS_OF_A_SAMPLE)] if some else []
                 toxic += [label] * len(some)
                 text += some
