@@ -12,7 +12,7 @@ from ..functions import categories
 from ..functions.encoders import model_encoder
 from ..operators import recommend, training
 from ..operators import similarity as sim
-from ..plans.registry import FeatureView
+from ..plans.registry import FeatureView, Mergeable
 from ..plans.store import FeatureStore
 from ..session import scratch_path
 from ..sources import files
@@ -378,3 +378,34 @@ def stream_materialize(spark, sf):
     stream.stream_materialize(store, view, arriving, lambda: load(spark, sf, "events"), state).awaitTermination()
     found = store.online("user_events")
     return found.select("user_id", "n_events", "avg_value", F.unix_micros("event_timestamp").alias("last_us"))
+
+
+@checks.add(
+    "stream_merge",
+    """SELECT user_id, count(*) AS n_events, round(sum(value) / count(*), 6) AS avg_value, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id""",
+)
+def stream_merge(spark, sf):
+    """The events in two files, taken in one after the other: the second batch adds to the state of its keys."""
+    store = FeatureStore(spark, scratch_path(spark, "merging"))
+    how = Mergeable(
+        lambda df: df.groupBy("user_id").agg(
+            F.count("*").alias("n"), F.sum("value").alias("total"), F.max(F.col("ts").cast("timestamp")).alias("last")
+        ),
+        {"n": "sum", "total": "sum", "last": "max"},
+        lambda state: state.select(
+            "user_id", F.col("n").alias("n_events"), F.round(F.col("total") / F.col("n"), 6).alias("avg_value"), F.col("last").alias("event_timestamp")
+        ),
+    )
+    view = FeatureView(
+        "user_events", ("user_id",), TTL, schemas.struct(n_events=T.LongType(), avg_value=T.DoubleType()), lambda s: load(s, sf, "events"),
+        lambda df: how.finish(how.partial(df)), offline=False, key_types={"user_id": T.LongType()},
+    )
+    store.apply([view])
+    events = load(spark, sf, "events")
+    arriving, state = scratch_path(spark, "arriving"), scratch_path(spark, "merging-state")
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0):
+        events.filter(part).write.mode("append").parquet(arriving)
+        rows = stream.read_files(spark, arriving, events.schema)
+        stream.stream_merge(store, view, how, rows, state).awaitTermination()
+    found = store.online("user_events")
+    return found.select("user_id", "n_events", "avg_value", F.unix_micros("event_timestamp").alias("last_us"))

@@ -67,6 +67,20 @@ class FeatureView:
         return self.compute(source.join(fresh.select(*columns).distinct(), columns, "left_semi"))
 
 
+@dataclass(frozen=True)
+class Mergeable:
+    """Per-key state of an aggregate that batches add to.
+
+    ``partial`` makes state rows (keys and state columns) of source rows, ``merge`` names how each state column adds up
+    (``sum``, ``min`` or ``max``), and ``finish`` makes the view's rows of state rows. Counts, sums, squares, extremes and
+    histograms merge so; distinct counts need state rows per (key, value) and a view of their own.
+    """
+
+    partial: Transform
+    merge: dict[str, str]
+    finish: Transform
+
+
 def feature_view(
     name: str,
     keys: list[str],

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import telemetry
-from ..plans.registry import FeatureView
+from ..plans.registry import FeatureView, Mergeable
 from ..plans.store import FeatureStore
 
 
@@ -46,6 +46,25 @@ def stream_materialize(
     )
 
 
+def stream_merge(
+    store: FeatureStore, view: FeatureView, how: Mergeable, stream: DataFrame, checkpoint: str
+) -> StreamingQuery:
+    """Keep a view's online snapshot up to date from mergeable state: a batch reads its own rows and the key buckets it touches.
+
+    The state remembers the batch it has last taken in, so a batch that runs again after a lost driver counts once.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        store.merge_online(view, how, batch, f"{checkpoint}#{batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def rate_stream(
     requests: DataFrame, late: str, length: str, seconds: int, step: str | None, by: list[str], ts: str = "ts"
 ) -> DataFrame:

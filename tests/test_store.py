@@ -11,12 +11,13 @@ from cartlore import schemas
 from cartlore.functions.encoders import hashing_encoder
 from cartlore.operators import similarity as sim
 from cartlore.operators import telemetry as tm
-from cartlore.plans.registry import feature_view
+from cartlore.plans.registry import FeatureView, Mergeable, feature_view
 from cartlore.plans.store import FeatureStore, upsert
 from cartlore.plans.views import standard_views
 from cartlore.sources import reviews as src
 from cartlore.streaming import materialize as stream
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REFS = [
     "user_features:user_avg_rating",
@@ -109,6 +110,45 @@ def test_snapshots_keep_the_previous_version(store, spark):
     assert store._versions("item_features") == [2, 3]
 
 
+def test_a_batch_rewrites_its_buckets_only(store, spark):
+    """Keys of untouched buckets are read from the version that wrote them; a second writer is refused."""
+    view = store.registry.get("item_features")
+    store.materialize(None, "2022-01-01 00:00:00", ["item_features"])
+    before, _ = store._manifest("item_features")
+    rows = store.online("item_features")
+    one = rows.filter("item_id = 'B07XJ8C8F5'").withColumn("event_timestamp", F.lit("2031-01-01").cast("timestamp"))
+    store.upsert_online(view, one)
+    after, _ = store._manifest("item_features")
+    assert sum(after[b] != before[b] for b in before) == 1 and set(after) == set(before)
+    found = {r.item_id: r.event_timestamp.year for r in store.online("item_features").collect()}
+    assert found.pop("B07XJ8C8F5") == 2031 and len(found) == len(before) - 1 and 2031 not in found.values()
+    rows.limit(0).write.parquet(f"{store._snapshot_path('item_features', 9)}/rows")  # somebody has begun
+    with pytest.raises(RuntimeError):
+        store.upsert_online(view, one)
+    store.discard_unfinished("item_features")
+    store.upsert_online(view, one)
+
+
+def test_a_merged_batch_counts_once(store, spark, golden_reviews):
+    how = Mergeable(
+        lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_timestamp").alias("last")),
+        {"n": "sum", "last": "max"},
+        lambda s: s.select("user_id", F.col("n").alias("n_reviews"), F.col("last").alias("event_timestamp")),
+    )
+    view = FeatureView(
+        "review_counts", ("user_id",), timedelta(days=9), schemas.struct(n_reviews=T.LongType()), lambda s: golden_reviews,
+        lambda df: how.finish(how.partial(df)), offline=False,
+    )
+    store.apply([view])
+    first, second = golden_reviews.filter("user_id = 'AE22NQ'"), golden_reviews
+    store.merge_online(view, how, first, "a")
+    store.merge_online(view, how, first, "a")
+    assert {r.user_id: r.n_reviews for r in store.online("review_counts").collect()} == {"AE22NQ": 3}
+    store.merge_online(view, how, second, "b")
+    store.merge_online(view, how, second, "b")
+    assert {r.user_id: r.n_reviews for r in store.online("review_counts").collect()} == {"AE22NQ": 6, "BKRMX7": 2}
+
+
 def test_upsert_prefers_newer_then_batch(spark):
     schema = "k string, v int, event_timestamp timestamp"
 
