@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_parts, whole
+from .common import over_texts, text_parts, whole
 
 # Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -208,7 +208,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         words.memory.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return over_texts(docs.select("doc_id", whole().alias("text")), run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -222,7 +222,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, words.decode(part.column("ids"))], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return over_texts(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:

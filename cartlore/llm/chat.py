@@ -12,14 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import TYPE_CHECKING
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.indexing import global_index
-from .common import stored
+from .common import over_texts, stored
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 STRETCH = 1 << 16  # rows
 ROLES = ("", "system", "user", "assistant")  # by state; state 0 is the beginning
@@ -187,7 +190,7 @@ def _fragments(turns: DataFrame) -> DataFrame:
                 }
             )
 
-    return _by_stretch(own, *columns).mapInArrow(run, "conv_id long, stretch long, matrix array<double>")
+    return over_texts(_by_stretch(own, *columns), run, "conv_id long, stretch long, matrix array<double>")
 
 
 def _linked(turns: DataFrame) -> DataFrame:
@@ -195,6 +198,8 @@ def _linked(turns: DataFrame) -> DataFrame:
     fragments = stored(_fragments(turns), "chat-fragments")
 
     def costs(group: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         group = group.sort_values("stretch")
         now, out = START, []
         for values in group["matrix"]:
@@ -227,7 +232,7 @@ def _linked(turns: DataFrame) -> DataFrame:
                 }
             )
 
-    before = _by_stretch(own, *columns).mapInArrow(ways, "conv_id long, stretch long, before array<int>")
+    before = over_texts(_by_stretch(own, *columns), ways, "conv_id long, stretch long, before array<int>")
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("stretch") == F.col("_stretch"))
     both = started.join(before.withColumnsRenamed({"conv_id": "_conv", "stretch": "_stretch"}), same).drop("_conv", "_stretch")
 
@@ -281,7 +286,7 @@ def repair(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
         ("action", pa.string()), ("cost", pa.int32()), ("inserted_before", pa.list_(pa.string())),
         ("inserted_after", pa.list_(pa.string())), ("piece", pa.string()),
     ])
-    return _by_stretch(turns.join(linked, same, "left"), *columns).mapInArrow(run, REPAIRED)
+    return over_texts(_by_stretch(turns.join(linked, same, "left"), *columns), run, REPAIRED)
 
 
 def rendered(repaired: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,20 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+_BATCH_BYTES = 4 << 20
+
+
+def over_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for rows with whole texts: batches of some 4 MB instead of 64 (a longer text is a batch of its own).
+
+    The session's limit is lowered for good, as batches are cut when the result is computed.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, "67108864b").rstrip("b")) > _BATCH_BYTES:
+        conf.set(name, f"{_BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 # --- a filter of bounded size -------------------------------------------------------------------
 
 _BITMAP_BITS = 32_768  # of Spark's bitmap functions
@@ -174,5 +188,5 @@ def shingle_sets(words: Words, size: int = 5) -> list[np.ndarray]:
 
 __all__ = [
     "SPACES", "documents", "whole", "stored", "maybe_in", "mix", "seeds", "text_parts", "Words", "shingles",
-    "shingle_sets", "scratch_path", "shuffle_partitions",
+    "shingle_sets", "scratch_path", "shuffle_partitions", "over_texts",
 ]

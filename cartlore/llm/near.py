@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_in, mix, seeds, shingle_sets, stored, text_parts, whole
+from .common import Words, maybe_in, mix, over_texts, seeds, shingle_sets, stored, text_parts, whole
 
 SHINGLE = 5  # words
 LINK = (85, 100)  # linked if 100 * intersection >= 85 * union
@@ -108,7 +108,7 @@ def features(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(run, FEATURES)
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")), run, FEATURES)
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -134,7 +134,7 @@ def fine_sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sketch = pa.array(odd_sketches(samples, FINE[1]).tolist(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sketch], ["id", "sketch"])
 
-    return texts.mapInArrow(run, "id long, sketch array<long>").dropDuplicates(["id"])
+    return over_texts(texts, run, "id long, sketch array<long>").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 kept = part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
                 yield kept
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return over_texts(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return over_texts(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, shingle_sets, shuffle_partitions, whole
+from .common import CHUNK_BYTES, Words, over_texts, shingle_sets, shuffle_partitions, whole
 
 FRACTION = 1 / 8
 SHINGLE = 5  # words
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return over_texts(docs.select("doc_id", whole().alias("text")), run, f"doc_id {kind}, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -154,8 +154,8 @@ def compare_with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
             }
         )
 
-    routed = rows.mapInArrow(route, "part int, extra int, doc_id long, text string")
+    routed = over_texts(rows, route, "part int, extra int, doc_id long, text string")
     ordered = routed.repartitionById(last + 1, F.col("part")).sortWithinPartitions(
         "extra", F.col("doc_id").asc_nulls_last(), "text"
     )
-    return ordered.select("extra", "doc_id", "text").mapInArrow(results, RESULT)
+    return over_texts(ordered.select("extra", "doc_id", "text"), results, RESULT)

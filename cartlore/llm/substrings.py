@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_in, mix, seeds, stored, text_parts, whole
+from .common import Words, maybe_in, mix, over_texts, seeds, stored, text_parts, whole
 
 WINDOW = 50  # words
 K = 10
@@ -90,7 +90,7 @@ def edges(docs: DataFrame) -> DataFrame:
                         ["edge", "doc_id", "crc", "nth", "onward"],
                     )
 
-    return docs.select("doc_id", "crc", "text").mapInArrow(run, "edge long, doc_id long, crc int, nth int, onward long")
+    return over_texts(docs.select("doc_id", "crc", "text"), run, "edge long, doc_id long, crc int, nth int, onward long")
 
 
 def repeated_edges(found: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def judge(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     schema = "doc_id long, crc int, start array<int>, end array<int>, place array<int>, one array<long>, two array<long>"
-    return texts.select(*KEY, "text", "marks").mapInArrow(run, schema)
+    return over_texts(texts.select(*KEY, "text", "marks"), run, schema)
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def cut(texts: DataFrame) -> DataFrame:
                     ["doc_id", "crc", "n_removed", "kept"],
                 )
 
-    return texts.select(*KEY, "text", "start", "end").mapInArrow(run, "doc_id long, crc int, n_removed long, kept string")
+    return over_texts(texts.select(*KEY, "text", "start", "end"), run, "doc_id long, crc int, n_removed long, kept string")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _whole_digests(rows: DataFrame) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(part for batch in batches for part in text_parts(batch))
 
-    return rows.mapInArrow(parts, "doc_id long, crc int, n_words long, whole_sha256 string")
+    return over_texts(rows, parts, "doc_id long, crc int, n_words long, whole_sha256 string")
 
 
 def digests(docs: DataFrame) -> DataFrame:

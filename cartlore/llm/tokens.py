@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_parts, whole
+from .common import over_texts, scratch_path, text_parts, whole
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 TOKEN_LIMIT = 512
@@ -55,7 +55,7 @@ def encode_misses(misses: DataFrame, vocabulary: str) -> DataFrame:
                 n = pa.array(counter(part.column("text").to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("version"), part.column("digest"), n], ["version", "digest", "n_tokens"])
 
-    return misses.select("version", "digest", "text").mapInArrow(count, CACHE_SCHEMA)
+    return over_texts(misses.select("version", "digest", "text"), count, CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, cache_path: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:

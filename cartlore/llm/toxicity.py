@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shingles, stored, text_parts, whole
+from .common import Words, over_texts, shingles, stored, text_parts, whole
 
 SAMPLE = 8192  # labelled rows that the classifier is fitted on, at most, by hash order
 THRESHOLD = 0.7
@@ -160,7 +160,7 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
 
     names = ["doc_id", "toxic", "text", "least"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.select(names[:3]).mapInArrow(keyed, f"doc_id {kind}, toxic int, text string, least long")
+    found = over_texts(texts.select(names[:3]), keyed, f"doc_id {kind}, toxic int, text string, least long")
     alone = found.groupBy("least").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("row")).select("row.*")
     return stored(alone, "toxic-sample")
 
@@ -180,7 +180,7 @@ def _counts(sample: DataFrame, items) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names)
 
     names = ["item", "toxic", "ordinary"]
-    partial = sample.select("toxic", "text").mapInArrow(run, "item string, toxic long, ordinary long")
+    partial = over_texts(sample.select("toxic", "text"), run, "item string, toxic long, ordinary long")
     return partial.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Mode
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(text, pa.binary())], ["toxic", "line"])
 
     found: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sample.select("toxic", "text").mapInArrow(lines, "toxic int, line binary").collect():
+    for row in over_texts(sample.select("toxic", "text"), lines, "toxic int, line binary").collect():
         found[row["toxic"]].append(bytes(row["line"]))
     model = Model(train_dictionary(found[0], ORDINARY_BYTES), train_dictionary(found[1], TOXIC_BYTES))
 
@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Mode
             x = [model.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = sample.select("toxic", "text").mapInArrow(measured, "toxic int, x array<double>").collect()
+    rows = over_texts(sample.select("toxic", "text"), measured, "toxic int, x array<double>").collect()
     if not rows:
         n = len(model.features(""))
         return Model(model.ordinary, model.toxic, np.concatenate([[-30.0], np.zeros(n)]), np.zeros(n), np.ones(n))
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), whole().alias("text"))
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    scored = over_texts(rows, run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -273,7 +273,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
                 kept = [model.score(t or "") < threshold for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_texts(docs, run, docs.schema)
 
 
 def labels(spark, sf_dir: str) -> DataFrame:
