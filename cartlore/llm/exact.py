@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, whole
+from .common import SPACES, shuffle_partitions, stored, whole
 
 COUNTERS = 1024
 _MERGED_AT_ONCE = 64  # summaries
@@ -48,7 +48,8 @@ def _cut(counts: dict[bytes, int], counters: int) -> dict[bytes, int]:
 def frequent_items(df: DataFrame, item: str, counters: int = COUNTERS) -> DataFrame:
     """Candidates (column ``item``) for values held by over n / (counters + 1) of n rows; at most ``counters`` rows.
 
-    Each task keeps one summary; summaries are merged 64 at a time in a tree, so no task sees more than 64 of them.
+    Each task keeps one summary. The summaries are dealt to the shuffle partitions and merged there, and what comes out is merged
+    64 at a time in a tree.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,11 +61,12 @@ def frequent_items(df: DataFrame, item: str, counters: int = COUNTERS) -> DataFr
 
     schema = pa.schema([("item", pa.binary()), ("n", pa.int64())])
     rows = df.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.lit(1).cast("long").alias("n"))
-    parts = rows.rdd.getNumPartitions()
-    summary = rows.mapInArrow(summed, "item binary, n long")
-    while parts > 1:
-        parts = -(-parts // _MERGED_AT_ONCE)
+    summary, parts = rows.mapInArrow(summed, "item binary, n long"), shuffle_partitions(df.sparkSession)
+    while True:
         summary = summary.repartition(parts).mapInArrow(summed, "item binary, n long")
+        if parts == 1:
+            break
+        parts = -(-parts // _MERGED_AT_ONCE)
     return summary.select(F.col("item").alias(item))
 
 
