@@ -118,9 +118,22 @@ def duplicate_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat a doc_id stay or go together."""
-    lost = duplicate_groups(docs, counters).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
+
+    Rows of one group that share the doc_id that stays count as repeats of it: the longest one stays, of equal ones any.
+    """
+    groups = stored(duplicate_groups(docs, counters).select("doc_id", "kept", "text_sha256"), "exact-groups")
+    sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    key = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    left = docs.join(groups.filter(~F.col("kept")).select(*key), same, "left_anti")
+    twice = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(*key)
+    if not twice.head(1):
+        return left
+    rank = F.row_number().over(W.partitionBy("doc_id", sha).orderBy(F.char_length(whole()).desc()))
+    name = "_rank_" + "_".join(docs.columns)  # a name that no column has
+    once = left.join(twice, same, "left_semi").withColumn(name, rank).filter(F.col(name) == 1).drop(name)
+    return left.join(twice, same, "left_anti").unionByName(once)
 
 
 ORACLE = r"""
