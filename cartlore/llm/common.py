@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, shuffle_partitions, stored
 
 SPACES = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]; everything else belongs to a word
-CHUNK_BYTES = 1 << 20  # of text worked on at a time inside a task
+CHUNK_BYTES = 1 << 19  # of text worked on at a time inside a task
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
