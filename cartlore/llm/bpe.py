@@ -34,6 +34,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def is_byte_level(path: str) -> bool:
+    """Whether a tokenizers file is of the kind that ``Vocabulary`` encodes: byte-level pieces, plain merges, nothing normalised."""
+    content = json.loads(Path(path).read_text("utf-8"))
+    model, split = content["model"], content.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    whole = all(not t[k] for t in content["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return model.get("type") == "BPE" and plain and whole and byte_level and content.get("normalizer") is None
+
+
 class Vocabulary:
     """A byte-level vocabulary file of the tokenizers library."""
 
@@ -156,11 +166,20 @@ class Vocabulary:
             at = found.end()
         return pieces + self.words.findall(text[at:])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _pieces(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of each text, all of them remembered."""
         pieces = [self.split(t) for t in texts]
         self.learn(set().union(*pieces))
         for token, i in self.special.items():
             self.memory[token] = (i,)
+        return pieces
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Number of tokens of each text."""
+        return [sum(map(len, map(self.memory.__getitem__, p))) for p in self._pieces(texts)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        pieces = self._pieces(texts)
         return [list(chain.from_iterable(map(self.memory.__getitem__, p))) for p in pieces]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
@@ -184,7 +203,7 @@ class Vocabulary:
 _vocabularies: dict[str, Vocabulary] = {}
 
 
-def _vocabulary(path: str) -> Vocabulary:
+def vocabulary_of(path: str) -> Vocabulary:
     if path not in _vocabularies:
         _vocabularies[path] = Vocabulary(path)
     return _vocabularies[path]
@@ -199,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _vocabulary(vocabulary)
+        words = vocabulary_of(vocabulary)
         words.memory.clear()  # of the task before, if this worker had one
         for batch in batches:
             for part in text_parts(batch):
@@ -215,7 +234,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Rows (doc_id, ids) with the text that the ids stand for; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _vocabulary(vocabulary)
+        words = vocabulary_of(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

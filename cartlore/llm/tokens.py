@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import is_byte_level, vocabulary_of
 from .common import over_texts, scratch_path, text_parts, whole
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -30,12 +31,20 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _counter(vocabulary: str):
-    """Function from texts to token counts, as the library for the file gives them."""
+    """Function from texts to token counts, as the library for the file gives them.
+
+    Byte-level files are counted by the rank arrays of ``bpe``, which give the library's ids in half its time; other
+    .json files by the library.
+    """
     if vocabulary.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+    if is_byte_level(vocabulary):
+        words = vocabulary_of(vocabulary)
+        words.memory.clear()
+        return words.count
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer
 

@@ -48,5 +48,17 @@ def test_another_tokenizer_has_its_own_counts(spark, tmp_path):
     assert sorted(str(tuple(r)) for r in found.collect()) == want
 
 
+def test_a_tokenizer_that_normalises_is_left_to_its_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    assert tokens.is_byte_level(vocabulary()) and not tokens.is_byte_level(path)
+    library = Tokenizer.from_file(path)
+    found = tokens.count_tokens(odd_documents(spark), path)
+    want = expected(ids_and_texts(), lambda t: len(library.encode(t, add_special_tokens=False).ids))
+    assert sorted(str(tuple(r)) for r in found.collect()) == want
+
+
 def test_empty_table(spark):
     assert tokens.count_tokens(no_documents(spark), vocabulary()).count() == 0
