@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,15 +28,29 @@ def whole(text: str = "text") -> Column:
 _BATCH_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library, where it can, to the operating system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def over_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` for rows with whole texts: batches of some 4 MB instead of 64 (a longer text is a batch of its own).
 
-    The session's limit is lowered for good, as batches are cut when the result is computed.
+    The session's limit is lowered for good, as batches are cut when the result is computed. A Python worker outlives its task, so
+    what the task has freed goes back to the system at its end.
     """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(conf.get(name, "67108864b").rstrip("b")) > _BATCH_BYTES:
         conf.set(name, f"{_BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 # --- a filter of bounded size -------------------------------------------------------------------
