@@ -244,9 +244,25 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return over_texts(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: doc_id, ids, and the text decoded from the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary_of(vocabulary)
+        words.memory.clear()
+        for batch in batches:
+            for part in text_parts(batch):
+                ids = pa.array(words.encode(part.column("text").to_pylist()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, words.decode(ids)], ["doc_id", "ids", "text"])
+        words.memory.clear()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return over_texts(docs.select("doc_id", whole().alias("text")), run, f"doc_id {kind}, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = decode(encode(docs, vocabulary), vocabulary)
+    coded = round_trip(docs, vocabulary)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",

@@ -70,3 +70,5 @@ def test_odd_documents(spark, library):
     found = bpe.digests(odd_documents(spark), vocabulary()).collect()
     assert sorted(map(str, map(tuple, found))) == sorted(str(row(i, t)) for i, t in ids_and_texts())
     assert bpe.digests(no_documents(spark), vocabulary()).count() == 0
+    two = bpe.decode(bpe.encode(odd_documents(spark), vocabulary()), vocabulary())
+    assert sorted(map(str, two.collect())) == sorted(map(str, bpe.round_trip(odd_documents(spark), vocabulary()).collect()))
