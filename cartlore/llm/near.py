@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import Words, maybe_in, mix, over_texts, seeds, shingle_sets, stored, text_parts, whole
 
 SHINGLE = 5  # words
-LINK = (85, 100)  # linked if 100 * intersection >= 85 * union
-ROWS, BANDS = 5, 24  # a pair of similarity 0.85 shares no band once in 1.3 million times
-COARSE = (ROWS * BANDS, 512)  # samples and bits of the sketch that every class has
+LINK = Fraction(85, 100)  # op1's: linked if 100 * intersection >= 85 * union
+ROWS, BANDS = 5, 24  # samples of a band at the most, and bands at the least; a pair of similarity 0.85 shares none once in 1.3 million times
+_MISSED = 1e-6  # at the most, of the pairs that are just similar enough
+_MANY_BANDS = 64  # more only if bands of one sample need them
+COARSE = (ROWS * BANDS, 512)  # samples and bits of the sketch that every class has; lower similarities take more samples
 FINE = (2048, 8192)  # of the classes that stay in doubt
 _SIGMAS = 5.0
 BLOCK = 256  # classes of a bucket compared with as many others at once
@@ -43,11 +47,12 @@ def minhash(sets: list[np.ndarray], samples: int = COARSE[0]) -> np.ndarray:
     return found
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    """One key per band: a hash of its samples and its number."""
+def band_keys(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One key per band of ``rows`` samples: a hash of its samples and its number."""
+    bands = samples.shape[1] // rows
     with np.errstate(over="ignore"):
-        runs = mix(samples).reshape(len(samples), BANDS, ROWS)
-        keys = (runs * seeds(23, ROWS)).sum(2, dtype=np.uint64) + seeds(24, BANDS)
+        runs = mix(samples).reshape(len(samples), bands, rows)
+        keys = (runs * seeds(23, rows)).sum(2, dtype=np.uint64) + seeds(24, bands)
         return mix(keys).view(np.int64)
 
 
@@ -80,24 +85,55 @@ def most_differing_bits(similarity: float, kind: tuple[int, int] = COARSE, sigma
     return math.ceil(mean + sigmas * math.hypot(drawn, folded))
 
 
-MOST_BITS = most_differing_bits(LINK[0] / LINK[1])
-MOST_FINE_BITS = most_differing_bits(LINK[0] / LINK[1], FINE)
+@dataclass(frozen=True)
+class Limits:
+    """What follows from the least similarity of a linked pair: bands, and the bits its sketches differ in at the most."""
+
+    least: Fraction
+    rows: int
+    bands: int
+
+    @staticmethod
+    def of(similarity: float | Fraction) -> Limits:
+        least = Fraction(similarity).limit_denominator(10_000)  # 0.8 is 4/5
+        if not 0 < least <= 1:
+            raise ValueError(f"similarity must be above 0 and at most 1, not {similarity}")
+        for rows in range(ROWS, 0, -1):
+            unshared = 1 - float(least) ** rows
+            bands = max(BANDS, math.ceil(math.log(_MISSED) / math.log(unshared)) if unshared else 1)
+            if bands <= _MANY_BANDS:
+                break
+        return Limits(least, rows, bands)
+
+    @property
+    def coarse(self) -> tuple[int, int]:
+        return self.rows * self.bands, COARSE[1]
+
+    @property
+    def most_bits(self) -> int:
+        return most_differing_bits(float(self.least), self.coarse)
+
+    @property
+    def most_fine_bits(self) -> int:
+        return most_differing_bits(float(self.least), FINE)
+
+
 FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, limits: Limits) -> DataFrame:
     """Per row: set size, digest of the set (null if empty), band keys, odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch):
                 sets = shingle_sets(Words(part.column("text"), lower=True), SHINGLE)
-                samples = minhash(sets)
+                samples = minhash(sets, limits.coarse[0])
                 with np.errstate(over="ignore"):
                     sums = [(s.sum(dtype=np.uint64), (mix(s + np.uint64(1))).sum(dtype=np.uint64)) for s in sets]
                 some = [len(s) > 0 for s in sets]
                 digest = [b"%016x%016x%08x" % (a, b, len(s)) if len(s) else None for s, (a, b) in zip(sets, sums)]
-                keys, sketch = band_keys(samples).tolist(), odd_sketches(samples).tolist()
+                keys, sketch = band_keys(samples, limits.rows).tolist(), odd_sketches(samples).tolist()
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
@@ -137,8 +173,9 @@ def fine_sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return over_texts(texts, run, "id long, sketch array<long>").dropDuplicates(["id"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
+def confirm(pairs: DataFrame, docs: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full shingle sets have at least the similarity ``least``."""
+    over, under = least.numerator, least.denominator
     pairs = stored(pairs.select("a", "b"), "near-pairs")
     n = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
@@ -154,7 +191,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 linked = []
                 for x, y in zip(one, other):
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(LINK[1] * common >= LINK[0] * (len(x) + len(y) - common) and common > 0)
+                    linked.append(under * common >= over * (len(x) + len(y) - common) and common > 0)
                 kept = part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
                 yield kept
 
@@ -182,8 +219,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket, in different components, with near sketches; the least member is left out.
+def _block_pairs(members: DataFrame, most_bits: int) -> DataFrame:
+    """Pairs of members of one bucket, in different components, with sketches near by ``most_bits``; the least member is left out.
 
     ``members``: key, n (members of the bucket), id, component, sketch. A bucket is cut into blocks by a hash of the id; a
     member goes once to each pair of blocks that has its own. Pairs that several buckets propose come out once per bucket.
@@ -205,7 +242,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         for at in range(0, len(left), 16):
             rows = left[at : at + 16]
             bits = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
-            near = (bits <= MOST_FINE_BITS) & (comps[rows][:, None] != comps[right][None, :])
+            near = (bits <= most_bits) & (comps[rows][:, None] != comps[right][None, :])
             if i == j:
                 near &= ids[rows][:, None] < ids[right][None, :]
             x, y = np.nonzero(near)
@@ -245,18 +282,19 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return over_texts(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float | Fraction = LINK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_id.
 
     Words are the runs of characters other than ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; a document is the set of its
-    five-word runs, or one run of all words if it has fewer. Documents whose sets meet in 85 % of their union
-    are linked; component_id is the least doc_id that links lead to. class_id is the least doc_id with the same set.
+    five-word runs, or one run of all words if it has fewer. Documents whose sets meet in the share
+    ``similarity`` of their union or more are linked; component_id is the least doc_id that links lead to. class_id is the least doc_id with the same set.
 
     Null, empty and blank texts have no shingles and stay alone. Rows with equal texts share a class, rows that repeat a doc_id share
     its component. A row without doc_id is kept and takes no part. Other columns are not read. An empty table
     gives an empty result.
     """
-    own = stored(features(docs), "near-features")
+    limits = Limits.of(similarity)
+    own = stored(features(docs, limits), "near-features")
     some = own.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "near-classes")
     # joined by digest and id, so that the copies of one text spread
@@ -271,8 +309,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = first.select("id", "sketch")
     star = members.filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(sketches.toDF("a", "_sa"), "a").join(sketches.toDF("b", "_sb"), "b")
-    star = star.filter(differing_bits(F.col("_sa"), F.col("_sb")) <= MOST_BITS)
-    edges = stored(confirm(star, docs), "near-links")
+    star = star.filter(differing_bits(F.col("_sa"), F.col("_sb")) <= limits.most_bits)
+    edges = stored(confirm(star, docs, limits.least), "near-links")
     labels = components(edges)
 
     labelled = members.filter("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -280,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = labelled.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y")
     left = stored(labelled.filter("id != least").join(open_.select("key"), "key", "left_semi"), "near-left")
     left = left.join(stored(fine_sketches(docs, left.select("id").distinct()), "near-fine"), "id")
-    more = stored(confirm(_block_pairs(left).distinct(), docs), "near-more")
+    more = stored(confirm(_block_pairs(left, limits.most_fine_bits).distinct(), docs, limits.least), "near-more")
     if more.head(1):
         labels = components(edges.unionByName(more))
 
@@ -293,9 +331,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float | Fraction = LINK) -> DataFrame:
     """The rows of ``docs`` that stay, one document per component, with all their columns."""
-    lost = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
+    lost = near_duplicates(docs, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
     return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
 
 

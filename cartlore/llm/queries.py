@@ -18,7 +18,7 @@ def vocabulary() -> str:
 
 @checks.add("op1_odd_sketch_dedup", near.ORACLE)
 def _near(spark, sf_dir):
-    return near.near_duplicates(documents(spark, sf_dir)).drop("class_id")
+    return near.near_duplicates(documents(spark, sf_dir), near.LINK).drop("class_id")
 
 
 @checks.add("op2_pareto_mix", mixing.ORACLE)

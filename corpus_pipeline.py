@@ -15,6 +15,8 @@ from cartlore.llm import bpe, exact, mixing, near, toxicity
 from cartlore.llm.common import documents, stored
 from cartlore.llm.queries import vocabulary
 
+NEAR = 0.8  # similarity from which documents are near duplicates
+
 
 def screen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go. The classifier is fitted on the labelled ones among them."""
@@ -28,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked near duplicates the document with the least doc_id stays."""
-    return near.drop_near_duplicates(docs)
+    return near.drop_near_duplicates(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
