@@ -27,7 +27,7 @@ from .common import Words, over_texts, shingles, stored, text_parts, whole
 SAMPLE = 8192  # labelled rows that the classifier is fitted on, at most, by hash order
 THRESHOLD = 0.7
 WINDOW = 12  # words
-PART = 4  # words of the parts of a window that saves anything
+PART = 4  # words of the parts of a window; divides WINDOW
 LEVEL = 9
 RUN = 5  # letters, the space before a word included
 ORDINARY_BYTES, TOXIC_BYTES = 32 * 1024, 8 * 1024  # of the dictionaries
@@ -119,14 +119,13 @@ class Model:
         return np.array([len(self._plain(w)) - len(self._toxic(w)) for w in windows], np.int64)
 
     def features(self, text: str) -> list[float]:
-        """Of all windows, and of the parts of those that save anything: see ``_summary``.
+        """Of all windows, and of the parts of all: see ``_summary``.
 
-        A window that saves nothing has no parts that do, so those are not compressed again.
+        A window that saves nothing can have parts that do, as a dearer parse elsewhere in it may cancel their saving.
         """
         words = words_of(text)
-        whole = self.saved(windows_of(words))
-        parts = [p for i in np.flatnonzero(whole > 0).tolist() for p in windows_of(words[i * WINDOW : (i + 1) * WINDOW], PART)]
-        return _summary(whole, len(whole)) + _summary(self.saved(parts), -(-len(words) // PART))
+        whole, parts = (self.saved(windows_of(words, size)) for size in (WINDOW, PART))
+        return _summary(whole, len(whole)) + _summary(parts, len(parts))
 
     def score(self, text: str) -> float:
         x = (np.array(self.features(text)) - self.centre) / self.scale
