@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, over_texts, shingles, stored, text_parts, whole
+from .common import Words, mix, over_texts, shingle_sets, stored, text_parts, whole
 
 SAMPLE = 8192  # labelled rows that the classifier is fitted on, at most, by hash order
 THRESHOLD = 0.7
@@ -31,7 +31,7 @@ PART = 4  # words of the parts of a window; divides WINDOW
 LEVEL = 9
 RUN = 5  # letters, the space before a word included
 ORDINARY_BYTES, TOXIC_BYTES = 32 * 1024, 8 * 1024  # of the dictionaries
-_WINDOWS_OF_A_SAMPLE = 16  # ordinary windows per labelled row that the dictionary trainer sees
+WINDOWS_OF_A_SAMPLE = 16  # of an ordinary labelled row, evenly spaced, that the dictionary trainer sees
 _STEPS = (2, 3, 5)  # bytes saved
 
 
@@ -144,7 +144,7 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` labelled documents, near copies of one another only once: doc_id, toxic, text."""
+    """At most ``size`` labelled documents, those of one label with equal shingle sets only once: doc_id, toxic, text."""
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
@@ -153,14 +153,16 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch):
-                runs, bounds = shingles(Words(part.column("text"), lower=True))
-                least = [int(runs[a:b].min().view(np.int64)) if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.int64())], names)
+                sets = shingle_sets(Words(part.column("text"), lower=True))
+                with np.errstate(over="ignore"):
+                    sums = [(s.sum(dtype=np.uint64), mix(s + np.uint64(1)).sum(dtype=np.uint64)) for s in sets]
+                digest = [b"%016x%016x%08x" % (a, b, len(s)) for s, (a, b) in zip(sets, sums)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.binary())], names)
 
-    names = ["doc_id", "toxic", "text", "least"]
+    names = ["doc_id", "toxic", "text", "digest"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = over_texts(texts.select(names[:3]), keyed, f"doc_id {kind}, toxic int, text string, least long")
-    alone = found.groupBy("least").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("row")).select("row.*")
+    found = over_texts(texts.select(names[:3]), keyed, f"doc_id {kind}, toxic int, text string, digest binary")
+    alone = found.groupBy("toxic", "digest").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("row.doc_id", "toxic", "row.text")
     return stored(alone, "toxic-sample")
 
 
@@ -183,11 +185,14 @@ def _counts(sample: DataFrame, items) -> DataFrame:
     return partial.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, windows: int | None = WINDOWS_OF_A_SAMPLE
+) -> Model:
     """Fit the model to documents that ``labels`` (doc_id, toxic) marks, held-out ones excepted.
 
     Counting runs on Spark; the driver gets letter runs, words and windows of the bounded sample, and one row of
-    features per sampled document. Of contradicting labels of a document the toxic one counts. Without labelled documents
+    features per sampled document. ``windows`` of an ordinary document at the most go to the driver for its dictionary; None: all.
+    Of contradicting labels of a document the toxic one counts. Without labelled documents
     all scores are 0.
     """
     sample = _sample(docs, labels, sample_size)
@@ -221,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Mode
                     some = [f" {' '.join(own)} ".encode()] if own else []
                 else:
                     some = windows_of(words_of(t))
-                    some = some[:: -(-len(some) // _WINDOWS_OF_A_SAMPLE)] if some else []
+                    some = some[:: -(-len(some) // windows)] if some and windows else some
                 toxic += [label] * len(some)
                 text += some
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(text, pa.binary())], ["toxic", "line"])
