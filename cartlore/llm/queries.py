@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..checks.base import Checks
-from . import bpe, chat, exact, mixing, near, sharding, sketches, substrings, tokens, toxicity
+from . import bpe, chat, exact, mixing, near, sharding, sketches, substrings, tokens, toxicity, variants
 from .common import documents
 
 checks = Checks()
@@ -65,3 +65,8 @@ def _tokens(spark, sf_dir):
 @checks.add("op10_role_repair")
 def _chat(spark, sf_dir):
     return chat.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("place")
+
+
+@checks.add("op11_bloom_variants", variants.ORACLE)
+def _variants(spark, sf_dir):
+    return variants.variant_groups(variants.words_with_slips(documents(spark, sf_dir)))
