@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..checks.base import Checks
-from . import bpe, chat, exact, mixing, near, sharding, sketches, substrings, tokens, toxicity, variants
-from .common import documents
+from . import bpe, chat, exact, mixing, near, pivots, sharding, sketches, structure, substrings, tokens, toxicity, variants
+from .common import documents, stored
 
 checks = Checks()
 QUERIES, SQL = checks.queries, checks.sql
@@ -70,3 +70,15 @@ def _chat(spark, sf_dir):
 @checks.add("op11_bloom_variants", variants.ORACLE)
 def _variants(spark, sf_dir):
     return variants.variant_groups(variants.words_with_slips(documents(spark, sf_dir)))
+
+
+@checks.add("op12_viterbi_repair", structure.ORACLE)
+def _structure(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = stored(structure.repair_structure(structure.damaged(conversations)), "structure-repaired")
+    return structure.summaries(repaired, conversations)
+
+
+@checks.add("op13_pivot_search", pivots.ORACLE)
+def _pivots(spark, sf_dir):
+    return pivots.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
