@@ -280,7 +280,8 @@ def search(index: PivotIndex, queries: DataFrame, k: int, exclude_own: bool = Tr
     bounded = asked.join(full, "query", "left").withColumn("worst", F.when(F.col("n") >= k, F.col("s"))).drop("n", "s")
     bounded = stored(bounded, "pivot-bounded")
     reach = F.sqrt(F.greatest(F.lit(0.0), F.col("square") + index.longest - 2 * F.col("worst")))
-    radius = bounded.groupBy("grp").agg(F.max(F.coalesce(reach, F.lit(float("inf")))).alias("radius"))
+    known = F.when(F.col("worst").isNotNull(), reach).otherwise(F.lit(float("inf")))  # fewer than k so far exclude nothing
+    radius = bounded.groupBy("grp").agg(F.max(known).alias("radius"))
     seen = first.select("grp", "cell", "block")
     within = F.col("least") <= F.col("radius") * (1 + 1e-9) + index.slack
     open_pairs = bounds.join(seen, ["grp", "cell", "block"], "left_anti").join(radius, "grp").filter(within).drop("radius")

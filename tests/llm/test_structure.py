@@ -66,7 +66,7 @@ def best_audit(rows):
 
 
 def may_follow(last, to):
-    return last + to in ("s", "u", "su", "ua", "au")
+    return to != "" and last + to in ("s", "u", "su", "ua", "au")
 
 
 def spelled(rows, audit):
