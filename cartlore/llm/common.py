@@ -25,6 +25,14 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with so many underscores in front that no column of ``df`` has one of them in any case."""
+    taken, front = {c.lower() for c in df.columns}, "_"
+    while any(front + n in taken for n in names):
+        front += "_"
+    return [front + n for n in names]
+
+
 _BATCH_BYTES = 4 << 20
 
 
@@ -203,5 +211,5 @@ def shingle_sets(words: Words, size: int = 5) -> list[np.ndarray]:
 
 __all__ = [
     "SPACES", "documents", "whole", "stored", "maybe_in", "mix", "seeds", "text_parts", "Words", "shingles",
-    "shingle_sets", "scratch_path", "shuffle_partitions", "over_texts",
+    "shingle_sets", "scratch_path", "shuffle_partitions", "over_texts", "unused",
 ]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, shuffle_partitions, stored, whole
+from .common import SPACES, shuffle_partitions, stored, unused, whole
 
 COUNTERS = 1024
 _MERGED_AT_ONCE = 64  # summaries
@@ -124,14 +124,14 @@ def drop_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """
     groups = stored(duplicate_groups(docs, counters).select("doc_id", "kept", "text_sha256"), "exact-groups")
     sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    key = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    key_id, key_sha, name = unused(docs, "id", "sha", "rank")
+    same = F.col("doc_id").eqNullSafe(F.col(key_id)) & (sha == F.col(key_sha))
+    key = [F.col("doc_id").alias(key_id), F.col("text_sha256").alias(key_sha)]
     left = docs.join(groups.filter(~F.col("kept")).select(*key), same, "left_anti")
     twice = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(*key)
     if not twice.head(1):
         return left
     rank = F.row_number().over(W.partitionBy("doc_id", sha).orderBy(F.char_length(whole()).desc()))
-    name = "_rank_" + "_".join(docs.columns)  # a name that no column has
     once = left.join(twice, same, "left_semi").withColumn(name, rank).filter(F.col(name) == 1).drop(name)
     return left.join(twice, same, "left_anti").unionByName(once)
 

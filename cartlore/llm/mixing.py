@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.indexing import global_index
-from .common import stored, whole
+from .common import stored, unused, whole
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -173,9 +173,10 @@ def mix(
 
 def repeat_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``plan`` (doc_id, copies) says."""
-    times = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(times.filter(F.col("_copies") > 0), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    key, copies, nth = unused(docs, "id", "copies", "n")
+    times = plan.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
+    joined = docs.join(times.filter(F.col(copies) > 0), F.col("doc_id").eqNullSafe(F.col(key)))
+    return joined.select("*", F.explode(F.sequence(F.lit(1), F.col(copies))).alias(nth)).drop(key, copies, nth)
 
 
 ORACLE = r"""

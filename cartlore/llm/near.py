@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_in, mix, over_texts, seeds, shingle_sets, stored, text_parts, whole
+from .common import Words, maybe_in, mix, over_texts, seeds, shingle_sets, stored, text_parts, unused, whole
 
 SHINGLE = 5  # words
 LINK = Fraction(85, 100)  # op1's: linked if 100 * intersection >= 85 * union
@@ -332,9 +332,10 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction = LINK) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float | Fraction = LINK) -> DataFrame:
-    """The rows of ``docs`` that stay, one document per component, with all their columns."""
-    lost = near_duplicates(docs, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    """The rows of ``docs`` that stay, one document per component (all rows that repeat its doc_id), with all their columns."""
+    (name,) = unused(docs, "lost")
+    lost = near_duplicates(docs, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")
 
 
 ORACLE = r"""

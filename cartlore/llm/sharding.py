@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.indexing import global_index
-from .common import whole
+from .common import unused, whole
 
 GROUPS = 1 << 16
 ROW_BYTES = 16  # of a row besides its text
@@ -116,7 +116,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, groups: int = GRO
     name = "shard"
     while name in docs.columns:
         name += "_"
-    where = plan.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(F.first("shard").alias(name))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (crc(F.col("text")) == F.col("_crc"))
-    docs.join(where, same).drop("_id", "_crc").write.partitionBy(name).parquet(path)
+    key_id, key_crc = unused(docs, "id", "crc")
+    where = plan.groupBy(F.col("doc_id").alias(key_id), F.col("text_crc32").alias(key_crc)).agg(F.first("shard").alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col(key_id)) & (crc(F.col("text")) == F.col(key_crc))
+    docs.join(where, same).drop(key_id, key_crc).write.partitionBy(name).parquet(path)
     return plan

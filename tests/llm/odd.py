@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 # names that the operators use for their own columns
 CLASHING = (
     "n size key part extra digest crc copies taken target source_size shard slot _group edge nth place start end "
-    "component component_id id a b bands sketch version n_tokens least marks ids rank held_out score best _bit stretch"
+    "component component_id id a b bands sketch version n_tokens least marks ids rank held_out score best _bit stretch "
+    "_id _sha _lost _copies _n _crc _rank __id _hash word h run"
 ).split()
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
 BASE = [f"word{i}" for i in range(200)]

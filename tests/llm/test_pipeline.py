@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from fractions import Fraction
 
 import corpus_pipeline
 from odd import no_documents, odd_documents
 from test_exact import expected as exact_groups
-from test_near import expected as near_groups
 from test_near import shingles
+from test_near_similarity import expected as near_groups
 
 from cartlore.llm import bpe, mixing, toxicity
 from cartlore.llm.common import documents, stored
@@ -38,7 +39,7 @@ def test_stages(spark):
         if name == "exact_dedup":
             assert kept[name] == Counter(r[0] for r in exact_groups(rows).elements() if r[3])
         if name == "near_dedup":
-            assert kept[name] == Counter(i for i, _, _, k in near_groups(rows) if k)
+            assert kept[name] == Counter(i for i, _, _, k in near_groups(rows, Fraction(4, 5)) if k)
             assert all(shingles(t) is not None for _, t in rows)
         if name == "mix":
             plan = {r["doc_id"]: r["copies"] for r in mixing.mix(given).collect()}
