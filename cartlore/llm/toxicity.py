@@ -31,7 +31,7 @@ PART = 4  # words of the parts of a window; divides WINDOW
 LEVEL = 9
 RUN = 5  # letters, the space before a word included
 ORDINARY_BYTES, TOXIC_BYTES = 32 * 1024, 8 * 1024  # of the dictionaries
-WINDOWS_OF_A_SAMPLE = 16  # of an ordinary labelled row, evenly spaced, that the dictionary trainer sees
+TRAINED_WINDOWS = 32_768  # distinct windows of the sampled ordinary rows that the trainer sees, at most, by hash order
 _STEPS = (2, 3, 5)  # bytes saved
 
 
@@ -65,17 +65,13 @@ def telling(counts: list[tuple[str, int, int]], n_toxic: int, n_ordinary: int, t
 
 
 def train_dictionary(samples: Iterable[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the samples, or the samples themselves if they are too few to train on.
+    """What stands in front of a text for the compressor: the samples themselves where all of them fit, else a zstandard dictionary trained on them.
 
     The trainer fills the dictionary stretch by stretch, so like samples must not lie together: they come in hash order.
     """
     samples = sorted(samples, key=lambda s: (zlib.crc32(s), s))
-    if sum(map(len, samples)) > 4 * 1024:
-        try:
-            return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(dict.fromkeys(samples))[-size:]
+    alone = b"".join(dict.fromkeys(samples))
+    return alone if len(alone) <= size else zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
 
 
 def _summary(saved: np.ndarray, n: int) -> list[float]:
@@ -186,12 +182,13 @@ def _counts(sample: DataFrame, items) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, windows: int | None = WINDOWS_OF_A_SAMPLE
+    docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, windows: int = TRAINED_WINDOWS
 ) -> Model:
     """Fit the model to documents that ``labels`` (doc_id, toxic) marks, held-out ones excepted.
 
     Counting runs on Spark; the driver gets letter runs, words and windows of the bounded sample, and one row of
-    features per sampled document. ``windows`` of an ordinary document at the most go to the driver for its dictionary; None: all.
+    features per sampled document. The ordinary dictionary is trained on ``windows`` distinct windows of least hash, taken from all windows of the
+    whole texts of all sampled ordinary documents alike (all windows, if there are no more).
     Of contradicting labels of a document the toxic one counts. Without labelled documents
     all scores are 0.
     """
@@ -217,7 +214,7 @@ def train(
     }
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a toxic document its marked words, of an ordinary one some windows."""
+        """Of a toxic document its marked words, of an ordinary one its windows."""
         for batch in batches:
             toxic, text = [], []
             for label, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
@@ -226,15 +223,15 @@ def train(
                     some = [f" {' '.join(own)} ".encode()] if own else []
                 else:
                     some = windows_of(words_of(t))
-                    some = some[:: -(-len(some) // windows)] if some and windows else some
                 toxic += [label] * len(some)
                 text += some
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(text, pa.binary())], ["toxic", "line"])
 
-    found: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in over_texts(sample.select("toxic", "text"), lines, "toxic int, line binary").collect():
-        found[row["toxic"]].append(bytes(row["line"]))
-    model = Model(train_dictionary(found[0], ORDINARY_BYTES), train_dictionary(found[1], TOXIC_BYTES))
+    every = over_texts(sample.select("toxic", "text"), lines, "toxic int, line binary")
+    toxic = [bytes(r["line"]) for r in every.filter("toxic = 1").collect()]
+    least_hash = every.filter("toxic = 0").select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(windows)
+    ordinary = [bytes(r["line"]) for r in least_hash.collect()]
+    model = Model(train_dictionary(ordinary, ORDINARY_BYTES), train_dictionary(toxic, TOXIC_BYTES))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

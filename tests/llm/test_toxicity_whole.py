@@ -35,9 +35,9 @@ def test_rows_that_only_share_a_passage_stay_in_the_sample(spark):
     assert found == {(i, y) for i, _, y in rows[:40] if i not in held} | set(equal)
 
 
-def test_windows_of_a_row_are_a_parameter(spark):
+def test_trained_windows_are_a_parameter(spark):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(2400))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "0 AS toxic")
-    few, all_ = (tox.train(docs, labels, windows=n) for n in (1, None))
+    few, all_ = (tox.train(docs, labels, windows=n) for n in (1, tox.TRAINED_WINDOWS))
     assert few.ordinary != all_.ordinary and len(few.ordinary) <= len(all_.ordinary)
