@@ -8,6 +8,7 @@ from ..functions import categories, cleaning
 from ..operators import assembly, indexing, lookups, ranking, recommend, training
 from ..operators import features as ops
 from ..plans import store
+from ..session import scratch_path, stored
 from ..sources import reviews as src
 from . import frames as fr
 from .base import Checks
@@ -301,13 +302,33 @@ def train_val_split_exact(spark, sf):
     return indexing.exact_split(keyed, "k", 0.9, 42).drop("k")
 
 
-@checks.add("limit_rows", "SELECT least(100, count(*)) AS n_rows, 0 AS n_foreign FROM orders")
+@checks.add(
+    "limit_rows",
+    """SELECT least(100, count(*)) AS n_rows, 0 AS n_foreign, least(40, count(*) FILTER (WHERE o_orderkey % 3 = 0)) AS n_filtered,
+              least(7, count(DISTINCT o_custkey)) AS n_grouped FROM orders""",
+)
 def limit_rows(spark, sf):
-    """Any hundred orders: their number, and how many of them are no orders."""
-    orders = load(spark, sf, "orders").select("o_orderkey")
+    """Any hundred orders, forty of some, seven of their customers: their numbers, and how many are no orders."""
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     head = ranking.limit_rows(orders, 100)
-    known = head.join(orders.withColumn("known", F.lit(True)), "o_orderkey", "left")
-    return known.agg(F.count("*").alias("n_rows"), F.count_if(F.col("known").isNull()).cast("int").alias("n_foreign"))
+    known = head.join(orders.withColumn("known", F.lit(True)).drop("o_custkey"), "o_orderkey", "left")
+    filtered = ranking.limit_rows(orders.filter("o_orderkey % 3 = 0"), 40).agg(F.count("*").alias("n_filtered"))
+    grouped = ranking.limit_rows(orders.groupBy("o_custkey").count(), 7).agg(F.count("*").alias("n_grouped"))
+    found = known.agg(F.count("*").alias("n_rows"), F.count_if(F.col("known").isNull()).cast("int").alias("n_foreign"))
+    one = F.lit(1).alias("one")  # three single rows
+    return found.select("*", one).join(filtered.select("*", one), "one").join(grouped.select("*", one), "one").drop("one")
+
+
+@checks.add(
+    "limit_rows_repeatable",
+    "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 3 ORDER BY o_orderkey LIMIT 4321",
+)
+def limit_rows_repeatable(spark, sf):
+    """Orders written in order of their key to files of 1 000 rows: the first rows are the first ones by name and place."""
+    path = scratch_path(spark, "ordered")
+    rows = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("maxRecordsPerFile", 1000).parquet(path)
+    return ranking.limit_rows(spark.read.parquet(path).filter("o_orderkey % 7 <> 3"), 4321)
 
 
 # --- training set ----------------------------------------------------------------
@@ -394,3 +415,30 @@ def cf_train(spark, sf):
     users, items = recommend.fit_factors(pairs)
     named = [users.withColumnRenamed("user_id", "id"), items.withColumnRenamed("item_id", "id")]
     return src.union_all(*named)
+
+
+@checks.add("cf_train_solved", sql("reviews", "SELECT DISTINCT user_id, true AS solved FROM reviews"))
+def cf_train_solved(spark, sf):
+    """Every user's factors solve the normal equations of the last step, given the item factors: what makes them a fit."""
+    import numpy as np
+    import pyarrow as pa
+
+    reg = 0.1  # the trainer's default, times the number of items with weight
+    pairs = stored(ops.interactions(fr.reviews(spark, sf)).groupBy("user_id", "item_id").agg(F.sum("label").alias("weight")), "pairs")
+    users, items = (stored(side, "factors") for side in recommend.fit_factors(pairs.withColumnRenamed("weight", "label"), rank=16))
+    product = [F.sum(F.get("vector", i).cast("double") * F.get("vector", j)).alias(f"_{i}_{j}") for i in range(16) for j in range(16)]
+    gram = np.array(items.agg(*product).first()).reshape(16, 16)  # 256 numbers
+
+    def residual(rows: pa.Table) -> pa.Table:
+        def matrix(name: str) -> np.ndarray:
+            column = rows[name].combine_chunks()
+            return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+        x, y, weight = matrix("x")[0], matrix("y"), rows["weight"].to_numpy()
+        wanted = ((1 + weight) * (weight > 0)) @ y
+        left = gram @ x + (weight * (y @ x)) @ y + reg * (weight > 0).sum() * x
+        solved = np.abs(left - wanted).max() <= 1e-3 * (1 + np.abs(wanted).max())
+        return pa.table({"user_id": rows["user_id"].slice(0, 1), "solved": pa.array([bool(solved)])})
+
+    joined = pairs.join(users.withColumnRenamed("vector", "x"), "user_id").join(items.withColumnRenamed("vector", "y"), "item_id")
+    return joined.groupBy("user_id").applyInArrow(residual, "user_id string, solved boolean")

@@ -8,6 +8,7 @@ from ..functions import categories
 from ..operators import asof, indexing, lookups, recommend
 from ..operators import features as ops
 from ..operators import similarity as sim
+from ..session import stored
 from . import frames as fr
 from .base import Checks
 from .sources import DISPLAY
@@ -168,18 +169,23 @@ def map_lookup_join(spark, sf):
 )
 def online_lookup(spark, sf):
     """Every event asks for its user and for an item id that is often unknown."""
+    return look_up(spark, sf, (ops.user_features(fr.reviews(spark, sf)), fr.metadata(spark, sf)))
+
+
+def lookup_snapshots(spark, sf):
+    """User and item rows as a store keeps them: computed and written beforehand."""
+    return stored(ops.user_features(fr.reviews(spark, sf)), "users"), stored(fr.metadata(spark, sf), "items")
+
+
+def look_up(spark, sf, snapshots):
     asked = load(spark, sf, "events").select(
         "event_id",
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
         F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("item_id"),
     )
-    users = ops.user_features(fr.reviews(spark, sf))
+    users, items = snapshots
     found = lookups.online_lookup(
-        asked,
-        [
-            (users, ["user_id"], ["user_avg_rating", "user_tenure_days"]),
-            (fr.metadata(spark, sf), ["item_id"], ["item_title", "item_price"]),
-        ],
+        asked, [(users, ["user_id"], ["user_avg_rating", "user_tenure_days"]), (items, ["item_id"], ["item_title", "item_price"])]
     )
     return found.select("event_id", "user_id", "item_id", "user_avg_rating", "user_tenure_days", "item_title", "item_price")
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as text_fn
 from ..functions import vectors
+from ..functions.encoders import hashing_encoder
 from ..operators import features as ops
 from ..operators import recommend
 from ..operators import similarity as sim
+from ..operators import upkeep
 from ..plans import views
+from ..session import scratch_path, stored
 from . import frames as fr
 from .base import Checks
 from .joins import cosine_sql
@@ -76,6 +80,56 @@ def ivf_search_all_cells(spark, sf):
     return hits.withColumn("score", F.round("score", 6)).drop("distance")
 
 
+RECALL = 0.9
+TREE_CELLS, TREE_PROBE = 64, 32
+
+
+def _recall(spark, sf, found):
+    """Queries, whether on average their hits are among the exact ten as often as stated, and whether each has ten."""
+    exact = sim.vector_topk(users(spark, sf), items(spark, sf), 10)
+    hits = stored(found, "hits")
+    per_query = sim.recall(exact, hits, "user_id", "item_id")
+    counts = hits.groupBy("user_id").agg(F.count("*").alias("n"))
+    return per_query.join(counts, "user_id").agg(
+        F.count("*").alias("n_queries"), (F.avg("recall") >= RECALL).alias("found_enough"), F.bool_and(F.col("n") == 10).alias("ten_each")
+    )
+
+
+RECALL_SQL = sql("user_vectors", "SELECT count(*) AS n_queries, true AS found_enough, true AS ten_each FROM user_vectors")
+
+
+@checks.add("ivf_search_recall", RECALL_SQL)
+def ivf_search_recall(spark, sf):
+    """Three in four cells probed."""
+    return _recall(spark, sf, sim.search_ivf(users(spark, sf), sim.build_ivf(items(spark, sf), NLIST), 3 * NLIST // 4, 10))
+
+
+@checks.add("ivf_tree_recall", RECALL_SQL)
+def ivf_tree_recall(spark, sf):
+    """Two-level centres, probed top-down."""
+    return _recall(spark, sf, sim.search_ivf(users(spark, sf), sim.build_tree(items(spark, sf), TREE_CELLS), TREE_PROBE, 10))
+
+
+@checks.add(
+    "ivf_index_upkeep",
+    sql("user_vectors item_vectors", SCORED + " SELECT user_id, item_id, round(cosine, 6) AS score, rank FROM ranked WHERE rank <= 10"),
+)
+def ivf_index_upkeep(spark, sf):
+    """An index over stale, missing and superfluous rows, mended by three increments and a split of large cells: then the exact result."""
+    path, rows = scratch_path(spark, "kept-index"), load(spark, sf, "item_vectors")
+    nth = F.substring("item_id", 2, 20).cast("long") % 4
+    stale = rows.filter(nth != 3).withColumn("embedding", F.when(nth == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    extra = rows.filter(nth == 1).withColumn("item_id", F.concat(F.lit("X"), "item_id"))
+    sim.write_vectors(sim.build_tree(sim.Side(stale.unionByName(extra), "item_id", "embedding"), 16), path)
+    upkeep.update_index(spark, path, rows.filter(nth == 0))
+    upkeep.update_index(spark, path, rows.filter(nth == 3))
+    upkeep.update_index(spark, path, deleted=extra.select("item_id"))
+    upkeep.split_oversized(spark, path, 1.5)
+    index = sim.read_vectors(spark, path)
+    hits = sim.search_ivf(users(spark, sf), index, len(index.centres), 10)
+    return hits.select("user_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
 @checks.add("ivf_index", sql("item_vectors", "SELECT item_id, true AS in_nearest_cell FROM item_vectors"))
 def ivf_index(spark, sf):
     """Every row once, in the cell of its nearest centre."""
@@ -87,7 +141,7 @@ def ivf_index(spark, sf):
         gaps = F.zip_with(unit, numbers, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
         return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
 
-    distances = F.array(*[far(c) for c in index.centres])  # one number per centre
+    distances = F.array(*[far(c) for c in index.centres.cells])  # one number per centre
     own = F.get("_d", F.col("cell"))
     return index.rows.withColumn("_d", distances).select("item_id", (own <= F.array_min("_d") + 1e-6).alias("in_nearest_cell"))
 
@@ -163,6 +217,40 @@ def review_embeddings(spark, sf):
     return views.review_embeddings(fr.doc_reviews(spark, sf))
 
 
+@checks.add(
+    "review_embedding_counts",
+    sql(
+        "doc_reviews",
+        """, kept AS (SELECT doc_key, substr(coalesce(title, '') || ' ' || coalesce(text, ''), 1, 511) AS e FROM doc_reviews
+                      WHERE length(coalesce(title, '') || ' ' || coalesce(text, '')) >= 20),
+            words AS (SELECT doc_key, unnest(regexp_extract_all(lower(e), '[\\p{L}\\p{N}\\p{M}_]+')) AS w FROM kept),
+            counts AS (SELECT doc_key, w, count(*) AS n FROM words GROUP BY ALL)
+            SELECT doc_key, CAST(count(*) AS BIGINT) AS n_words, CAST(sum(n) AS BIGINT) AS n_tokens, true AS unit, true AS of_counts
+            FROM counts GROUP BY doc_key""",
+    ),
+)
+def review_embedding_counts(spark, sf):
+    """Stand-in vectors are unit vectors of counts: times its smallest entry's count, each entry is a whole number, and they add up to the words."""
+    rows = fr.doc_reviews(spark, sf)
+    text = text_fn.embed_text(F.col("title"), F.col("text"))
+    kept = rows.filter(F.length(text_fn.full_embed_text(F.col("title"), F.col("text"))) >= text_fn.EMBED_MIN_CHARS)
+    found = views.with_embedding(kept.select("doc_key", text.alias("embed_text")), hashing_encoder(1 << 16))
+    words = F.regexp_extract_all(F.lower("embed_text"), F.lit(r"(?U)(\w+)"), F.lit(1))
+    entries = F.transform(F.filter("embedding", lambda x: x > 0), lambda x: x.cast("double"))
+    squares = F.aggregate(entries, F.lit(0.0), lambda total, x: total + x * x)
+    total = F.aggregate(entries, F.lit(0.0), lambda total, x: total + x)
+    tokens = F.size("words")
+    # the counts behind a unit vector: its entries times the length that makes them add up to the number of tokens
+    counts = F.transform("entries", lambda x: x * tokens / F.col("total"))
+    whole = F.forall(counts, lambda c: F.abs(c - F.round(c)) < 1e-2)
+    return found.select("doc_key", words.alias("words"), entries.alias("entries"), squares.alias("squares"), total.alias("total")).filter(
+        tokens > 0
+    ).select(
+        "doc_key", F.size(F.array_distinct("words")).cast("long").alias("n_words"), tokens.cast("long").alias("n_tokens"),
+        (F.abs(F.col("squares") - 1) < 1e-5).alias("unit"), whole.alias("of_counts"),
+    )
+
+
 # --- recommendation lists --------------------------------------------------------------
 
 

@@ -164,12 +164,18 @@ def price_cast(spark, sf):
 
 @checks.add(
     "helpful_cast",
-    sql("reviews", "SELECT row_key, CAST(helpful_vote AS INTEGER) AS votes, true AS unreadable FROM reviews"),
+    sql(
+        "reviews",
+        """SELECT row_key, CASE helpful_vote % 5 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE CAST(helpful_vote AS INTEGER) END AS votes,
+                  helpful_vote IS NULL OR helpful_vote % 5 IN (1, 2) AS unreadable FROM reviews""",
+    ),
 )
 def helpful_cast(spark, sf):
-    votes = F.col("helpful_vote").cast("string")
-    unreadable = cleaning.safe_int(F.concat(votes, F.lit(" votes"))).isNull().alias("unreadable")
-    return fr.reviews(spark, sf).select("row_key", cleaning.safe_int(votes).alias("votes"), unreadable)
+    """Votes as they come: numbers, numbers as text, with a word behind them, missing."""
+    nth, text = F.col("helpful_vote") % 5, F.col("helpful_vote").cast("string")
+    given = F.when(nth == 1, F.concat(text, F.lit(" votes"))).when(nth == 2, "None").otherwise(text)
+    votes = cleaning.safe_int(given)
+    return fr.reviews(spark, sf).select("row_key", votes.alias("votes"), votes.isNull().alias("unreadable"))
 
 
 @checks.add(

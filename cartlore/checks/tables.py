@@ -10,13 +10,16 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import categories
 from ..functions.encoders import model_encoder
+from ..operators import features as ops
 from ..operators import recommend, training
 from ..operators import similarity as sim
-from ..plans.registry import FeatureView, Mergeable
+from ..plans.registry import Cells, FeatureView
 from ..plans.store import FeatureStore
+from ..plans.views import standard_views
 from ..session import scratch_path
 from ..sources import files
 from ..sources import reviews as src
+from ..streaming import counters, joins
 from ..streaming import materialize as stream
 from . import frames as fr
 from .base import Checks
@@ -26,10 +29,30 @@ checks = Checks()
 load, sql = fr.load, fr.sql
 
 
-@checks.add("schema_drift", sql("reviews", "SELECT row_key, parent_asin, 0 AS helpful_vote FROM reviews"))
+@checks.add(
+    "schema_drift",
+    sql(
+        "reviews",
+        """SELECT row_key, parent_asin, CAST(CASE WHEN rating < 2 THEN 0 WHEN rating >= 4 THEN helpful_vote ELSE nullif(helpful_vote, 3) END AS BIGINT) AS helpful_vote,
+                  rating FROM reviews""",
+    ),
+)
 def schema_drift(spark, sf):
-    old = load(spark, sf, "reviews").select("row_key", F.col("parent_asin").alias("asin"))
-    return src.normalize_reviews(old).select("row_key", "parent_asin", "helpful_vote")
+    """Files of four layouts in two folders, one scan: a former name, a column that did not exist yet, missing votes that stay missing, other types."""
+    root = f"{scratch_path(spark, 'drift')}/reviews"
+    rows = load(spark, sf, "reviews").select("row_key", "user_id", "parent_asin", "rating", "helpful_vote", "timestamp")
+    votes = F.nullif(F.col("helpful_vote"), F.lit(3))
+    former = rows.withColumnRenamed("parent_asin", "asin")
+    for folder, part in {
+        "Books": former.filter("rating < 2").drop("helpful_vote"),
+        "Electronics": former.filter("rating >= 2 AND rating < 4").withColumn("helpful_vote", votes.cast("long")),
+    }.items():
+        part.write.parquet(f"{root}/{folder}")
+    rows.filter("rating >= 4 AND rating < 5").write.mode("append").parquet(f"{root}/Electronics")
+    shuffled = rows.filter("rating >= 5 OR rating IS NULL").select(*reversed(rows.columns))
+    shuffled.write.mode("append").parquet(f"{root}/Books")
+    found = src.scan_reviews(spark, f"{root}/*/")
+    return found.select("row_key", "parent_asin", F.col("helpful_vote").cast("long"), "rating")
 
 
 @checks.add("path_category", sql("reviews", "SELECT row_key, category, ts_ms AS event_ms FROM reviews"))
@@ -370,12 +393,13 @@ def stream_materialize(spark, sf):
         per_user,
         offline=False,
         key_types={"user_id": T.LongType()},
+        cells=Cells(("user_id",), per_user, lambda cells: cells),
     )
     store.apply([view])
     events = load(spark, sf, "events")
     arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     state = scratch_path(spark, "live-state")
-    stream.stream_materialize(store, view, arriving, lambda: load(spark, sf, "events"), state).awaitTermination()
+    stream.stream_materialize(store, view, arriving, state).awaitTermination()
     found = store.online("user_events")
     return found.select("user_id", "n_events", "avg_value", F.unix_micros("event_timestamp").alias("last_us"))
 
@@ -385,20 +409,20 @@ def stream_materialize(spark, sf):
     """SELECT user_id, count(*) AS n_events, round(sum(value) / count(*), 6) AS avg_value, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id""",
 )
 def stream_merge(spark, sf):
-    """The events in two files, taken in one after the other: the second batch adds to the state of its keys."""
+    """The events in two files, taken in one after the other: the second batch adds to the cells of its keys."""
     store = FeatureStore(spark, scratch_path(spark, "merging"))
-    how = Mergeable(
+    cells = Cells(
+        ("user_id",),
         lambda df: df.groupBy("user_id").agg(
             F.count("*").alias("n"), F.sum("value").alias("total"), F.max(F.col("ts").cast("timestamp")).alias("last")
         ),
-        {"n": "sum", "total": "sum", "last": "max"},
         lambda state: state.select(
             "user_id", F.col("n").alias("n_events"), F.round(F.col("total") / F.col("n"), 6).alias("avg_value"), F.col("last").alias("event_timestamp")
         ),
     )
     view = FeatureView(
         "user_events", ("user_id",), TTL, schemas.struct(n_events=T.LongType(), avg_value=T.DoubleType()), lambda s: load(s, sf, "events"),
-        lambda df: how.finish(how.partial(df)), offline=False, key_types={"user_id": T.LongType()},
+        lambda df: cells.finish(cells.make(df)), offline=False, key_types={"user_id": T.LongType()}, cells=cells,
     )
     store.apply([view])
     events = load(spark, sf, "events")
@@ -406,6 +430,77 @@ def stream_merge(spark, sf):
     for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0):
         events.filter(part).write.mode("append").parquet(arriving)
         rows = stream.read_files(spark, arriving, events.schema)
-        stream.stream_merge(store, view, how, rows, state).awaitTermination()
+        stream.stream_materialize(store, view, rows, state).awaitTermination()
     found = store.online("user_events")
     return found.select("user_id", "n_events", "avg_value", F.unix_micros("event_timestamp").alias("last_us"))
+
+
+@checks.add("stream_user_features", sql("reviews", fr.USER_FEATURES))
+def stream_user_features(spark, sf):
+    """Reviews arrive in two files; distinct items, categories and the main category come from cells, no review is read twice."""
+    store, arriving, state = (scratch_path(spark, name) for name in ("cells-store", "cells-arriving", "cells-state"))
+    store = FeatureStore(spark, store)
+    rows = fr.reviews(spark, sf).drop("row_key", "event_timestamp")
+    schema = rows.schema
+    views = standard_views(lambda s: src.to_review_events(s.createDataFrame([], schema)), lambda s: fr.catalog(s, sf), as_of="2030-01-01 00:00:00")
+    store.apply([v for v in views if v.name == "user_features"])
+    for part in (F.col("rating") % 2 == 0, F.col("rating") % 2 != 0):
+        rows.filter(part).write.mode("append").parquet(arriving)
+        live = src.to_review_events(stream.read_files(spark, arriving, schema))
+        stream.stream_materialize(store, store.registry.get("user_features"), live, state).awaitTermination()
+    found = store.online("user_features").drop("event_timestamp")
+    kinds = dict(ops.user_features(fr.reviews(spark, sf)).dtypes)
+    return found.select(*(F.col(c).cast(kind) for c, kind in kinds.items()))
+
+
+@checks.add(
+    "counter_increase_stream",
+    sql(
+        "counter_samples",
+        """SELECT * FROM (
+             SELECT series, start_ms, sum(step) AS increase, sum(step) / 60 AS per_second FROM (
+               SELECT series, CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) * 60000 AS start_ms,
+                      CASE WHEN prev IS NULL THEN 0.0::DOUBLE WHEN value < prev THEN value ELSE value - prev END AS step
+               FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, value) AS prev FROM counter_samples)) GROUP BY ALL)
+           WHERE start_ms + 60000 <= (SELECT epoch_ms(max(ts)) - 120000 FROM counter_samples)""",
+    ),
+)
+def counter_increase_stream(spark, sf):
+    """The samples arrive in four files by time, each a batch; restarts fall inside ranges, on their borders and between batches."""
+    samples = load(spark, sf, "counter_samples")
+    arriving, out = scratch_path(spark, "samples"), scratch_path(spark, "increases")
+    low, high = samples.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    quarter = F.floor((F.unix_micros("ts") - low) * 4 / (high - low + 1))
+    for nth in range(4):
+        samples.filter(quarter == nth).coalesce(1).write.mode("append").parquet(arriving)
+    live = stream.read_files(spark, arriving, samples.schema, files_per_trigger=1)
+    grown = counters.counter_increase_stream(live, ["series"], "ts", "value", 60, "2 minutes")
+    stream.append_to_table(grown, out, scratch_path(spark, "increases-state")).awaitTermination()
+    found = spark.read.schema(grown.schema).parquet(out)
+    return found.select("series", fr.epoch_ms("start", "start_ms"), "increase", "per_second")
+
+
+@checks.add(
+    "interval_join_stream",
+    """SELECT p.event_id AS purchase_id, v.event_id AS view_id, epoch_us(p.ts) - epoch_us(v.ts) AS lag_us
+       FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts
+       WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
+)
+def interval_join_stream(spark, sf):
+    """Purchases and views as two streams over files that arrive in order of time."""
+    events = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arriving, out = scratch_path(spark, "two-streams"), scratch_path(spark, "pairs")
+    for nth in range(3):
+        events.filter(F.floor((F.dayofmonth("ts") - 1) / 11) == nth).coalesce(1).write.mode("append").parquet(arriving)
+
+    def side(kind: str, name: str, ts: str):
+        live = stream.read_files(spark, arriving, events.schema, files_per_trigger=1)
+        return live.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(ts))
+
+    pairs = joins.interval_join_stream(
+        side("purchase", "purchase_id", "at"), side("view", "view_id", "seen_at"), ["user_id"], "at", "seen_at", -86_400, 0, "1 hour", "1 hour"
+    )
+    lag = F.unix_micros("at") - F.unix_micros("seen_at")
+    found = pairs.select("purchase_id", "view_id", lag.alias("lag_us"))
+    stream.append_to_table(found, out, scratch_path(spark, "pairs-state")).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import sketches
 from ..operators import telemetry as tm
+from ..operators.indexing import global_index
+from ..session import scratch_path
 from . import frames as fr
 from .base import Checks
 
@@ -203,12 +205,137 @@ def counter_bucket_quantile(spark, sf):
     """Growth of each bucket counter with restarts, summed over the processes, then the quantile."""
     bounds = [("5", 1), ("50", 3), ("500", 4), ("Infinity", 5)]
     buckets = F.explode(F.array(*[F.struct(F.lit(le).cast("double").alias("le"), F.lit(n).alias("share")) for le, n in bounds]))
-    nth = F.row_number().over(Window.partitionBy("event_type", F.col("user_id") % 2).orderBy("event_id"))
-    numbered = load(spark, sf, "events").withColumn("rn", nth)  # before the buckets are made
+    events = load(spark, sf, "events").withColumn("process", F.col("user_id") % 2).drop("user_id", "value")
+    placed = global_index(events, ["event_type", "process", "event_id"], "at")  # before the buckets are made
+    starts = placed.groupBy("event_type", "process").agg(F.min("at").alias("start"))
+    numbered = placed.join(starts, ["event_type", "process"]).withColumn("rn", F.col("at") - F.col("start") + 1)
     scrapes = numbered.select(
-        F.col("event_type").alias("service"), (F.col("user_id") % 2).alias("process"), F.col("ts").cast("timestamp").alias("ts"),
-        "rn", buckets.alias("b"),
+        F.col("event_type").alias("service"), "process", F.col("ts").cast("timestamp").alias("ts"), "rn", buckets.alias("b")
     )
     scrapes = scrapes.select("service", "process", "ts", "b.le", ((F.col("rn") % 41) * F.col("b.share")).cast("double").alias("value"))
     found = tm.counter_bucket_quantiles(scrapes, ["service", "process"], ["service"], "le", "ts", "value", "5 minutes", [0.9])
     return found.select(fr.epoch_ms("start", "start_ms"), "service", F.round("p90", 6).alias("p90")).dropna()
+
+
+# --- evaluation grids ------------------------------------------------------------------
+
+DAY = ("2024-01-08 00:00:00", "2024-01-09 00:00:00")
+
+
+@checks.add(
+    "latest_gauge_grid",
+    sql(
+        "requests",
+        """, grid AS (SELECT TIMESTAMP '2024-01-08 00:00:00' + to_seconds(60 * i) AS point FROM range(0, 1441) t(i))
+           SELECT service, endpoint, epoch_ms(point) AS at_ms, latency_ms FROM grid
+           JOIN requests ON ts <= point AND ts > point - INTERVAL 300 SECOND
+           QUALIFY row_number() OVER (PARTITION BY service, endpoint, point ORDER BY ts DESC, request_id DESC) = 1""",
+    ),
+)
+def latest_gauge_grid(spark, sf):
+    """One day, minute by minute; a latency stands for five minutes."""
+    found = tm.gauge_on_grid(load(spark, sf, "requests"), ["service", "endpoint"], "latency_ms", "ts", 60, *DAY, "request_id")
+    return found.select("service", "endpoint", fr.epoch_ms("at", "at_ms"), "latency_ms")
+
+
+@checks.add(
+    "rate_window_grid",
+    sql(
+        "counter_samples",
+        """, grid AS (SELECT TIMESTAMP '2024-01-08 00:00:00' + to_seconds(300 * i) AS point FROM range(0, 289) t(i)),
+           steps AS (SELECT series, ts, CASE WHEN prev IS NULL THEN 0.0::DOUBLE WHEN value < prev THEN value ELSE value - prev END AS step
+                     FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, value) AS prev FROM counter_samples))
+           SELECT series, epoch_ms(point) AS at_ms, sum(step) AS increase, sum(step) / 1800 AS rate
+           FROM grid JOIN steps ON ts <= point AND ts > point - INTERVAL 1800 SECOND GROUP BY series, point""",
+    ),
+)
+def rate_window_grid(spark, sf):
+    """Growth over the last half hour, every five minutes of a day."""
+    found = tm.rate_on_grid(load(spark, sf, "counter_samples"), ["series"], "ts", "value", 300, 1800, *DAY)
+    return found.select("series", fr.epoch_ms("at", "at_ms"), "increase", "rate")
+
+
+# --- sketches --------------------------------------------------------------------------
+
+
+def rank_is_near(rows, found, by: list[str], value: str, qs: list[float]):
+    """Whether the rank of each quantile is within the stated error of what was asked for, per group."""
+    counts = [F.count("*").alias("n_values")]
+    for q in qs:
+        p = f"p{round(q * 100)}"
+        counts += [F.count_if(F.col(value) < F.col(p)).alias(f"{p}_below"), F.count_if(F.col(value) <= F.col(p)).alias(f"{p}_upto")]
+    ranks = rows.join(found, by).groupBy(*by).agg(*counts)
+    n = F.col("n_values")
+    near = [
+        ((F.col(f"p{round(q * 100)}_below") / n <= q + sketches.RANK_ERROR) & (F.col(f"p{round(q * 100)}_upto") / n >= q - sketches.RANK_ERROR))
+        .alias(f"p{round(q * 100)}_near")
+        for q in qs
+    ]
+    return ranks.select(*by, "n_values", *near)
+
+
+@checks.add(
+    "latency_quantile_sketch",
+    sql(
+        "requests",
+        """SELECT CAST(floor(epoch_us(ts) / 86400000000.0) AS BIGINT) * 86400000 AS start_ms, service, count(*) AS n_values, form,
+                  true AS p50_near, true AS p95_near, true AS p99_near
+           FROM requests, (VALUES ('merged'), ('direct')) f(form) GROUP BY ALL""",
+    ),
+)
+def latency_quantile_sketch(spark, sf):
+    """Sketches per minute, stored, merged to hours and then to days, next to sketches of whole days: ranks against the data."""
+    requests = load(spark, sf, "requests").select("ts", "service", "latency_ms")
+    path = scratch_path(spark, "minute-sketches")
+    sketches.quantile_sketches(requests, "ts", "latency_ms", "1 minute", ["service"]).write.parquet(path)
+    hours = sketches.merge_quantiles(spark.read.parquet(path), "1 hour", ["service"])
+    days = {
+        "merged": sketches.merge_quantiles(hours, "1 day", ["service"]),
+        "direct": sketches.quantile_sketches(requests, "ts", "latency_ms", "1 day", ["service"]),
+    }
+    rows = requests.withColumn("start", F.window("ts", "1 day").start)
+    parts = []
+    for form, sketched in days.items():
+        found = sketches.read_quantiles(sketched, tm.QUANTILES).drop("n")
+        near = rank_is_near(rows, found, ["start", "service"], "latency_ms", tm.QUANTILES)
+        parts.append(near.withColumn("start_ms", fr.epoch_ms("start")).drop("start").withColumn("form", F.lit(form)))
+    return parts[0].unionByName(parts[1])
+
+
+@checks.add(
+    "count_distinct_sketch",
+    sql(
+        "reviews",
+        """SELECT category, count(DISTINCT user_id) AS exact, true AS near FROM reviews GROUP BY category""",
+    ),
+)
+def count_distinct_sketch(spark, sf):
+    """Users per category: one sketch per category and day, stored, the union of all days against the exact count."""
+    rows = load(spark, sf, "reviews").withColumn("day", F.floor(F.col("timestamp") / 86_400_000))
+    path = scratch_path(spark, "day-sketches")
+    sketches.distinct_sketches(rows, ["category", "day"], "user_id").write.parquet(path)
+    found = sketches.estimate(sketches.unite(spark.read.parquet(path), ["category"]))
+    exact = rows.groupBy("category").agg(F.count_distinct("user_id").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")
+    return exact.join(found, "category").select("category", "exact", near.alias("near"))
+
+
+@checks.add(
+    "distinct_in_both_weeks",
+    """WITH u AS (SELECT DISTINCT event_type, user_id, CAST(date_part('day', ts) - 1 AS BIGINT) // 7 AS week FROM events),
+            a AS (SELECT event_type, user_id FROM u WHERE week = 0), b AS (SELECT event_type, user_id FROM u WHERE week = 1)
+       SELECT event_type, (SELECT count(DISTINCT user_id) FROM u x WHERE x.event_type = t.event_type AND week < 2) AS in_either,
+              (SELECT count(*) FROM a JOIN b USING (event_type, user_id) WHERE event_type = t.event_type) AS in_both
+       FROM (SELECT DISTINCT event_type FROM u WHERE week < 2) t""",
+)
+def distinct_in_both_weeks(spark, sf):
+    """Users per event type, sketched per day, united per week, then intersected; few enough to be counted exactly."""
+    events = load(spark, sf, "events").withColumn("day", F.dayofmonth("ts") - 1).filter("day < 14")
+    path = scratch_path(spark, "day-sets")
+    sketches.distinct_sketches(events, ["event_type", "day"], "user_id", sets=True).write.parquet(path)
+    weeks = sketches.unite(spark.read.parquet(path), ["event_type", F.floor(F.col("day") / 7).alias("week")], sets=True)
+    either = sketches.estimate(sketches.unite(weeks, ["event_type"], sets=True), "in_either", sets=True)
+    both = sketches.estimate(sketches.intersect(weeks, ["event_type"]), "in_both", sets=True)
+    twice = weeks.groupBy("event_type").agg(F.count("*").alias("n"))
+    found = either.join(both, "event_type").join(twice, "event_type")
+    return found.select("event_type", "in_either", F.when(F.col("n") == 2, F.col("in_both")).otherwise(F.lit(0)).cast("long").alias("in_both"))

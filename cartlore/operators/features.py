@@ -66,16 +66,11 @@ def _category_and_item_rows(rows: DataFrame) -> DataFrame:
     return rows.select("user_id", F.explode(F.array(category_row, item_row)).alias("_cell")).select("user_id", "_cell.*")
 
 
-def user_features(reviews: DataFrame) -> DataFrame:
-    """Review statistics and main category of every user, in one scan.
+USER_CELL = ("user_id", "category", "item_id")
 
-    The first aggregation makes one cell per (user, category) and per (user,
-    item); a second small one per user adds the category cells up (all other
-    measures are sums, minima and maxima) and counts the item cells. Both
-    combine before they shuffle, so a user holding much of the data never
-    arrives as raw rows in one task, and neither the distinct counts nor the
-    category counts need a second scan, a window or a join.
-    """
+
+def user_cells(reviews: DataFrame) -> DataFrame:
+    """Statistics per (user, category), and a row per (user, item) without any; a plain aggregation, on streams too."""
     rows = valid_ratings(normalize_reviews(reviews)).select(
         "user_id",
         "category",
@@ -84,7 +79,7 @@ def user_features(reviews: DataFrame) -> DataFrame:
         F.length("text").cast("long").alias("chars"),
         "timestamp",
     )
-    cells = _category_and_item_rows(rows).groupBy("user_id", "category", "item_id").agg(
+    return _category_and_item_rows(rows).groupBy(*USER_CELL).agg(
         F.count("rating").alias("n"),  # 0 for an item cell
         F.sum("rating").alias("rating_sum"),
         F.sum("chars").alias("chars_sum"),
@@ -92,6 +87,10 @@ def user_features(reviews: DataFrame) -> DataFrame:
         F.min("timestamp").alias("first_ms"),
         F.max("timestamp").alias("last_ms"),
     )
+
+
+def users_of_cells(cells: DataFrame) -> DataFrame:
+    """User features from all cells of the users."""
     per_user = cells.groupBy("user_id").agg(
         F.sum("n").alias("n"),
         F.sum("rating_sum").alias("rating_sum"),
@@ -115,6 +114,19 @@ def user_features(reviews: DataFrame) -> DataFrame:
     )
 
 
+def user_features(reviews: DataFrame) -> DataFrame:
+    """Review statistics and main category of every user, in one scan.
+
+    The first aggregation makes one cell per (user, category) and per (user,
+    item); a second small one per user adds the category cells up (all other
+    measures are sums, minima and maxima) and counts the item cells. Both
+    combine before they shuffle, so a user holding much of the data never
+    arrives as raw rows in one task, and neither the distinct counts nor the
+    category counts need a second scan, a window or a join.
+    """
+    return users_of_cells(user_cells(reviews))
+
+
 def item_features(reviews: DataFrame) -> DataFrame:
     """Review statistics of every item; the spread of a single review is NULL."""
     rows = valid_ratings(normalize_reviews(reviews)).select(

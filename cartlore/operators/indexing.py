@@ -22,7 +22,7 @@ def md5_bucket(text: Column, n: Column | int) -> Column:
     return F.pmod(md5_int(text), n.cast("long"))
 
 
-def global_index(df: DataFrame, order: list[str], index_col: str = "idx") -> DataFrame:
+def global_index(df: DataFrame, order: list[Column | str], index_col: str = "idx") -> DataFrame:
     """Dense 0-based position of every row in a total order, without a single-task window.
 
     Rows are range partitioned and sorted, each keeps its partition and its

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .indexing import global_index
+
 # Spark cuts each map task to the first k rows per group before the shuffle up
 # to this k (spark.sql.optimizer.windowGroupLimitThreshold).
 MAP_SIDE_LIMIT = 1_000
@@ -53,5 +57,53 @@ def rank_results(df: DataFrame, keys: list[str], order: list[Column | str], n: i
     return top_n(df, keys, order, n, "rank")
 
 
+ROWS_PER_RUN = 1 << 16
+
+
 def limit_rows(df: DataFrame, n: int) -> DataFrame:
-    return df.limit(n)
+    """Exactly ``n`` rows (all, if there are fewer), the same ones each time: the first ones by file name and place in the file.
+
+    No task receives more than it reads itself. For a scan, with or without filters and projections, rows are counted per file, per run of 65 536
+    rows of the file in which the quota ends, and per row of one such run; files behind the cut are pruned, and
+    each task keeps the rows before it. Any other input is written first, cut to ``n`` rows in each task.
+    """
+    if n <= 0:
+        return df.filter(F.lit(False))
+    try:
+        placed = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    except AnalysisException:
+        return _stored_limit(df, n)
+    before = 0
+
+    def cut(counts: DataFrame) -> tuple | None:
+        """The value at which the quota ends; ``before`` grows by the rows of those in front of it."""
+        nonlocal before
+        for value, rows in sorted(counts.collect()):
+            if before + rows >= n:
+                return (value,)
+            before += rows
+        return None
+
+    file = cut(placed.groupBy("f").count())  # a row per file
+    if file is None:
+        return df
+    inside = placed.filter(F.col("f") == file[0])
+    run = cut(inside.groupBy(F.floor(F.col("i") / ROWS_PER_RUN)).count())  # a row per run of one file
+    last = cut(inside.filter(F.floor(F.col("i") / ROWS_PER_RUN) == run[0]).groupBy("i").count())  # at most 65 536 rows
+    if before + 1 != n:
+        return _stored_limit(df, n)  # a row of the file became several, of which some are wanted
+    name, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    return df.filter((name <= file[0]) & ((name < file[0]) | (place <= last[0])))
+
+
+def _stored_limit(df: DataFrame, n: int) -> DataFrame:
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in its task
+    return limit_rows(stored(df.filter(nth < n), "limited"), n)
+
+
+def first_rows(df: DataFrame, n: int, order: list[Column | str]) -> DataFrame:
+    """The first ``n`` rows of a total order, sorted by ranges; unlike a sorted limit, no task takes in the first rows of all others."""
+    name = "_position"
+    while name in df.columns:
+        name += "_"
+    return global_index(df, order, name).filter(F.col(name) < n).drop(name)

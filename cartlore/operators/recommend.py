@@ -83,75 +83,54 @@ def persona_boost(recs: DataFrame, user: str, preference: Column, list_size: int
 # --- every persona with every item ---------------------------------------------------
 
 PERSONA_SLICE = 1_000  # personas scored by a task at once
+ITEM_BLOCK = 16_384  # items of such a task
 
 
-def persona_affinity(personas: Side, items: Side, slice_rows: int = PERSONA_SLICE) -> DataFrame:
+def persona_affinity(personas: Side, items: Side, slice_rows: int = PERSONA_SLICE, block_rows: int = ITEM_BLOCK) -> DataFrame:
     """Score of every item for each persona, ranked within the item; 0 where a vector is missing.
 
-    ``items`` has one row per item. Personas are dealt to slices of at most ``slice_rows``, and each item meets every
-    slice once: a task multiplies two blocks of vectors. With one slice, the usual case, an item's list is made and
-    ordered where the item lies, and nothing is shuffled; with several, its rows meet by item.
+    ``items`` has one row per item. Slices of at most ``slice_rows`` personas and blocks of some ``block_rows`` items meet
+    in one task each, by their numbers: the plan is the same for any number of personas, and items are scanned once.
+    The result has a row per pair, so its size is what was asked for.
     """
-    listed = personas.df.select(F.col(personas.id).cast("string").alias("id"), F.col(personas.vec).cast("array<double>").alias("v"))
+    listed = personas.df.select(F.col(personas.id).cast("string").alias("persona"), F.col(personas.vec).cast("array<double>").alias("v"))
     rows = items.df.select(F.col(items.id).cast("string").alias("item"), F.col(items.vec).cast("array<double>").alias("v"))
-    spark = items.df.sparkSession
-    listed = indexing.global_index(listed, ["id"], "place")
-    n_slices = -(-listed.count() // slice_rows)
+    placed = indexing.global_index(listed, ["persona"], "place")
+    sizes = placed.count(), rows.count()
+    n_slices, n_blocks = -(-sizes[0] // slice_rows), max(1, -(-sizes[1] // block_rows))
     if not n_slices:
-        return spark.createDataFrame([], f"{items.id} string, {personas.id} string, score double, rank int")
-
-    def scored(number: int) -> tuple[pa.Table, DataFrame]:
-        """A slice of at most ``slice_rows`` personas, and every item's cosines with it."""
-        own = listed.filter((F.col("place") >= number * slice_rows) & (F.col("place") < (number + 1) * slice_rows))
-        table = own.toArrow().sort_by("id")
-        return table, rows.mapInArrow(_persona_scores(table, spark), "item string, cosines array<double>")
-
-    parts = []
-    for number in range(n_slices):
-        table, lists = scored(number)
-        persona = F.array(*[F.lit(n) for n in table["id"].to_pylist()])
-
-        ordered = F.array_sort(F.transform("cosines", _persona_entry(persona)))  # one entry per persona of the slice
-        parts.append(lists.select("item", F.posexplode(ordered).alias("pos", "e")))
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    rank = F.col("pos") + 1
-    if n_slices > 1:
-        rank = F.row_number().over(Window.partitionBy("item").orderBy("e"))
-    return long.select(
-        F.col("item").alias(items.id), F.col("e.persona").alias(personas.id), (-F.col("e.minus")).alias("score"), rank.cast("int").alias("rank")
-    )
-
-
-def _persona_entry(persona: Column):
-    """Function from a cosine and its place to an entry that sorts by falling score, then persona."""
-
-    def entry(cosine: Column, position: Column) -> Column:
-        value = F.coalesce(shown_score(cosine), F.lit(0.0))
-        return F.struct((-value).alias("minus"), F.get(persona, position).alias("persona"))
-
-    return entry
-
-
-def _persona_scores(slice_: pa.Table, spark):
-    """Function from batches of items to their cosines with the personas of a slice; nulls where a vector is missing."""
-    shared = spark.sparkContext.broadcast(_matrix(slice_["v"]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = shared.value
-        for batch in batches:
-            known = pc.greater(pc.fill_null(pc.list_value_length(batch["v"]), 0), 0)
-            with_vector, without = batch.filter(known), batch.filter(pc.invert(known))
-            cosines = np.round(_matrix(with_vector["v"]) @ matrix.T, SCORE_DIGITS) if with_vector.num_rows else None
-            for part, values in ((with_vector, cosines), (without, None)):
-                if part.num_rows:
-                    size = part.num_rows * len(matrix)
-                    flat = pa.nulls(size, pa.float64()) if values is None else pa.array(values.ravel())
-                    starts = pa.array(np.arange(0, size + 1, len(matrix), dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([part["item"], pa.ListArray.from_arrays(starts, flat)], names=["item", "cosines"])
-
-    return score
+        return items.df.sparkSession.createDataFrame([], f"{items.id} string, {personas.id} string, score double, rank int")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    slices = placed.select("persona", "v", F.floor(F.col("place") / slice_rows).cast("int").alias("s")).withColumn("b", each(n_blocks))
+    blocks = rows.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int")).withColumn("s", each(n_slices))
+    # a pair of blocks is little data but much work: a fixed number of partitions keeps small ones from being merged
+    parts = shuffle_partitions(items.df.sparkSession)
+    left, right = (df.repartition(parts, "s", "b").groupBy("s", "b") for df in (slices, blocks))
+    scored = left.cogroup(right).applyInArrow(_persona_cosines, "item string, persona string, cosine double")
+    score = F.coalesce(shown_score(F.col("cosine")), F.lit(0.0))
+    order = Window.partitionBy("item").orderBy(F.desc("score"), "persona")
+    ranked = scored.withColumn("score", score).withColumn("rank", F.row_number().over(order))
+    return ranked.select(F.col("item").alias(items.id), F.col("persona").alias(personas.id), "score", "rank")
+
+
+def _persona_cosines(personas: pa.Table, items: pa.Table) -> pa.Table:
+    """All pairs of a slice of personas and a block of items with their cosine; null where a vector is missing."""
+
+    def known(table: pa.Table) -> pa.Array:
+        return pc.greater(pc.fill_null(pc.list_value_length(table["v"]), 0), 0).combine_chunks()
+
+    cosines = np.full((items.num_rows, personas.num_rows), np.nan)
+    rows, columns = (np.flatnonzero(known(t).to_numpy(zero_copy_only=False)) for t in (items, personas))
+    if len(rows) and len(columns):
+        found = _matrix(items["v"].take(pa.array(rows))) @ _matrix(personas["v"].take(pa.array(columns))).T
+        cosines[np.ix_(rows, columns)] = np.round(found, SCORE_DIGITS)
+    item = items["item"].combine_chunks().take(pa.array(np.repeat(np.arange(items.num_rows), personas.num_rows)))
+    persona = personas["persona"].combine_chunks().take(pa.array(np.tile(np.arange(personas.num_rows), items.num_rows)))
+    flat = cosines.ravel()
+    return pa.table({"item": item, "persona": persona, "cosine": pa.array(flat, pa.float64(), mask=np.isnan(flat))})
 
 
 # --- related items -----------------------------------------------------------------

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import vectors
 from ..session import shuffle_partitions
+from ..sources import files
+from .centres import SAMPLE_ROWS, Centres, train_centres
 from .ranking import top_n
 
 BLOCK_ROWS = 16_384  # rows of one side scored together in one task
@@ -253,10 +255,10 @@ def unit_vectors(df: DataFrame, vec: str, out: str = "unit") -> DataFrame:
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """Vectors with their ``cell``, and the cell centres (one row of numbers per cell)."""
+    """Vectors with their ``cell``, and the cell centres."""
 
     rows: DataFrame
-    centres: np.ndarray
+    centres: Centres
     id: str
     vec: str
 
@@ -271,43 +273,72 @@ def build_ivf(
     units = corpus.df.withColumn("_features", array_to_vector(vectors.l2_normalize(F.col(corpus.vec))))
     train = units if train_share >= 1.0 else units.sample(train_share, seed)
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(train)
-    return IvfIndex(model.transform(units).drop("_features"), np.array(model.clusterCenters()), corpus.id, corpus.vec)
+    centres = Centres(np.array(model.clusterCenters()))
+    return IvfIndex(model.transform(units).drop("_features"), centres, corpus.id, corpus.vec)
+
+
+def build_tree(corpus: Side, nlist: int, seed: int = 7, sample_rows: int = SAMPLE_ROWS) -> IvfIndex:
+    """Some ``nlist`` cells, thousands if wanted, below the root of that many top centres, trained on a bounded sample of all rows.
+
+    Rows without a vector are in no cell.
+    """
+    centres = train_centres(corpus.df, corpus.id, corpus.vec, nlist, sample_rows, seed)
+    rows = nearest_cells(corpus.df.filter(F.size(corpus.vec) > 0), centres, 1, corpus.vec)
+    return IvfIndex(rows, centres, corpus.id, corpus.vec)
 
 
 def write_vectors(index: IvfIndex, path: str) -> None:
-    """Store the rows in one folder per cell, so that a search reads its cells only, and the centres beside them."""
+    """Store the rows in one folder per cell, so that a search reads its cells only, and the centres beside them; replaces a former index."""
     spark = index.rows.sparkSession
-    index.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
-    centres = [(number, [float(x) for x in centre], index.id, index.vec) for number, centre in enumerate(index.centres)]
-    table = spark.createDataFrame(centres, "cell int, centre array<double>, id string, vec string")
+    write_cells(index.rows, path, whole=True)
+    write_centres(spark, index.centres, index.id, index.vec, path)
+    files.delete_tree(spark, f"{path}/places")  # of the former one, see upkeep
+
+
+def write_cells(rows: DataFrame, path: str, whole: bool = False) -> None:
+    """Replace all cells, or the folders of those that ``rows`` have; small cells become one file, large ones several."""
+    writer = rows.hint("rebalance", "cell").write.mode("overwrite")
+    writer = writer.option("partitionOverwriteMode", "static" if whole else "dynamic")
+    writer.partitionBy("cell").parquet(f"{path}/rows")
+
+
+def write_centres(spark: SparkSession, centres: Centres, key: str, vec: str, path: str) -> None:
+    """A row per cell, and one per top centre (with negative numbers)."""
+
+    def plain(x: np.ndarray) -> list[float]:
+        return [float(v) for v in x]
+
+    parent = centres.parent if centres.parent is not None else [None] * len(centres)
+    rows = [(n, plain(c), None if p is None else int(p), key, vec) for n, (c, p) in enumerate(zip(centres.cells, parent))]
+    rows += [(-1 - n, plain(c), None, key, vec) for n, c in enumerate(centres.tops if centres.tops is not None else [])]
+    table = spark.createDataFrame(rows, "cell int, centre array<double>, parent int, id string, vec string")
     table.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
 
 def read_vectors(spark: SparkSession, path: str) -> IvfIndex:
     """A stored index: its rows by cell folders, and its centres (one row per cell)."""
-    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
-    rows = spark.read.parquet(f"{path}/rows")
-    return IvfIndex(rows, np.array([r["centre"] for r in centres]), centres[0]["id"], centres[0]["vec"])
+    found = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    cells, tops = [r for r in found if r["cell"] >= 0], [r for r in found if r["cell"] < 0][::-1]
+    centres = Centres(np.array([r["centre"] for r in cells]))
+    if tops:
+        centres = Centres(centres.cells, np.array([r["centre"] for r in tops]), np.array([r["parent"] for r in cells]))
+    return IvfIndex(spark.read.parquet(f"{path}/rows"), centres, cells[0]["id"], cells[0]["vec"])
 
 
-def nearest_cells(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
-    """Each query once per probed cell. The centres number ``nlist``, not the size of the data."""
-    nprobe = min(nprobe, len(centres))
+def nearest_cells(rows: DataFrame, centres: Centres, nprobe: int, vec: str = QVEC) -> DataFrame:
+    """Each row once per probed cell. The centres number ``nlist``, not the size of the data."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squares = (centres * centres).sum(axis=1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            units = _matrix(batch[QVEC])
-            far = squares - 2 * units @ centres.T
-            cells = np.argsort(far, axis=1, kind="stable")[:, :nprobe]
-            table = pa.Table.from_batches([batch]).take(pa.array(np.repeat(np.arange(batch.num_rows), nprobe)))
+            cells = centres.probe(_matrix(batch[vec]), nprobe)
+            table = pa.Table.from_batches([batch]).take(pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1])))
             table = table.append_column("cell", pa.array(cells.ravel().astype(np.int32)))
             yield from table.to_batches()
 
-    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
-    return queries.mapInArrow(probe, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())])
+    return rows.mapInArrow(probe, schema)
 
 
 def search_ivf(

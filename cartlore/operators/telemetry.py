@@ -196,3 +196,63 @@ def counter_bucket_quantiles(
     grown = counter_increase(df.withColumnRenamed(le, "le"), [*series, "le"], ts, value, length, 1)
     hist = grown.groupBy("start", *by, "le").agg(F.sum("increase").alias("cumulative"))
     return quantiles(hist, qs, ["start", *by])
+
+
+# --- evaluation grids ------------------------------------------------------------------
+
+LOOKBACK = 300  # seconds for which a sample stands if no newer one comes
+
+
+def _points(first: Column, until: Column, step: int, start: str, end: str) -> Column:
+    """Grid points (seconds) from ``first`` on and before ``until``, inside the evaluated range; both ends of it count."""
+    low = F.greatest(first, F.unix_timestamp(F.lit(start).cast("timestamp")))
+    high = F.least(until, F.unix_timestamp(F.lit(end).cast("timestamp")) + step)
+    # the range starts at a grid point, so all points are whole steps from it
+    return F.filter(F.sequence(low, F.greatest(low, high - 1), F.lit(step).cast("long")), lambda p: p < high)
+
+
+def _slot(ts: str, step: int, start: str) -> Column:
+    """The first grid point at or after a sample, in seconds."""
+    origin = F.unix_timestamp(F.lit(start).cast("timestamp"))
+    micros = F.unix_micros(ts) - origin * 1_000_000
+    return (origin + F.ceil(micros / (step * 1_000_000.0)) * step).cast("long")
+
+
+def gauge_on_grid(
+    df: DataFrame, by: list[str], value: str, ts: str, step: int, start: str, end: str, tie: str | None = None,
+    lookback: int = LOOKBACK,
+) -> DataFrame:
+    """(by, at, value) of each series at ``start``, ``start`` + ``step`` and so on to ``end``: its newest sample younger than ``lookback`` seconds.
+
+    Where a series has none it has no row: gaps stay gaps. Samples are cut to the newest one per step before they are
+    handed to the grid points behind them, so rows are made per step with samples, not per sample and point, and no
+    series is sorted or gathered in one task.
+    """
+    age = F.struct(ts, tie) if tie else F.struct(ts)
+    near = df.filter(F.col(ts).isNotNull() & (F.col(ts) <= F.lit(end).cast("timestamp")))
+    newest = near.groupBy(*by, _slot(ts, step, start).alias("_slot")).agg(F.max_by(value, age).alias("_v"), F.max(age).alias("_age"))
+    until = F.ceil(F.unix_micros(f"_age.{ts}") / 1_000_000.0 + lookback).cast("long")
+    spread = newest.select(*by, "_v", "_age", F.explode(_points(F.col("_slot"), until, step, start, end)).alias("_at"))
+    return spread.groupBy(*by, F.timestamp_seconds("_at").alias("at")).agg(F.max_by("_v", "_age").alias(value))
+
+
+def rate_on_grid(
+    df: DataFrame, series: list[str], ts: str, value: str, step: int, length: int, start: str, end: str
+) -> DataFrame:
+    """(series, at, increase, rate): per-second growth of a counter over the ``length`` seconds up to each grid point, that point included.
+
+    ``length`` is a whole number of steps. Growth is taken per step, restarts and steps across borders as in ``counter_increase``, and added up
+    for the points it belongs to. A point without a sample in its range has no row.
+    """
+    if length % step:
+        raise ValueError(f"{length} seconds are no whole number of steps of {step}")
+    origin = F.unix_timestamp(F.lit(start).cast("timestamp"))
+    # ranges are closed on the right, windows on the left
+    moved = df.withColumn(ts, F.timestamp_micros(F.unix_micros(ts) - origin * 1_000_000 - 1))
+    grown = counter_increase(moved.filter(F.col(ts).isNotNull()), series, ts, value, f"{step} seconds", step)
+    first = F.unix_timestamp("start") + origin + step
+    spread = grown.select(*series, "increase", F.explode(_points(first, first + length, step, start, end)).alias("_at"))
+    total = F.sum("increase")
+    return spread.groupBy(*series, F.timestamp_seconds("_at").alias("at")).agg(
+        total.alias("increase"), (total / F.lit(length)).alias("rate")
+    )

@@ -14,6 +14,20 @@ Transform = Callable[[DataFrame], DataFrame]
 Source = Callable[[SparkSession], DataFrame]
 
 
+@dataclass(frozen=True)
+class Cells:
+    """An aggregate in two steps, so that it can be kept up to date without its history.
+
+    ``make`` aggregates source rows to cells by a plain ``groupBy`` on ``key``, the view's keys and maybe further columns; it runs on a stream as well.
+    ``finish`` makes a view's row of all cells of its keys. Counts, sums, extremes and spreads need one cell per key; distinct
+    counts and most frequent values take a cell per value.
+    """
+
+    key: tuple[str, ...]
+    make: Transform
+    finish: Transform
+
+
 @dataclass(frozen=True)
 class FeatureView:
     """A named table of features: where its input comes from and how it is computed.
@@ -21,7 +35,7 @@ class FeatureView:
     ``schema`` lists the feature columns; keys and ``event_timestamp`` come on top.
     A ``row_wise`` view makes one row per source row; any other view aggregates
     its keys' whole history. ``source_keys`` names keys that the source calls
-    differently.
+    differently. ``cells`` is the same aggregate for streams.
     """
 
     name: str
@@ -35,6 +49,7 @@ class FeatureView:
     key_types: dict[str, T.DataType] = field(default_factory=dict)
     row_wise: bool = False
     source_keys: dict[str, str] = field(default_factory=dict)
+    cells: Cells | None = None
 
     @property
     def features(self) -> list[str]:
@@ -67,20 +82,6 @@ class FeatureView:
         return self.compute(source.join(fresh.select(*columns).distinct(), columns, "left_semi"))
 
 
-@dataclass(frozen=True)
-class Mergeable:
-    """Per-key state of an aggregate that batches add to.
-
-    ``partial`` makes state rows (keys and state columns) of source rows, ``merge`` names how each state column adds up
-    (``sum``, ``min`` or ``max``), and ``finish`` makes the view's rows of state rows. Counts, sums, squares, extremes and
-    histograms merge so; distinct counts need state rows per (key, value) and a view of their own.
-    """
-
-    partial: Transform
-    merge: dict[str, str]
-    finish: Transform
-
-
 def feature_view(
     name: str,
     keys: list[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
-from typing import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,9 @@ from ..operators.lookups import online_lookup, resolve_refs
 from ..operators.ranking import first_per_key, latest_per_key
 from ..sources import files
 from ..sources.reviews import union_all
-from ..session import stored
-from .registry import FeatureView, Mergeable, Registry
+from ..session import drop_stored, stored
+from ..sources.keyed import KeyedTable
+from .registry import FeatureView, Registry
 from .views import window_filter
 
 RUNS = T.StructType(
@@ -26,11 +27,6 @@ RUNS = T.StructType(
         T.StructField("end_at", T.TimestampType()), T.StructField("run_at", T.TimestampType()),
     ]
 )
-MANIFEST = T.StructType(
-    [T.StructField("bucket", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("tag", T.StringType())]
-)
-KEPT_VERSIONS = 2
-Merge = Callable[[DataFrame, DataFrame], DataFrame]
 EPOCH = "1970-01-01 00:00:00"
 
 
@@ -57,16 +53,13 @@ def upsert(current: DataFrame | None, batch: DataFrame, keys: list[str]) -> Data
 class FeatureStore:
     """Feature views on a folder that all executors reach.
 
-    ``offline/<view>`` holds computed rows with their event time, and
-    ``online/<view>/v=<n>`` latest-per-key snapshots. A snapshot's rows lie in ``buckets`` folders by a hash of the key; a new
-    version writes the buckets that its batch touches, and its manifest names the version of every bucket. It counts
-    once the manifest is committed, so a lost job leaves the previous one in place.
+    ``offline/<view>`` holds computed rows with their event time, ``online/<view>`` the latest row of each key, and ``cells/<view>`` the cells
+    of views that streams keep up to date. The latter two lie in ``buckets`` folders by a hash of the key (``KeyedTable``).
     """
 
     spark: SparkSession
     root: str
     registry: Registry = field(default_factory=Registry)
-    write_partitions: int | None = None
     buckets: int = 64
 
     # --- definition -------------------------------------------------------------
@@ -82,22 +75,11 @@ class FeatureStore:
     def offline_path(self, view: str) -> str:
         return f"{self.root}/offline/{view}"
 
-    def _versions(self, view: str) -> list[int]:
-        done = files.glob(self.spark, f"{self.root}/online/{view}/v=*/manifest/_SUCCESS")
-        return sorted(int(p.split("/v=")[-1].split("/")[0]) for p in done)
+    def _online(self, view: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/online/{view}", self.registry.get(view).keys, self.buckets)
 
-    def _unfinished(self, view: str) -> list[int]:
-        newest = (self._versions(view) or [0])[-1]
-        begun = files.glob(self.spark, f"{self.root}/online/{view}/v=*")
-        return [n for n in (int(p.rstrip("/").split("/v=")[-1]) for p in begun) if n > newest]
-
-    def discard_unfinished(self, view: str) -> None:
-        """Remove what a writer that died has left, so that the next one may write."""
-        for number in self._unfinished(view):
-            files.delete_tree(self.spark, self._snapshot_path(view, number))
-
-    def _snapshot_path(self, view: str, version: int) -> str:
-        return f"{self.root}/online/{view}/v={version}"
+    def _cells(self, view: FeatureView) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/cells/{view.name}", view.keys, self.buckets)
 
     # --- writing -------------------------------------------------------------------
 
@@ -107,81 +89,39 @@ class FeatureStore:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(view.output_schema()).parquet(path)
 
-    def _manifest(self, view: str) -> tuple[dict[int, int], str | None]:
-        """Version of every bucket, and the tag of the last write; one row per bucket."""
-        versions = self._versions(view)
-        if not versions:
-            return {}, None
-        path = f"{self._snapshot_path(view, versions[-1])}/manifest"
-        rows = self.spark.read.schema(MANIFEST).parquet(path).collect()
-        return {r.bucket: r.version for r in rows if r.bucket >= 0}, rows[0].tag if rows else None
-
-    def _read_buckets(self, view: str, schema: T.StructType, buckets: dict[int, int]) -> DataFrame:
-        paths = [f"{self._snapshot_path(view, v)}/rows/bucket={b}" for b, v in sorted(buckets.items())]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
     def online(self, view: str) -> DataFrame | None:
-        """The current snapshot; None if none was written."""
-        if not self._versions(view):
-            return None
-        return self._read_buckets(view, self.registry.get(view).output_schema(), self._manifest(view)[0])
-
-    def _write_buckets(self, name: str, keys: list[str], batch: DataFrame, merge: Merge, tag: str | None = None) -> None:
-        """Next version: ``merge(current rows, batch)`` in the buckets that the batch touches; all others stay as they are.
-
-        One writer at a time: a second one fails, as it would lose the first one's rows. After a writer has died, ``discard_unfinished``.
-        """
-        if self._unfinished(name):
-            raise RuntimeError(f"{name!r} is being written, or a writer died; see discard_unfinished")
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        schema, batch = batch.schema, stored(batch.withColumn("bucket", bucket), "upsert")
-        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most one number per bucket
-        current, _ = self._manifest(name)
-        number = (self._versions(name) or [0])[-1] + 1
-        old = self._read_buckets(name, schema, {b: v for b, v in current.items() if b in touched})
-        merged = merge(old, batch.drop("bucket")).withColumn("bucket", bucket)
-        merged = merged.repartition(self.write_partitions, *keys) if self.write_partitions else merged.repartition("bucket")
-        path = self._snapshot_path(name, number)
-        merged.write.mode("error").partitionBy("bucket").parquet(f"{path}/rows")
-        where = current | {b: number for b in touched}
-        rows = [(b, v, tag) for b, v in sorted(where.items())] or [(-1, number, tag)]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
-        self._drop_old(name)
-
-    def _drop_old(self, name: str) -> None:
-        """Keep the last manifests and what they refer to."""
-        kept = self._versions(name)[-KEPT_VERSIONS:]
-        manifests = [f"{self._snapshot_path(name, v)}/manifest" for v in kept]
-        used = {r.version for r in self.spark.read.schema(MANIFEST).parquet(*manifests).collect()} | set(kept)
-        for path in files.glob(self.spark, f"{self.root}/online/{name}/v=*"):
-            number = int(path.rstrip("/").split("/v=")[-1])
-            if number not in used:
-                files.delete_tree(self.spark, path)
-            elif number not in kept:
-                files.delete_tree(self.spark, f"{path}/manifest")
+        """The latest row of each key; None if none was written."""
+        table = self._online(view)
+        return table.read(self.registry.get(view).output_schema()) if table.exists() else None
 
     def upsert_online(self, view: FeatureView, batch: DataFrame) -> None:
-        """The next snapshot: of each key the newest row."""
+        """Of each key the newest row, of this batch and those before."""
         keys = list(view.keys)
-        self._write_buckets(view.name, keys, latest_rows(view.conform(batch), keys), lambda old, new: upsert(old, new, keys))
+        self._online(view.name).update(latest_rows(view.conform(batch), keys), lambda old, new: upsert(old, new, keys))
 
-    def merge_online(self, view: FeatureView, how: Mergeable, batch: DataFrame, tag: str) -> None:
-        """Add source rows to the state of their keys and show what comes out of it; earlier source rows are not read.
+    def merge_cells(self, view: FeatureView, changed: DataFrame) -> None:
+        """Take in cells as they are now, and show what comes out of them for their keys; source rows are not read.
 
-        ``tag`` names the batch: the same batch given again changes nothing.
+        A cell replaces the one with the same key, so the same cells given again change nothing.
         """
-        state, keys = f"{view.name}__state", list(view.keys)
-        fresh = stored(how.partial(batch), "partial")
-
-        def add(old: DataFrame, new: DataFrame) -> DataFrame:
-            merged = [getattr(F, fn)(c).alias(c) for c, fn in how.merge.items()]
-            return old.unionByName(new).groupBy(*keys).agg(*merged).select(new.columns)
-
-        if self._manifest(state)[1] != tag:
-            self._write_buckets(state, keys, fresh, add, tag)
-        rows = self._read_buckets(state, fresh.schema, self._manifest(state)[0])
-        touched = rows.join(fresh.select(*keys), keys, "left_semi")
-        self.upsert_online(view, how.finish(touched))
+        cells = view.cells
+        if cells is None:
+            raise ValueError(f"view {view.name!r} has no cells")
+        if cells.key == view.keys:
+            self.upsert_online(view, cells.finish(changed))
+            return
+        changed, table = stored(changed, "cells"), self._cells(view)
+
+        def replace(old: DataFrame, new: DataFrame) -> DataFrame:
+            both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+            return first_per_key(both, list(cells.key), [F.col("_new").desc()]).drop("_new")
+
+        touched = table.update(changed, replace)
+        keys = changed.select(*view.keys).distinct()
+        same = reduce(lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in view.keys))
+        own = table.read(changed.schema, touched).alias("c").join(keys.alias("k"), same, "left_semi")
+        self.upsert_online(view, cells.finish(own))
+        drop_stored(changed)
 
     def _sink(self, view: FeatureView, features: DataFrame, batch: str) -> None:
         """To each wanted sink. The written offline batch feeds the online snapshot,
@@ -298,14 +238,22 @@ class FeatureStore:
             views.append(asof.AsOfView(name, self.offline(name), view.keys, "event_timestamp", wanted, ttl, is_table=True))
         return asof.asof_join(spine, views, **options)
 
-    def get_online_features(self, entities: DataFrame, refs: list[str]) -> DataFrame:
-        """Request rows with the latest features; unknown keys give NULLs."""
+    def get_online_features(self, entities: DataFrame, refs: list[str], as_of: str | None = None) -> DataFrame:
+        """Request rows with the latest features; unknown keys give NULLs.
+
+        At an instant ``as_of`` so do keys whose features are older than their view's time-to-live then (exactly as old is kept, as in
+        historical reads). Without one nothing expires: what "now" is belongs to the request, not to the table.
+        """
         grouped = resolve_refs(refs)
         self.registry.check_refs(grouped)
         tables = []
         for name, columns in grouped.items():
             view = self.registry.get(name)
-            tables.append((self._corpus(name), list(view.keys), columns))
+            rows = self._corpus(name)
+            if as_of is not None:
+                oldest = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(view.ttl.total_seconds()))
+                rows = rows.filter(F.col("event_timestamp") >= oldest)
+            tables.append((rows, list(view.keys), columns))
         return online_lookup(entities, tables)
 
     def _corpus(self, view: str) -> DataFrame:

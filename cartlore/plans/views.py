@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.encoders import Encoder, hashing_encoder
 from ..operators import features as ops
-from .registry import FeatureView, Source
+from .registry import Cells, FeatureView, Source
 
 LONG_TTL = timedelta(days=3650)
 EMBEDDING_TTL = timedelta(days=90)
@@ -34,7 +34,15 @@ def standard_views(
         return lambda df: ops.stamp(fn(df), as_of)
 
     return [
-        FeatureView("user_features", ("user_id",), LONG_TTL, schemas.USER_FEATURES, reviews, stamped(ops.user_features)),
+        FeatureView(
+            "user_features",
+            ("user_id",),
+            LONG_TTL,
+            schemas.USER_FEATURES,
+            reviews,
+            stamped(ops.user_features),
+            cells=Cells(ops.USER_CELL, ops.user_cells, stamped(ops.users_of_cells)),
+        ),
         FeatureView(
             "item_features",
             ("item_id",),
@@ -43,6 +51,7 @@ def standard_views(
             reviews,
             stamped(ops.item_features),
             source_keys={"item_id": "parent_asin"},
+            cells=Cells(("item_id",), ops.item_features, stamped(lambda df: df)),
         ),
         FeatureView(
             "item_metadata",

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import categories, cleaning
-from . import files
+from ..operators.ranking import first_rows, limit_rows
+from . import files, layouts
 
 # --- fixed values -----------------------------------------------------------
 CATALOG_TIMESTAMP = "2020-01-01 00:00:00"
@@ -47,9 +48,34 @@ def scan_reviews(spark: SparkSession, path: str, schema: T.StructType | None = N
     With folders named ``category=<name>`` below ``path`` the category is a
     partition column, so a filter on it skips whole folders; plain folder names
     are read off the file path.
+
+    Files may have unlike layouts, also within a folder. They are grouped by the
+    columns in their footers; each group is one scan, brought to the present
+    names and columns before the groups are put together. A column that a file
+    does not have gets its default, a missing value in a file that has it stays missing.
     """
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.parquet(path)
+    groups = layouts.by_layout(spark, path)
+    if len(groups) < 2:
+        return _present(_scan(spark, [path], schema))
+    base = layouts.base_path(path)
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), [_present(_scan(spark, paths, schema, base)) for paths in groups]
+    )
+
+
+def _scan(spark: SparkSession, paths: list[str], schema: T.StructType | None, base: str | None = None) -> DataFrame:
+    """Files of one layout. Of a given schema the columns they have, under the names they have them."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    if schema is None:
+        return reader.parquet(*paths)
+    own = set(reader.parquet(*paths).columns)
+    former = {new: old for old, new in FORMER_NAMES.items() if old in own and new not in own}
+    fields = [T.StructField(former.get(f.name, f.name), f.dataType, f.nullable) for f in schema]
+    absent = ADDED_COLUMNS.keys() - own
+    return reader.schema(T.StructType([f for f in fields if f.name not in absent])).parquet(*paths)
+
+
+def _present(df: DataFrame) -> DataFrame:
     if "category" not in df.columns:
         df = with_path_category(df)
     return with_event_time(normalize_reviews(df))
@@ -138,11 +164,14 @@ def scan_split(spark: SparkSession, root: str, split: str, max_files: int = 0) -
 
 
 def scan_pruned(df: DataFrame, columns: list[str], limit: int = 0, order: list[Column | str] | None = None) -> DataFrame:
-    """Chosen columns, optionally only the first rows; ``order`` makes the choice repeatable."""
+    """Chosen columns, optionally only the first rows: by ``order``, or as they lie in their files.
+
+    Neither sends the kept rows through one task (see ``limit_rows``, ``first_rows``).
+    """
     df = df.select(*columns)
     if limit <= 0:
         return df
-    return (df.orderBy(*order) if order else df).limit(limit)
+    return first_rows(df, limit, order) if order else limit_rows(df, limit)
 
 
 def stringify(df: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import telemetry
-from ..plans.registry import FeatureView, Mergeable
+from ..plans.registry import FeatureView
 from ..plans.store import FeatureStore
 
 
@@ -21,44 +19,26 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_t
     return reader.parquet(path)
 
 
-def stream_materialize(
-    store: FeatureStore,
-    view: FeatureView,
-    stream: DataFrame,
-    history: Callable[[], DataFrame],
-    checkpoint: str,
-) -> StreamingQuery:
-    """Keep a view's online snapshot up to date with newly arrived source files.
+def stream_materialize(store: FeatureStore, view: FeatureView, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Keep a view's online rows up to date with newly arrived source rows, without reading earlier ones.
 
-    Each batch recomputes the keys it touches from the whole history and upserts
-    them. Running a batch twice gives the same snapshot, so a restart after a
-    lost driver or executor is safe.
+    A row-wise view computes the rows that have arrived. A view with cells aggregates them as a stream, in update mode: its state holds the
+    cells, a batch brings the changed ones only, and the rows of their keys are made from the stored cells. Cells come with
+    their values so far, not with what to add, so a batch that runs again after a lost driver changes nothing.
     """
+    if not view.row_wise and view.cells is None:
+        raise ValueError(f"view {view.name!r} aggregates its keys' history and has no cells")
+    rows = stream if view.row_wise else view.cells.make(stream)
 
     def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        store.upsert_online(view, view.touched_by(history(), batch))
-
-    return (
-        stream.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def stream_merge(
-    store: FeatureStore, view: FeatureView, how: Mergeable, stream: DataFrame, checkpoint: str
-) -> StreamingQuery:
-    """Keep a view's online snapshot up to date from mergeable state: a batch reads its own rows and the key buckets it touches.
-
-    The state remembers the batch it has last taken in, so a batch that runs again after a lost driver counts once.
-    """
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        store.merge_online(view, how, batch, f"{checkpoint}#{batch_id}")
+        if view.row_wise:
+            store.upsert_online(view, view.transform(batch))
+        else:
+            store.merge_cells(view, batch)
 
     return (
-        stream.writeStream.foreachBatch(write_batch)
+        rows.writeStream.foreachBatch(write_batch)
+        .outputMode("append" if view.row_wise else "update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

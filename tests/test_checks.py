@@ -13,9 +13,9 @@ WITHOUT_SQL = {"cf_train", "ivf_search", "review_embeddings"}
 
 
 def assert_scalable(df) -> None:
-    """No product joins, no row-at-a-time Python, no window over one partition."""
+    """No product joins, no row-at-a-time Python, no window over one partition, no limit that gathers rows in one task."""
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "GlobalLimit", "CollectLimit"):
         assert operator not in plan
     lines = [line.lstrip(" :+-") for line in plan.splitlines()]
     for at, line in enumerate(lines):

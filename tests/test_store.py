@@ -11,9 +11,10 @@ from cartlore import schemas
 from cartlore.functions.encoders import hashing_encoder
 from cartlore.operators import similarity as sim
 from cartlore.operators import telemetry as tm
-from cartlore.plans.registry import FeatureView, Mergeable, feature_view
+from cartlore.plans.registry import Cells, FeatureView, feature_view
 from cartlore.plans.store import FeatureStore, upsert
 from cartlore.plans.views import standard_views
+from cartlore.sources import files
 from cartlore.sources import reviews as src
 from cartlore.streaming import materialize as stream
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def catalog(spark):
 
 @pytest.fixture()
 def store(spark, golden_reviews, tmp_path):
-    made = FeatureStore(spark, str(tmp_path), write_partitions=2)
+    made = FeatureStore(spark, str(tmp_path))
     made.apply(standard_views(lambda s: golden_reviews, catalog, hashing_encoder(16), as_of="2021-03-05 00:00:00"))
     return made
 
@@ -104,49 +105,68 @@ def test_incremental_recomputes_touched_keys_from_all_history(store, spark):
     assert store.last_end("user_features").startswith("2021-02-25")
 
 
-def test_snapshots_keep_the_previous_version(store, spark):
-    for end in ("2021-02-15 00:00:00", "2021-02-25 00:00:00", "2021-03-25 00:00:00"):
-        store.materialize_incremental(end, ["item_features"])
-    assert store._versions("item_features") == [2, 3]
+def folders(store, view):
+    """Names of the files of each bucket."""
+    found = files.glob(store.spark, f"{store.root}/online/{view}/bucket=*/*.parquet")
+    return {b: {f for f in found if f"/bucket={b}/" in f} for b in {f.split("/bucket=")[1].split("/")[0] for f in found}}
 
 
 def test_a_batch_rewrites_its_buckets_only(store, spark):
-    """Keys of untouched buckets are read from the version that wrote them; a second writer is refused."""
     view = store.registry.get("item_features")
     store.materialize(None, "2022-01-01 00:00:00", ["item_features"])
-    before, _ = store._manifest("item_features")
-    rows = store.online("item_features")
+    before, rows = folders(store, "item_features"), store.online("item_features")
+    n = rows.count()
     one = rows.filter("item_id = 'B07XJ8C8F5'").withColumn("event_timestamp", F.lit("2031-01-01").cast("timestamp"))
     store.upsert_online(view, one)
-    after, _ = store._manifest("item_features")
+    after = folders(store, "item_features")
     assert sum(after[b] != before[b] for b in before) == 1 and set(after) == set(before)
     found = {r.item_id: r.event_timestamp.year for r in store.online("item_features").collect()}
-    assert found.pop("B07XJ8C8F5") == 2031 and len(found) == len(before) - 1 and 2031 not in found.values()
-    rows.limit(0).write.parquet(f"{store._snapshot_path('item_features', 9)}/rows")  # somebody has begun
-    with pytest.raises(RuntimeError):
-        store.upsert_online(view, one)
-    store.discard_unfinished("item_features")
-    store.upsert_online(view, one)
+    assert found.pop("B07XJ8C8F5") == 2031 and len(found) == n - 1 and 2031 not in found.values()
+    store.upsert_online(view, one.limit(0))
+    assert folders(store, "item_features") == after
 
 
-def test_a_merged_batch_counts_once(store, spark, golden_reviews):
-    how = Mergeable(
-        lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_timestamp").alias("last")),
-        {"n": "sum", "last": "max"},
-        lambda s: s.select("user_id", F.col("n").alias("n_reviews"), F.col("last").alias("event_timestamp")),
+def test_cells_given_twice_count_once(store, spark, golden_reviews):
+    cells = Cells(
+        ("user_id", "category"),
+        lambda df: df.groupBy("user_id", "category").agg(F.count("*").alias("n"), F.max("event_timestamp").alias("last")),
+        lambda c: c.groupBy("user_id").agg(F.sum("n").alias("n_reviews"), F.max("last").alias("event_timestamp")),
     )
     view = FeatureView(
         "review_counts", ("user_id",), timedelta(days=9), schemas.struct(n_reviews=T.LongType()), lambda s: golden_reviews,
-        lambda df: how.finish(how.partial(df)), offline=False,
+        lambda df: cells.finish(cells.make(df)), offline=False, cells=cells,
+    )
+    store.apply([view])
+    nameless = golden_reviews.withColumn("category", F.nullif("category", F.lit("Home_and_Kitchen")))
+    for part, expected in (
+        (nameless.filter("user_id = 'AE22NQ'"), {"AE22NQ": 3}),
+        (nameless.filter("category IS NULL"), {"AE22NQ": 3}),
+        (nameless, {"AE22NQ": 3, "BKRMX7": 2}),
+    ):
+        for _ in range(2):
+            store.merge_cells(view, cells.make(part))
+        assert {r.user_id: r.n_reviews for r in store.online("review_counts").collect()} == expected
+    with pytest.raises(ValueError):
+        store.merge_cells(store.registry.get("interactions"), golden_reviews)
+
+
+def test_online_reads_heed_the_time_to_live(store, spark, golden_reviews):
+    view = FeatureView(
+        "short", ("user_id",), timedelta(days=9), schemas.struct(n=T.LongType()), lambda s: golden_reviews,
+        lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_timestamp").alias("event_timestamp")), offline=False,
     )
     store.apply([view])
-    first, second = golden_reviews.filter("user_id = 'AE22NQ'"), golden_reviews
-    store.merge_online(view, how, first, "a")
-    store.merge_online(view, how, first, "a")
-    assert {r.user_id: r.n_reviews for r in store.online("review_counts").collect()} == {"AE22NQ": 3}
-    store.merge_online(view, how, second, "b")
-    store.merge_online(view, how, second, "b")
-    assert {r.user_id: r.n_reviews for r in store.online("review_counts").collect()} == {"AE22NQ": 6, "BKRMX7": 2}
+    store.materialize(None, None, ["short"])
+    newest = {r[0]: r[1] for r in store.online("short").select("user_id", "event_timestamp").collect()}
+    asked = golden_reviews.select("user_id").distinct()
+    at = str(newest["AE22NQ"] + timedelta(days=9))
+
+    def found(as_of):
+        return {r.user_id: r.n for r in store.get_online_features(asked, ["short:n"], as_of).collect()}
+
+    assert found(None) == {"AE22NQ": 3, "BKRMX7": 2}
+    assert found(at) == {"AE22NQ": 3, "BKRMX7": None}
+    assert found(str(newest["AE22NQ"] + timedelta(days=9, seconds=1))) == {"AE22NQ": None, "BKRMX7": None}
 
 
 def test_upsert_prefers_newer_then_batch(spark):
@@ -176,25 +196,26 @@ def test_retrieve_with_payload(store, spark):
 # --- streaming --------------------------------------------------------------------
 
 
-def test_stream_materialize_equals_batch(store, spark, tmp_path):
+@pytest.mark.parametrize("name", ["user_features", "item_features", "review_embeddings"])
+def test_stream_materialize_equals_batch(store, spark, tmp_path, name):
+    """Two batches give the rows of one; the files of the first are gone when the second comes."""
     raw = spark.createDataFrame(REVIEW_ROWS, REVIEW_SCHEMA).coalesce(1)
-    path = f"{tmp_path}/arriving"
-    view = store.registry.get("user_features")
-
-    def run():
-        arriving = stream.read_files(spark, path, raw.schema, files_per_trigger=1)
-        query = stream.stream_materialize(
-            store, view, src.to_review_events(arriving), lambda: src.to_review_events(spark.read.schema(raw.schema).parquet(path)), f"{tmp_path}/ckpt"
-        )
-        query.awaitTermination()
-
-    raw.filter("timestamp < 1612137600000").write.mode("append").parquet(path)
-    run()
-    assert {r.user_id: r.user_review_count for r in store.online("user_features").collect()} == {"AE22NQ": 1, "BKRMX7": 1}
-    raw.filter("timestamp >= 1612137600000").write.mode("append").parquet(path)
-    run()
+    view = store.registry.get(name)
+    for nth, part in enumerate(("timestamp < 1612137600000", "timestamp >= 1612137600000", "false")):
+        path = f"{tmp_path}/arriving/{nth}"
+        raw.filter(part).write.parquet(path)
+        arriving = stream.read_files(spark, f"{tmp_path}/arriving/*", raw.schema)
+        stream.stream_materialize(store, view, src.to_review_events(arriving), f"{tmp_path}/ckpt").awaitTermination()
+        if nth == 0 and name == "user_features":
+            assert {r.user_id: r.user_review_count for r in store.online(name).collect()} == {"AE22NQ": 1, "BKRMX7": 1}
+        files.delete_tree(spark, path)
     batch = view.compute(src.to_review_events(raw))
-    assert sorted(map(tuple, store.online("user_features").collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(str, store.online(name).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_views_without_cells_are_refused(store, spark, golden_reviews):
+    with pytest.raises(ValueError):
+        stream.stream_materialize(store, store.registry.get("item_metadata"), golden_reviews, "nowhere")
 
 
 REQUESTS = """SELECT CAST(ts AS TIMESTAMP) AS ts, CASE event_type WHEN 'click' THEN 'rec' ELSE 'other' END AS service,
