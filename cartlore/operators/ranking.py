@@ -76,11 +76,11 @@ def limit_rows(df: DataFrame, n: int) -> DataFrame:
     before = 0
 
     def cut(counts: DataFrame) -> tuple | None:
-        """The value at which the quota ends; ``before`` grows by the rows of those in front of it."""
+        """The value at which the quota ends and its rows; ``before`` grows by the rows of those in front of it."""
         nonlocal before
         for value, rows in sorted(counts.collect()):
             if before + rows >= n:
-                return (value,)
+                return value, rows
             before += rows
         return None
 
@@ -90,7 +90,7 @@ def limit_rows(df: DataFrame, n: int) -> DataFrame:
     inside = placed.filter(F.col("f") == file[0])
     run = cut(inside.groupBy(F.floor(F.col("i") / ROWS_PER_RUN)).count())  # a row per run of one file
     last = cut(inside.filter(F.floor(F.col("i") / ROWS_PER_RUN) == run[0]).groupBy("i").count())  # at most 65 536 rows
-    if before + 1 != n:
+    if before + last[1] != n:
         return _stored_limit(df, n)  # a row of the file became several, of which some are wanted
     name, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     return df.filter((name <= file[0]) & ((name < file[0]) | (place <= last[0])))
