@@ -45,17 +45,6 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
-    """Containment of two whole shingle sets by their sketches; from the sets themselves where a sketch has only its least hash.
-
-    That hash lies above the threshold, where the sketch of a longer text has nothing to compare it with.
-    """
-    limit = np.uint64(int(fraction * 2**64))
-    if any(len(s) and s[0] >= limit for s in (a, b)):
-        return containment(a, b)
-    return containment(sketch(a, fraction), sketch(b, fraction))
-
-
 def to_text(found: np.ndarray) -> str:
     """Eight hexadecimal digits per hash, ascending."""
     return found.astype(">u4").tobytes().hex()
@@ -65,6 +54,15 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
+def likeness(fingerprint: str, other: str) -> float:
+    """Containment of two texts by their fingerprints alone.
+
+    A text without a shingle hash below the threshold has its least hash only, which lies above the threshold, where other fingerprints
+    have none: it is like texts with the same least hash, and unlike all others, even a longer one that holds it whole.
+    """
+    return containment(from_text(fingerprint), from_text(other))
+
+
 def sketches(texts: list[bytes], fraction: float = FRACTION) -> list[np.ndarray]:
     return [sketch(s, fraction) for s in shingle_sets(Words(texts, lower=True), SHINGLE)]
 
@@ -109,8 +107,8 @@ def compare_with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     The next document is the next row by (doc_id, text), null doc_ids last; after the last comes the first. Ranges of doc_ids go to
     one task each in one shuffle, and the first row of each range goes along to the range before, so every row
     meets its next one without a second pass. Null texts are empty. Rows that repeat a doc_id follow each other. Other
-    columns are not read. A table of one row is its own next; an empty table gives an empty result. Likeness with a text that has no
-    hash below the threshold is taken from whole shingle sets, which are at hand here; fingerprints alone cannot tell it.
+    columns are not read. A table of one row is its own next; an empty table gives an empty result. Likeness is ``likeness`` of the
+    fingerprints, whatever the texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
@@ -152,17 +150,16 @@ def compare_with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
 
     def compare(ids: list[int | None], texts: list[str]) -> Iterator[pa.RecordBatch]:
         changed = [edited(a, b).encode() for a, b in zip(texts, texts[1:])]
-        own = shingle_sets(Words([t.encode() for t in texts], lower=True), SHINGLE)
-        new = shingle_sets(Words(changed, lower=True), SHINGLE)
+        own, new = sketches([t.encode() for t in texts], fraction), sketches(changed, fraction)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array(ids[:-1], pa.int64()),
                 "n_chars": pa.array([len(t) for t in texts[:-1]], pa.int64()),
                 "edited_sha256": [hashlib.sha256(t).hexdigest() for t in changed],
-                "fingerprint": [to_text(sketch(s, fraction)) for s in own[:-1]],
-                "edited_fingerprint": [to_text(sketch(s, fraction)) for s in new],
-                "near_edited": [likeness(a, b, fraction) for a, b in zip(own, new)],
-                "near_next": [likeness(a, b, fraction) for a, b in zip(own, own[1:])],
+                "fingerprint": [to_text(s) for s in own[:-1]],
+                "edited_fingerprint": [to_text(s) for s in new],
+                "near_edited": [containment(a, b) for a, b in zip(own, new)],
+                "near_next": [containment(a, b) for a, b in zip(own, own[1:])],
             }
         )
 
