@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartlore.llm import bpe, exact, mixing, near, toxicity
 from cartlore.llm.common import documents, stored
 from cartlore.llm.queries import vocabulary
+from cartlore.session import drop_stored
 
 NEAR = 0.8  # similarity from which documents are near duplicates
 
@@ -58,7 +59,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, given = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if given is not None:
+            drop_stored(given)  # what the stage was given is not needed any more
+        given = docs
     return STAGES[-1][1](spark, docs, sf_dir)
