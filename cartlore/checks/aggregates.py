@@ -304,19 +304,24 @@ def train_val_split_exact(spark, sf):
 
 @checks.add(
     "limit_rows",
-    """SELECT least(100, count(*)) AS n_rows, 0 AS n_foreign, least(40, count(*) FILTER (WHERE o_orderkey % 3 = 0)) AS n_filtered,
-              least(7, count(DISTINCT o_custkey)) AS n_grouped FROM orders""",
+    """SELECT 'any' AS what, least(100, count(*)) AS n_rows, 0 AS n_foreign FROM orders
+       UNION ALL SELECT 'filtered', least(40, count(*)), 0 FROM orders WHERE o_orderkey % 3 = 0
+       UNION ALL SELECT 'grouped', least(7, count(DISTINCT o_custkey)), 0 FROM orders""",
 )
 def limit_rows(spark, sf):
-    """Any hundred orders, forty of some, seven of their customers: their numbers, and how many are no orders."""
+    """Any hundred orders, forty of some, seven of their customers: their numbers, and how many are no such rows."""
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    head = ranking.limit_rows(orders, 100)
-    known = head.join(orders.withColumn("known", F.lit(True)).drop("o_custkey"), "o_orderkey", "left")
-    filtered = ranking.limit_rows(orders.filter("o_orderkey % 3 = 0"), 40).agg(F.count("*").alias("n_filtered"))
-    grouped = ranking.limit_rows(orders.groupBy("o_custkey").count(), 7).agg(F.count("*").alias("n_grouped"))
-    found = known.agg(F.count("*").alias("n_rows"), F.count_if(F.col("known").isNull()).cast("int").alias("n_foreign"))
-    one = F.lit(1).alias("one")  # three single rows
-    return found.select("*", one).join(filtered.select("*", one), "one").join(grouped.select("*", one), "one").drop("one")
+    some, customers = orders.filter("o_orderkey % 3 = 0"), orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+    def counted(what: str, rows, n: int, key: str):
+        head = ranking.limit_rows(rows, n)
+        known = head.join(rows.select(key, F.lit(True).alias("known")), key, "left")
+        foreign = F.count_if(F.col("known").isNull()).cast("int")
+        return known.agg(F.lit(what).alias("what"), F.count("*").alias("n_rows"), foreign.alias("n_foreign"))
+
+    return src.union_all(
+        counted("any", orders, 100, "o_orderkey"), counted("filtered", some, 40, "o_orderkey"), counted("grouped", customers, 7, "o_custkey")
+    )
 
 
 @checks.add(
