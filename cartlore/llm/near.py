@@ -222,8 +222,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _block_pairs(members: DataFrame, most_bits: int) -> DataFrame:
     """Pairs of members of one bucket, in different components, with sketches near by ``most_bits``; the least member is left out.
 
-    ``members``: key, n (members of the bucket), id, component, sketch. A bucket is cut into blocks by a hash of the id; a
-    member goes once to each pair of blocks that has its own. Pairs that several buckets propose come out once per bucket.
+    ``members``: key, n (members of the bucket), id, component, sketch, and bands: the keys of all buckets that the id is compared in, by
+    band, null for the others. A bucket is cut into blocks by a hash of the id; a member goes once to each pair of blocks that has its own. A
+    pair that meets in several buckets comes out of the first one only, so every pair comes out once.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -232,12 +233,12 @@ def _block_pairs(members: DataFrame, most_bits: int) -> DataFrame:
         .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
             "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
-            F.col("_own").alias("own"), "id", "component", "sketch",
+            F.col("_own").alias("own"), "id", "component", "sketch", "bands",
         )
     )
 
-    def compare(group: tuple, ids: np.ndarray, comps: np.ndarray, own: np.ndarray, sketch: np.ndarray):
-        _, i, j = group
+    def compare(group: tuple, ids: np.ndarray, comps: np.ndarray, own: np.ndarray, sketch: np.ndarray, bands: np.ndarray, used: np.ndarray):
+        key, i, j = group
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         for at in range(0, len(left), 16):
             rows = left[at : at + 16]
@@ -246,7 +247,10 @@ def _block_pairs(members: DataFrame, most_bits: int) -> DataFrame:
             if i == j:
                 near &= ids[rows][:, None] < ids[right][None, :]
             x, y = np.nonzero(near)
-            yield ids[rows[x]], ids[right[y]]
+            x, y = rows[x], right[y]
+            shared = (bands[x] == bands[y]) & used[x] & used[y]
+            first = bands[x, shared.argmax(axis=1)] == key
+            yield ids[x[first]], ids[y[first]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -271,10 +275,12 @@ def _block_pairs(members: DataFrame, most_bits: int) -> DataFrame:
             return
         ids, comps, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+        keys = table.column("bands").combine_chunks().flatten()
+        bands, used = keys.fill_null(0).to_numpy().reshape(n, -1), keys.is_valid().to_numpy(zero_copy_only=False).reshape(n, -1)
         found = [
             pair
             for a, b in zip(starts[:stop], starts[1 : stop + 1])
-            for pair in compare(tuple(names[a]), ids[a:b], comps[a:b], own[a:b], sketch[a:b])
+            for pair in compare(tuple(names[a]), ids[a:b], comps[a:b], own[a:b], sketch[a:b], bands[a:b], used[a:b])
         ]
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -317,8 +323,11 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction = LINK) -> Dat
     labelled = stored(labelled, "near-labelled")
     open_ = labelled.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y")
     left = stored(labelled.filter("id != least").join(open_.select("key"), "key", "left_semi"), "near-left")
-    left = left.join(stored(fine_sketches(docs, left.select("id").distinct()), "near-fine"), "id")
-    more = stored(confirm(_block_pairs(left, limits.most_fine_bits).distinct(), docs, limits.least), "near-more")
+    compared = left.groupBy("id").agg(F.collect_set("key").alias("_keys"))  # a key per band at the most
+    bands = first.select("id", "bands").join(compared, "id")
+    bands = bands.select("id", F.transform("bands", lambda k: F.when(F.array_contains("_keys", k), k)).alias("bands"))
+    left = left.join(bands, "id").join(stored(fine_sketches(docs, left.select("id").distinct()), "near-fine"), "id")
+    more = stored(confirm(_block_pairs(left, limits.most_fine_bits), docs, limits.least), "near-more")
     if more.head(1):
         labels = components(edges.unionByName(more))
 
