@@ -12,6 +12,8 @@ from .features import top_category
 from .lookups import attach_item_category, map_lookup, union_distinct
 
 NEGATIVES_PER_ROW = 2
+PACKED_IDS = 1 << 25  # ids whose categories, a byte each, are sent to all tasks
+PACKED_RUN = 4_096  # ids of one row of such a map
 
 
 def fill_categories(interactions: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -80,17 +82,37 @@ def draw_pairs(rows: DataFrame, key: str, n_users: int, n_items: int, ratio: int
     return drawn.select(key, "draw", pick("u", n_users).alias("user_idx"), pick("i", n_items).alias("item_idx"))
 
 
+def _category_of(pairs: DataFrame, known: DataFrame, idx: str, category: str, n: int) -> DataFrame:
+    """Pairs with the category of their id; those without one are left out.
+
+    Indices are dense and categories a few small numbers, so the categories are sent as runs of one byte per id, and the pairs, each with
+    its row's key, stay where they are. More ids, ids without a row or other numbers are joined.
+    """
+    known = stored(known, "categories")
+    rows, least, most, nulls = known.agg(F.count("*"), F.min(category), F.max(category), F.count_if(F.col(category).isNull() | F.col(idx).isNull())).first()
+    if rows != n or not 0 < n <= PACKED_IDS or nulls or least < 0 or most > 127:
+        return pairs.join(known, idx)
+    run = F.floor(F.col(idx) / PACKED_RUN).alias("_run")
+    entry = F.struct(idx, F.col(category).cast("byte").alias("c"))
+    codes = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["c"])
+    runs = F.broadcast(known.groupBy(run).agg(codes.alias("_codes")))  # a byte per id
+    kind = known.schema[category].dataType
+    found = pairs.withColumn("_run", F.floor(F.col(idx) / PACKED_RUN)).join(runs, "_run")
+    return found.withColumn(category, F.get("_codes", (F.col(idx) % PACKED_RUN).cast("int")).cast(kind)).drop("_run", "_codes")
+
+
 def negatives(
     samples: DataFrame, n_users: int, n_items: int, ratio: int = NEGATIVES_PER_ROW, seed: int = 42
 ) -> DataFrame:
     """Random pairs with label 0 and their known categories; known positives are not rejected.
 
-    Drawn indices are uniform, so the joins with the category maps have no hot key.
+    Drawn indices are uniform, so where the category maps are joined there is no hot key.
     """
     pairs = draw_pairs(samples, "row_key", n_users, n_items, ratio, seed)
     user_cats = entity_category(samples, "user_idx", "user_cat_idx", "row_key")
     item_cats = entity_category(samples, "item_idx", "item_cat_idx", "row_key")
-    joined = pairs.join(user_cats, "user_idx").join(item_cats, "item_idx")
+    joined = _category_of(pairs, user_cats, "user_idx", "user_cat_idx", n_users)
+    joined = _category_of(joined, item_cats, "item_idx", "item_cat_idx", n_items)
     return joined.select(
         "row_key", "user_idx", "item_idx", "user_cat_idx", "item_cat_idx", F.lit(0.0).cast("float").alias("label")
     )
