@@ -8,12 +8,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions, stored
+from ..session import fine_tasks, shuffle_partitions, stored
 
 TS, KIND, ROW, BUCKET, SALT, KEY = "_ts", "_kind", "_row", "_bucket", "_salt", "_key"
 FEATURE, SPINE = 0, 1  # a feature row sorts before a spine row of the same time
 LEAST_HOT_ROWS = 100_000  # fewer rows of a key are always one task's work
 NULL_KEY_SALTS = 1_024
+TASK_ROWS = 500_000  # rows of both sides that a task sorts, some more or fewer
 
 
 @dataclass(frozen=True)
@@ -73,10 +74,13 @@ def _outputs(view: AsOfView, ts: Column) -> list[Column]:
     return [F.when(fresh, F.col(f"{view.payload}.{out}")).alias(out) for out in view.columns.values()]
 
 
-def _join_same_key(spine: DataFrame, ts: str, views: list[AsOfView], keys: list[str]) -> DataFrame:
-    """All views of one entity in a single shuffle: union, sort within key, carry forward."""
+def _join_same_key(spine: DataFrame, ts: str, views: list[AsOfView], keys: list[str], tasks: int = 0) -> DataFrame:
+    """All views of one entity in a single shuffle: union, sort within key, carry forward. ``tasks`` asks for more tasks than usual."""
     packed = spine.select(*keys, F.col(ts).cast("timestamp").alias(TS), F.struct(*spine.columns).alias(ROW))
-    joined = _carry_forward(_union_events(packed, views, keys), views, [*keys, SALT])
+    events = _union_events(packed, views, keys)
+    if tasks > shuffle_partitions(spine.sparkSession):
+        events = events.repartition(tasks, *keys, SALT)
+    joined = _carry_forward(events, views, [*keys, SALT])
     values = [c for v in views for c in _outputs(v, F.col(TS))]
     return joined.select(f"{ROW}.*", *values)
 
@@ -168,23 +172,27 @@ def asof_join(
     """
     buckets = time_buckets or shuffle_partitions(spine.sparkSession)
     if count_keys:
-        spine = stored(spine, "spine")
-        views = [v if v.is_table else replace(v, df=stored(v.df.select(*v.keys, v.ts, *v.columns), "view"), is_table=True) for v in views]
+        with fine_tasks(spine.sparkSession):
+            spine = stored(spine, "spine")
+            views = [v if v.is_table else replace(v, df=stored(v.df.select(*v.keys, v.ts, *v.columns), "view"), is_table=True) for v in views]
     by_keys: dict[tuple[str, ...], list[AsOfView]] = {}
     for view in views:
         by_keys.setdefault(view.keys, []).append(view)
     groups = list(by_keys.values())
     hot_keys = _hot_keys(spine, groups, hot_rows) if count_keys else [[] for _ in groups]
+    # stored tables are counted by their file footers; a join keeps the number of spine rows
+    n_spine = spine.count() if count_keys else 0
     for group, hot in zip(groups, hot_keys):
-        spine = _join_group(spine, ts, group, hot, buckets)
+        tasks = (n_spine + sum(v.df.count() for v in group)) // TASK_ROWS if count_keys else 0
+        spine = _join_group(spine, ts, group, hot, buckets, tasks)
     return spine
 
 
-def _join_group(spine: DataFrame, ts: str, views: list[AsOfView], hot: list[int], buckets: int) -> DataFrame:
+def _join_group(spine: DataFrame, ts: str, views: list[AsOfView], hot: list[int], buckets: int, tasks: int = 0) -> DataFrame:
     """Join the views of one entity: hot keys by time ranges, all others in one pass."""
     keys = list(views[0].keys)
     if not hot:
-        return _join_same_key(spine, ts, views, keys)
+        return _join_same_key(spine, ts, views, keys, tasks)
     hashes = F.broadcast(spine.sparkSession.createDataFrame([(h,) for h in hot], f"{KEY} long"))  # no more than tasks
 
     def part(df: DataFrame, how: str) -> DataFrame:
@@ -193,7 +201,7 @@ def _join_group(spine: DataFrame, ts: str, views: list[AsOfView], hot: list[int]
     def views_of(how: str) -> list[AsOfView]:
         return [replace(v, df=part(v.df, how)) for v in views]
 
-    cold = _join_same_key(part(spine, "left_anti"), ts, views_of("left_anti"), keys)
+    cold = _join_same_key(part(spine, "left_anti"), ts, views_of("left_anti"), keys, tasks)
     heavy = _join_hot(part(spine, "left_semi"), ts, views_of("left_semi"), keys, buckets)
     return cold.unionByName(heavy)
 

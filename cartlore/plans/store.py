@@ -16,7 +16,7 @@ from ..operators.lookups import online_lookup, resolve_refs
 from ..operators.ranking import first_per_key, latest_per_key
 from ..sources import files
 from ..sources.reviews import union_all
-from ..session import drop_stored, stored
+from ..session import drop_stored, fine_tasks, stored
 from ..sources.keyed import KeyedTable
 from .registry import FeatureView, Registry
 from .views import window_filter
@@ -86,7 +86,8 @@ class FeatureStore:
     def write_offline(self, view: FeatureView, df: DataFrame, batch: str) -> DataFrame:
         """One folder per batch, replaced when the batch runs again, so a repeated run adds no rows twice."""
         path = f"{self.offline_path(view.name)}/batch={batch}"
-        df.write.mode("overwrite").parquet(path)
+        with fine_tasks(self.spark):  # a view's aggregation may keep a row per source row
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(view.output_schema()).parquet(path)
 
     def online(self, view: str) -> DataFrame | None:
