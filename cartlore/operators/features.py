@@ -49,13 +49,12 @@ def distinct_counts(df: DataFrame, by: str, columns: list[str], approx: bool = F
     return df.groupBy(by).agg(*[count(c).alias(f"n_{c}") for c in columns])
 
 
-def _category_and_item_rows(rows: DataFrame) -> DataFrame:
+def _category_and_item_rows(rows: DataFrame, measures: tuple[str, ...] = ("rating", "chars", "timestamp")) -> DataFrame:
     """Every review as a category row with its measures and an item row without any.
 
     Both kinds share the following shuffle; the empty measures of the item rows
     compress to nearly nothing.
     """
-    measures = ["rating", "chars", "timestamp"]
     kinds = dict(rows.dtypes)
 
     def empty(name: str) -> Column:
@@ -69,9 +68,8 @@ def _category_and_item_rows(rows: DataFrame) -> DataFrame:
 USER_CELL = ("user_id", "category", "item_id")
 
 
-def user_cells(reviews: DataFrame) -> DataFrame:
-    """Statistics per (user, category), and a row per (user, item) without any; a plain aggregation, on streams too."""
-    rows = valid_ratings(normalize_reviews(reviews)).select(
+def _cell_measures(reviews: DataFrame) -> DataFrame:
+    return valid_ratings(normalize_reviews(reviews)).select(
         "user_id",
         "category",
         F.col("parent_asin").alias("item_id"),
@@ -79,7 +77,11 @@ def user_cells(reviews: DataFrame) -> DataFrame:
         F.length("text").cast("long").alias("chars"),
         "timestamp",
     )
-    return _category_and_item_rows(rows).groupBy(*USER_CELL).agg(
+
+
+def user_cells(reviews: DataFrame) -> DataFrame:
+    """Statistics per (user, category), and a row per (user, item) without any; a plain aggregation, on streams too."""
+    return _category_and_item_rows(_cell_measures(reviews)).groupBy(*USER_CELL).agg(
         F.count("rating").alias("n"),  # 0 for an item cell
         F.sum("rating").alias("rating_sum"),
         F.sum("chars").alias("chars_sum"),
@@ -89,6 +91,32 @@ def user_cells(reviews: DataFrame) -> DataFrame:
     )
 
 
+def user_cell_rows(reviews: DataFrame) -> DataFrame:
+    """The cells of each review by itself, row by row; ``merge_user_cells`` makes ``user_cells`` of them."""
+    measures = {
+        "n": F.lit(1).cast("long"),
+        "rating_sum": F.col("rating"),
+        "chars_sum": F.col("chars"),
+        "chars_n": F.col("chars").isNotNull().cast("long"),
+        "first_ms": F.col("timestamp"),
+        "last_ms": F.col("timestamp"),
+    }
+    rows = _cell_measures(reviews).select("user_id", "category", "item_id", *[value.alias(name) for name, value in measures.items()])
+    return _category_and_item_rows(rows, tuple(measures))
+
+
+def merge_user_cells(cells: DataFrame) -> DataFrame:
+    """Cells of different reviews added up, to one per (user, category) and (user, item)."""
+    return cells.groupBy(*USER_CELL).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),  # 0 for an item cell
+        F.sum("rating_sum").alias("rating_sum"),
+        F.sum("chars_sum").alias("chars_sum"),
+        F.coalesce(F.sum("chars_n"), F.lit(0)).alias("chars_n"),
+        F.min("first_ms").alias("first_ms"),
+        F.max("last_ms").alias("last_ms"),
+    )
+
+
 def users_of_cells(cells: DataFrame) -> DataFrame:
     """User features from all cells of the users."""
     per_user = cells.groupBy("user_id").agg(

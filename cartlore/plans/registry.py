@@ -21,11 +21,16 @@ class Cells:
     ``make`` aggregates source rows to cells by a plain ``groupBy`` on ``key``, the view's keys and maybe further columns; it runs on a stream as well.
     ``finish`` makes a view's row of all cells of its keys. Counts, sums, extremes and spreads need one cell per key; distinct
     counts and most frequent values take a cell per value.
+
+    Where cells can be added up, ``rows`` makes the cells of each source row by itself, row-wise, and ``merge`` adds up those of the same key:
+    ``merge(rows(df))`` is ``make(df)``. A stream then keeps no state beside the stored cells.
     """
 
     key: tuple[str, ...]
     make: Transform
     finish: Transform
+    rows: Transform | None = None
+    merge: Transform | None = None
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from ..operators.ranking import first_per_key, latest_per_key
 from ..sources import files
 from ..sources.reviews import union_all
 from ..session import drop_stored, fine_tasks, stored
-from ..sources.keyed import KeyedTable
+from ..sources.keyed import KeyedTable, Merge
 from .registry import FeatureView, Registry
 from .views import window_filter
 
@@ -27,6 +27,8 @@ RUNS = T.StructType(
         T.StructField("end_at", T.TimestampType()), T.StructField("run_at", T.TimestampType()),
     ]
 )
+# which stream has added a stored cell, and up to which of its batches; no stream if it was given by its value
+ADDED_BY = T.StructType([T.StructField("_run", T.StringType()), T.StructField("_batch", T.LongType())])
 EPOCH = "1970-01-01 00:00:00"
 
 
@@ -49,6 +51,11 @@ def upsert(current: DataFrame | None, batch: DataFrame, keys: list[str]) -> Data
     return latest_per_key(both, keys, "event_timestamp", [F.col("_new").desc()]).drop("_new")
 
 
+def _same(keys: tuple[str, ...]) -> Column:
+    """Equal keys of the frames named c and k; nulls are equal."""
+    return reduce(lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys))
+
+
 @dataclass
 class FeatureStore:
     """Feature views on a folder that all executors reach.
@@ -108,20 +115,61 @@ class FeatureStore:
         cells = view.cells
         if cells is None:
             raise ValueError(f"view {view.name!r} has no cells")
-        if cells.key == view.keys:
+        if cells.key == view.keys and cells.merge is None:
             self.upsert_online(view, cells.finish(changed))
             return
-        changed, table = stored(changed, "cells"), self._cells(view)
 
         def replace(old: DataFrame, new: DataFrame) -> DataFrame:
             both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-            return first_per_key(both, list(cells.key), [F.col("_new").desc()]).drop("_new")
-
-        touched = table.update(changed, replace)
+            if cells.merge is None:
+                return first_per_key(both, list(cells.key), [F.col("_new").desc()]).drop("_new")
+            # a cell that a stream adds to may lie in two rows
+            newest = F.max("_new").over(Window.partitionBy(*cells.key))
+            return both.withColumn("_newest", newest).filter("_new = _newest").drop("_new", "_newest")
+
+        if cells.merge is not None:
+            changed = changed.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ADDED_BY})
+        self._take_in(view, changed, replace)
+
+    def add_cells(self, view: FeatureView, fresh: DataFrame, run: str, batch: int) -> None:
+        """Take in the cells of source rows that came as batch number ``batch`` (from 0) of the stream ``run``.
+
+        What the stream has added to a cell before lies in one row, what its last batch has added in another, so a batch that is given again
+        replaces its rows and changes nothing. Cells of other streams are replaced when this one has the same cell, and so are cells given
+        by their value (``merge_cells``) when a stream starts; a stream that has started adds to the latter.
+        """
+        cells = view.cells
+        if cells is None or cells.merge is None:
+            raise ValueError(f"view {view.name!r} has no cells that can be added up")
+
+        first = not self._cells(view).exists()
+
+        def labelled(df: DataFrame, nth: int) -> DataFrame:
+            return df.withColumns({"_run": F.lit(run), "_batch": F.lit(nth).cast("long")})
+
+        def add(old: DataFrame, new: DataFrame) -> DataFrame:
+            if first:
+                return new
+            mine = F.col("_run").eqNullSafe(F.lit(run))
+            if batch > 0:
+                mine |= F.col("_run").isNull()
+            settled = old.filter(mine & (F.coalesce("_batch", F.lit(-1)) < batch))
+            both = labelled(cells.merge(settled), batch - 1).unionByName(new)
+            others = old.filter(~mine)
+            if others.isEmpty():
+                return both
+            return both.unionByName(others.alias("c").join(both.alias("k"), _same(cells.key), "left_anti"))
+
+        self._take_in(view, labelled(fresh, batch), add)
+
+    def _take_in(self, view: FeatureView, changed: DataFrame, merge: Merge) -> None:
+        """Bring changed cells into the stored ones, and what comes out of these for their keys into the online rows."""
+        cells, table = view.cells, self._cells(view)
+        changed = stored(changed, "cells")
+        touched = table.update(changed, merge, is_table=True)
         keys = changed.select(*view.keys).distinct()
-        same = reduce(lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in view.keys))
-        own = table.read(changed.schema, touched).alias("c").join(keys.alias("k"), same, "left_semi")
-        self.upsert_online(view, cells.finish(own))
+        own = table.read(changed.schema, touched).alias("c").join(keys.alias("k"), _same(view.keys), "left_semi")
+        self.upsert_online(view, cells.finish(own if cells.merge is None else cells.merge(own)))
         drop_stored(changed)
 
     def _sink(self, view: FeatureView, features: DataFrame, batch: str) -> None:

@@ -41,7 +41,7 @@ def standard_views(
             schemas.USER_FEATURES,
             reviews,
             stamped(ops.user_features),
-            cells=Cells(ops.USER_CELL, ops.user_cells, stamped(ops.users_of_cells)),
+            cells=Cells(ops.USER_CELL, ops.user_cells, stamped(ops.users_of_cells), ops.user_cell_rows, ops.merge_user_cells),
         ),
         FeatureView(
             "item_features",

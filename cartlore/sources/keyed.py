@@ -45,18 +45,24 @@ class KeyedTable:
             rows = rows.filter(F.col("bucket").isin(touched))
         return rows.select(schema.names)
 
-    def update(self, batch: DataFrame, merge: Merge) -> list[int]:
+    def update(self, batch: DataFrame, merge: Merge, is_table: bool = False) -> list[int]:
         """Write ``merge(current rows, batch)`` for the buckets of the batch's keys; returns these (at most all bucket numbers).
 
-        The merged rows are stored before the folders that they come from are replaced.
+        The batch is stored first, unless it ``is_table``: stored already. The merged rows are stored before the folders that they come
+        from are replaced; those of a first update come from no folder.
         """
-        fresh = stored(batch.withColumn("bucket", self.bucket), "update")
+        fresh = (batch if is_table else stored(batch, "update")).withColumn("bucket", self.bucket)
         touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
         if touched:
-            merged = stored(merge(self.read(batch.schema, touched), fresh.drop("bucket")).withColumn("bucket", self.bucket), "merged")
+            first = not self.exists()
+            merged = merge(self.read(batch.schema, touched), fresh.drop("bucket")).withColumn("bucket", self.bucket)
+            if not first:
+                merged = stored(merged, "merged")
             # one file for a small bucket, several for a large one
             writer = merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("bucket").parquet(self.path)
-            drop_stored(merged)
-        drop_stored(fresh)
+            if not first:
+                drop_stored(merged)
+        if not is_table:
+            drop_stored(fresh)
         return touched

@@ -22,23 +22,30 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_t
 def stream_materialize(store: FeatureStore, view: FeatureView, stream: DataFrame, checkpoint: str) -> StreamingQuery:
     """Keep a view's online rows up to date with newly arrived source rows, without reading earlier ones.
 
-    A row-wise view computes the rows that have arrived. A view with cells aggregates them as a stream, in update mode: its state holds the
-    cells, a batch brings the changed ones only, and the rows of their keys are made from the stored cells. Cells come with
-    their values so far, not with what to add, so a batch that runs again after a lost driver changes nothing.
+    A row-wise view computes the rows that have arrived. A view whose cells can be added up makes cells of the rows that have arrived and adds
+    them to the stored ones under the checkpoint's name and the batch's number; no state is kept. Any other view with cells aggregates
+    them as a stream, in update mode: its state holds the cells, and a batch brings the changed ones with their values so far. Both ways the
+    rows of changed cells' keys are made from the stored cells, and a batch that runs again after a lost driver changes nothing.
     """
     if not view.row_wise and view.cells is None:
         raise ValueError(f"view {view.name!r} aggregates its keys' history and has no cells")
-    rows = stream if view.row_wise else view.cells.make(stream)
+    adds = not view.row_wise and view.cells.merge is not None
+    if view.row_wise:
+        rows = stream
+    else:
+        rows = view.cells.rows(stream) if adds else view.cells.make(stream)
 
-    def write_batch(batch: DataFrame, _batch_id: int) -> None:
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
         if view.row_wise:
             store.upsert_online(view, view.transform(batch))
+        elif adds:
+            store.add_cells(view, view.cells.merge(batch), checkpoint, batch_id)
         else:
             store.merge_cells(view, batch)
 
     return (
         rows.writeStream.foreachBatch(write_batch)
-        .outputMode("append" if view.row_wise else "update")
+        .outputMode("append" if view.row_wise or adds else "update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
