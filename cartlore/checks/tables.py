@@ -16,7 +16,7 @@ from ..operators import similarity as sim
 from ..plans.registry import Cells, FeatureView
 from ..plans.store import FeatureStore
 from ..plans.views import standard_views
-from ..session import scratch_path
+from ..session import drop_stored, scratch_path
 from ..sources import files
 from ..sources import reviews as src
 from ..streaming import counters, joins
@@ -130,7 +130,10 @@ def file_inventory(spark, sf):
 )
 def staging_table(spark, sf):
     path = scratch_path(spark, "staged")
-    samples, vocabularies = training.training_samples(fr.rated(spark, sf), fr.metadata(spark, sf))
+    rows = fr.rated_rows(spark, sf)
+    samples, vocabularies = training.training_samples(
+        fr.rated(spark, sf, rows), fr.metadata(spark, sf), turns=fr.review_turns(spark, sf), release=lambda: drop_stored(rows)
+    )
     training.stage_training(samples, vocabularies, path)
     return spark.read.parquet(f"{path}/counts")
 

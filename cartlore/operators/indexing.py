@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import brief_shuffles, ensure_checkpoint_dir, shuffle_partitions, stored
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -22,13 +22,14 @@ def md5_bucket(text: Column, n: Column | int) -> Column:
     return F.pmod(md5_int(text), n.cast("long"))
 
 
-def global_index(df: DataFrame, order: list[Column | str], index_col: str = "idx") -> DataFrame:
+def global_index(df: DataFrame, order: list[Column | str], index_col: str = "idx", packed: bool = False) -> DataFrame:
     """Dense 0-based position of every row in a total order, without a single-task window.
 
     Rows are range partitioned and sorted, each keeps its partition and its
     place in it, and the partition sizes (one number per partition) turn into
     offsets. The sorted rows are checkpointed once, so that the sizes and the
-    result are taken from the same layout even if executors are lost between.
+    result are taken from the same layout even if executors are lost between;
+    ``packed`` ones are stored as Parquet, which must be able to hold their columns.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -37,11 +38,12 @@ def global_index(df: DataFrame, order: list[Column | str], index_col: str = "idx
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
     )
     partition = F.shiftright(F.col("_place"), _ROW_BITS)
     row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    sizes = sorted(placed.groupBy(partition.alias("p")).agg(F.count("*").alias("n")).collect())
+    with brief_shuffles(spark):
+        placed = stored(placed, "placed") if packed else placed.checkpoint()
+        sizes = sorted(placed.groupBy(partition.alias("p")).agg(F.count("*").alias("n")).collect())
     starts = accumulate((n for _, n in sizes), initial=0)
     offsets = spark.createDataFrame([(p, start) for (p, _), start in zip(sizes, starts)], "_part long, _start long")
     found = placed.withColumn("_part", partition).join(F.broadcast(offsets), "_part")  # a row per partition
@@ -50,7 +52,7 @@ def global_index(df: DataFrame, order: list[Column | str], index_col: str = "idx
 
 def ordinal(df: DataFrame, col: str, index_col: str = "idx") -> DataFrame:
     """Vocabulary of a column: its distinct values in sorted order with a dense 0-based index."""
-    return global_index(df.select(col).filter(F.col(col).isNotNull()).distinct(), [col], index_col)
+    return global_index(df.select(col).filter(F.col(col).isNotNull()).distinct(), [col], index_col, packed=True)
 
 
 def vocab(df: DataFrame, columns: list[str], name: str = "value") -> DataFrame:

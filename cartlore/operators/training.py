@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import categories, cleaning
-from ..session import stored
+from ..session import brief_shuffles, drop_stored, stored, stored_in_turns, turns_for
 from . import indexing
 from .features import top_category
 from .lookups import attach_item_category, map_lookup, union_distinct
@@ -51,9 +53,17 @@ def category_vocab(filled: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def entity_category(samples: DataFrame, entity_idx: str, category_idx: str, order: str) -> DataFrame:
-    """Category index of each id: the one of its last row in the given order."""
+    """Category index of each id: the one of its last row in the given order.
+
+    Most ids have one category in all rows, which numbers alone tell; only rows of the others are grouped with their place in the order.
+    """
+    value, null = F.col(category_idx), F.count_if(F.col(category_idx).isNull())
+    found = samples.groupBy(entity_idx).agg(F.min(value).alias("_least"), F.max(value).alias("_most"), null.alias("_nulls"))
+    one = F.when(F.col("_nulls") > 0, F.col("_most").isNull()).otherwise(F.col("_least") == F.col("_most"))
+    several = found.filter(~one).select(F.col(entity_idx).alias("_several"))
     last = F.max_by(category_idx, F.struct(order, category_idx)).alias(category_idx)
-    return samples.groupBy(entity_idx).agg(last)
+    decided = samples.join(several, F.col(entity_idx).eqNullSafe(F.col("_several")), "left_semi").groupBy(entity_idx).agg(last)
+    return found.filter(one).select(entity_idx, F.col("_most").alias(category_idx)).unionByName(decided)
 
 
 def encode_samples(prepared: DataFrame, users: DataFrame, items: DataFrame, cats: DataFrame) -> DataFrame:
@@ -83,13 +93,14 @@ def draw_pairs(rows: DataFrame, key: str, n_users: int, n_items: int, ratio: int
 
 
 def _category_of(pairs: DataFrame, known: DataFrame, idx: str, category: str, n: int) -> DataFrame:
-    """Pairs with the category of their id; those without one are left out.
+    """Pairs with the category of their id, of a stored table; those without one are left out.
 
     Indices are dense and categories a few small numbers, so the categories are sent as runs of one byte per id, and the pairs, each with
     its row's key, stay where they are. More ids, ids without a row or other numbers are joined.
     """
-    known = stored(known, "categories")
-    rows, least, most, nulls = known.agg(F.count("*"), F.min(category), F.max(category), F.count_if(F.col(category).isNull() | F.col(idx).isNull())).first()
+    nulls = F.count_if(F.col(category).isNull() | F.col(idx).isNull())
+    with brief_shuffles(known.sparkSession):
+        rows, least, most, nulls = known.agg(F.count("*"), F.min(category), F.max(category), nulls).first()
     if rows != n or not 0 < n <= PACKED_IDS or nulls or least < 0 or most > 127:
         return pairs.join(known, idx)
     run = F.floor(F.col(idx) / PACKED_RUN).alias("_run")
@@ -102,15 +113,18 @@ def _category_of(pairs: DataFrame, known: DataFrame, idx: str, category: str, n:
 
 
 def negatives(
-    samples: DataFrame, n_users: int, n_items: int, ratio: int = NEGATIVES_PER_ROW, seed: int = 42
+    samples: DataFrame, n_users: int, n_items: int, ratio: int = NEGATIVES_PER_ROW, seed: int = 42, turns: int = 1
 ) -> DataFrame:
-    """Random pairs with label 0 and their known categories; known positives are not rejected.
+    """Random pairs with label 0 and their known categories, made in ``turns``; known positives are not rejected.
 
     Drawn indices are uniform, so where the category maps are joined there is no hot key.
     """
     pairs = draw_pairs(samples, "row_key", n_users, n_items, ratio, seed)
-    user_cats = entity_category(samples, "user_idx", "user_cat_idx", "row_key")
-    item_cats = entity_category(samples, "item_idx", "item_cat_idx", "row_key")
+
+    def of(idx: str, category: str) -> DataFrame:
+        return stored_in_turns(lambda keep: entity_category(samples.filter(keep), idx, category, "row_key"), idx, turns, "categories")
+
+    user_cats, item_cats = of("user_idx", "user_cat_idx"), of("item_idx", "item_cat_idx")
     joined = _category_of(pairs, user_cats, "user_idx", "user_cat_idx", n_users)
     joined = _category_of(joined, item_cats, "item_idx", "item_cat_idx", n_items)
     return joined.select(
@@ -123,19 +137,46 @@ def reject_known(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return pairs.join(samples.select("user_idx", "item_idx").distinct(), ["user_idx", "item_idx"], "left_anti")
 
 
-def training_samples(interactions: DataFrame, metadata: DataFrame, ratio: int = NEGATIVES_PER_ROW, seed: int = 42):
+def stored_filled(interactions: DataFrame, metadata: DataFrame, turns: int) -> tuple[DataFrame, DataFrame]:
+    """Filled rows and the users' top categories, each made in ``turns`` of users and written to the scratch folder once."""
+    if turns > 1:  # read in each
+        metadata = stored(metadata.select("item_id", "item_category"), "item-categories")
+    filled = stored_in_turns(filled_rows(interactions, metadata).filter, "user_id", turns, "filled")
+    if turns > 1:
+        drop_stored(metadata)
+    return filled, stored_in_turns(user_top_category(filled).filter, "user_id", turns, "top")
+
+
+def stored_samples(
+    filled: DataFrame, top: DataFrame, users: DataFrame, items: DataFrame, cats: DataFrame, turns: int
+) -> DataFrame:
+    """Encoded rows, made in ``turns`` of users and written to the scratch folder once; the filled rows and top categories go."""
+    made = stored_in_turns(
+        lambda keep: encode_samples(with_user_category(filled.filter(keep), top), users, items, cats), "user_id", turns, "observed"
+    )
+    drop_stored(filled)
+    drop_stored(top)
+    return made
+
+
+def training_samples(
+    interactions: DataFrame, metadata: DataFrame, ratio: int = NEGATIVES_PER_ROW, seed: int = 42,
+    turns: int | None = None, release: Callable[[], None] = lambda: None,
+):
     """Observed rows and random negatives with all indices, plus the vocabularies used.
 
     The filled and the encoded rows are each needed several times (vocabularies,
-    category maps, draws), so they are written to the scratch folder once.
+    category maps, draws), so they are written to the scratch folder once, in ``turns`` that follow from the number of rows
+    if it is not given. ``release`` is called as soon as nothing reads the given rows any more.
     """
-    filled = stored(filled_rows(interactions, metadata), "filled")
-    top = stored(user_top_category(filled), "top")
+    turns = turns_for(interactions.count()) if turns is None else turns
+    filled, top = stored_filled(interactions, metadata, turns)
+    release()
     users = indexing.ordinal(filled, "user_id")
     items = indexing.ordinal(filled, "item_id")
     cats = category_vocab(filled, top)
-    observed = stored(encode_samples(with_user_category(filled, top), users, items, cats), "observed")
-    drawn = negatives(observed, users.count(), items.count(), ratio, seed)
+    observed = stored_samples(filled, top, users, items, cats, turns)
+    drawn = negatives(observed, users.count(), items.count(), ratio, seed, turns)
     return observed.unionByName(drawn), {"user": users, "item": items, "category": cats}
 
 
@@ -144,7 +185,8 @@ def stage_training(samples: DataFrame, vocabularies: dict[str, DataFrame], path:
     spark = samples.sparkSession
     tables = {"samples": samples, **{f"{name}_vocab": df for name, df in vocabularies.items()}}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        with brief_shuffles(spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     counts = None
     for name in tables:
         one = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("n_rows"))
