@@ -8,7 +8,7 @@ from ..functions import categories, cleaning
 from ..operators import assembly, indexing, lookups, ranking, recommend, training
 from ..operators import features as ops
 from ..plans import store
-from ..session import scratch_path, stored
+from ..session import drop_stored, scratch_path, stored, stored_in_turns
 from ..sources import reviews as src
 from . import frames as fr
 from .base import Checks
@@ -369,12 +369,15 @@ def super_category_fill(spark, sf):
     ),
 )
 def entity_category_map(spark, sf):
-    filled = training.filled_rows(fr.rated(spark, sf), fr.metadata(spark, sf))
-    top = training.user_top_category(filled)
+    rows, turns = fr.rated_rows(spark, sf), fr.review_turns(spark, sf)
+    filled, top = training.stored_filled(fr.rated(spark, sf, rows), fr.metadata(spark, sf), turns)
+    drop_stored(rows)
     users, items = indexing.ordinal(filled, "user_id"), indexing.ordinal(filled, "item_id")
     cats = training.category_vocab(filled, top)
-    coded = training.encode_samples(training.with_user_category(filled, top), users, items, cats)
-    return training.entity_category(coded, "user_idx", "user_cat_idx", "row_key")
+    coded = training.stored_samples(filled, top, users, items, cats, turns)
+    return stored_in_turns(
+        lambda keep: training.entity_category(coded.filter(keep), "user_idx", "user_cat_idx", "row_key"), "user_idx", turns, "categories"
+    )
 
 
 PICK = "('0x' || substr(md5(concat_ws('|', row_key, CAST(draw AS VARCHAR), '{w}', '42')), 1, 15))::BIGINT % (SELECT count(*) FROM {t})"
@@ -410,7 +413,10 @@ def negative_sampling(spark, sf):
     ),
 )
 def training_samples(spark, sf):
-    samples, _ = training.training_samples(fr.rated(spark, sf), fr.metadata(spark, sf))
+    rows = fr.rated_rows(spark, sf)
+    samples, _ = training.training_samples(
+        fr.rated(spark, sf, rows), fr.metadata(spark, sf), turns=fr.review_turns(spark, sf), release=lambda: drop_stored(rows)
+    )
     return samples
 
 
